@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, pii, quality_rules, simhash
+from . import decontaminate, line_dedup, lm_score, pii, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination_report(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
@@ -41,7 +45,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op6_simhash_near_dedup, op7_quality_rules, op8_lm_scoring, op10_pii)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_quality_rules, op8_lm_scoring, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
