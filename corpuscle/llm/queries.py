@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, pii, quality_rules, simhash
+from . import decontaminate, line_dedup, lm_score, mixing, pii, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,21 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents"))
 
 
+#: Production parameters of the mix: parts of 100 by source.
+MIX_WEIGHTS = {"src0": 24} | {f"src{i}": 4 for i in range(1, 20)}
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixed.select("doc_id", "source", "mix_pool", "mix_block", "mix_slot", "mix_row", "mix_exact")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_report(pii.find_private(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_quality_rules, op8_lm_scoring, op10_pii)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_quality_rules, op8_lm_scoring, op9_mix_sources, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
