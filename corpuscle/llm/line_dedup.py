@@ -252,6 +252,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     return map_arrow(joined, run, schema)
 
 
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` after ``dedup_lines``, without the documents of which no word is left; columns are those of ``docs``.
+
+    A document that lost no line stays as it is, whatever it holds.
+    """
+    left = dedup_lines(docs, doc_id, text, **options)
+    return left.where((F.col("n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
 def brute_force(docs: list[tuple], similarity: float = SIMILARITY) -> dict:
     """doc_id -> text left, by comparing all lines with all lines (small tables only)."""
     normals = sorted({x for _, t in docs for x in _lines_of(t)})

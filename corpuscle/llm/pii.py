@@ -244,7 +244,10 @@ def listed(spans: Column) -> Column:
 
 def private_report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, a digest of the base spans, and all spans."""
-    count = {f"n_{k}": F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:4])}
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
-        doc_id, *[c.alias(n) for n, c in count.items()], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        doc_id, *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )

@@ -7,22 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, mixing, pii, quality_rules, simhash
+from . import chat, decontaminate, html_extract, line_dedup, lm_score, mixing, pii, quality_rules, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Production rules; the longest that fits a URL decides.
+URL_RULES = [urls.Rule("net/", False), urls.Rule("example.net/en/", True), urls.Rule("example.com/de/", False), urls.Rule("org/fr/", True)]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.train(urls.label_by_words(pages))
+    return urls.filter_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "bad_probability")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination_report(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
 
 
+#: A conversation that says what the template says.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_table(turns.union(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_benchmark_decontamination, op6_simhash_near_dedup, op7_quality_rules, op8_lm_scoring, op9_mix_sources, op10_pii)}
+    every = (
+        op1_url_filter, op2_line_dedup, op3_html_extraction, op4_benchmark_decontamination, op5_chat_formatting, op6_simhash_near_dedup,
+        op7_quality_rules, op8_lm_scoring, op9_mix_sources, op10_pii,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
