@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,19 @@ def text_chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def arrow_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list]]:
+    """Ranges of a text column as ``text_chunks`` gives them, each with its texts; only one is held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes), column.slice(start).to_pylist()
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one record batch into any number of them."""
 

@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, text_chunks
+from .common import arrow_chunks, map_arrow, materialize
 
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that are worked on at once in a task.
+CHUNK_CHARS = 500_000
+COUNT_CHARS = 1_500_000
 #: Each slice of the hash space has a filter of its own, as large as its n-grams need.
 SLICE_BITS = 12
 BITS_PER_ENTRY = 8
@@ -99,9 +101,8 @@ def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batch):
-        texts = batch.column(at).to_pylist()
-        for a, b in text_chunks(texts, CHUNK_CHARS):
-            tokens, starts = tokens_of(texts[a:b])
+        for _, _, texts in arrow_chunks(batch.column(at), COUNT_CHARS):
+            tokens, starts = tokens_of(texts)
             for pair, values in ((False, tokens), (True, pairs_of(tokens, starts))):
                 h, c = np.unique(values, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -165,14 +166,12 @@ def _rows(kind: str, h: np.ndarray, c: np.ndarray, bits: list) -> pa.RecordBatch
 class Filters:
     """Filters of some slices, side by side."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]]) -> None:
+    def __init__(self, packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        slices, sizes, self.bits = packed
         self.offset = np.zeros(1 << SLICE_BITS, np.int64)
         self.size = np.zeros(1 << SLICE_BITS, np.uint64)
-        at = 0
-        for s, size, bits in rows:
-            self.offset[s], self.size[s] = at, size
-            at += len(bits)
-        self.bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        self.offset[slices] = np.cumsum(sizes // 8) - sizes // 8
+        self.size[slices] = sizes
 
     def here(self, h: np.ndarray) -> np.ndarray:
         return self.size[_slices_of(h)] > 0
@@ -246,11 +245,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             size = 0
         passes[-1].append(s)
         size += length
-    single = _filter_rows(learned.where("kind = 'u'"))
+    single = _packed_filters(learned.where("kind = 'u'"))
     scored = slim.withColumn("row", F.monotonically_increasing_id())
     for number, chosen in enumerate(passes):
         within = F.col("h").between(min(chosen, default=0), max(chosen, default=-1))
-        given = spark.sparkContext.broadcast((uuid.uuid4().hex, single, _filter_rows(learned.where("kind = 'p'").where(within)), table))
+        given = spark.sparkContext.broadcast((uuid.uuid4().hex, single, _packed_filters(learned.where("kind = 'p'").where(within)), table))
         scored = materialize(_score_pass(scored, given, n, v, strength, number == 0, number == len(passes) - 1))
         given.unpersist()
     return _with_base(scored, tokens.where(F.col("c") < hot_from), n, v).select(
@@ -258,10 +257,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _filter_rows(rows: DataFrame) -> list[tuple[int, int, bytes]]:
-    """Filters on the driver (their size was checked), by Arrow and so off its JVM heap."""
+def _packed_filters(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slices, bits of each, all contents) on the driver (their size was checked), by Arrow and so off its JVM heap."""
     got = rows.select("h", "c", "bits").toArrow()
-    return list(zip(got["h"].to_pylist(), got["c"].to_pylist(), got["bits"].to_pylist()))
+    whole = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8)
+    return got["h"].to_numpy(), got["c"].to_numpy(), whole
 
 
 def _score_pass(docs: DataFrame, given, n: int, v: int, strength: float, first: bool, last: bool) -> DataFrame:
@@ -275,10 +275,9 @@ def _score_pass(docs: DataFrame, given, n: int, v: int, strength: float, first:
     def run(batch):
         held = _unpacked(given)
         single, pair, (hot_h, hot_c) = held["single"], held["pair"], held["table"]
-        texts = batch.column(names.index("text")).to_pylist()
         parts = []
-        for a, b in text_chunks(texts, CHUNK_CHARS):
-            tokens, starts = tokens_of(texts[a:b])
+        for _, _, texts in arrow_chunks(batch.column(names.index("text")), CHUNK_CHARS):
+            tokens, starts = tokens_of(texts)
             at, counts = starts[:-1], np.diff(starts)
             u, inverse = np.unique(tokens, return_inverse=True)
             chance = (_COUNT[single.level(u)] + 0.1) / floor
