@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, sorted_groups, without
@@ -173,14 +173,16 @@ def _component_of_print(at: DataFrame, distance: int) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: the one with the smallest id.
 
-    Among rows that repeat that id one is kept. Columns are those of ``docs``.
+    Among rows that repeat that id one is kept: the one whose whole row has the
+    least hash, and of rows equal throughout any one. Only ids, hashes and
+    fingerprints are written between; texts are read again. Columns are those of ``docs``.
     """
     names = docs.columns
-    marked = with_fingerprints(docs.withColumn("__row", F.monotonically_increasing_id()), text, "__fp")
-    marked = materialize(marked)  # freezes the row numbers
-    at = marked.select(F.col(doc_id).alias("doc_id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
-    component = _component_of_print(at, distance)
-    first = at.join(component, "fp").where("doc_id <=> component_id").groupBy("component_id", "fp").agg(F.min("row").alias("row"))
-    # A component whose smallest id is on rows with different texts still keeps one row.
-    kept = first.groupBy("component_id").agg(F.min("row").alias("__kept"))
-    return marked.join(kept, marked["__row"] == kept["__kept"], "left_semi").select(*names)
+    mark = F.xxhash64(*[F.col(f"`{n}`") for n in names])
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
+    at = materialize(with_fingerprints(slim, "text", "fp").select("doc_id", "fp", "mark"))
+    first = at.join(_component_of_print(at.select("doc_id", "fp"), distance), "fp").where("doc_id <=> component_id")
+    kept = first.groupBy("component_id").agg(F.min("mark").alias("__mark")).select("__mark", F.col("component_id").alias("__id"))
+    met = docs.withColumn("__own", mark).join(kept, (F.col("__own") == F.col("__mark")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    once = Window.partitionBy("__own", doc_id).orderBy(F.lit(0))
+    return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*names)
