@@ -112,7 +112,11 @@ def with_lines(docs: DataFrame) -> DataFrame:
 
 
 def candidate_groups(lines: DataFrame, tile: int = TILE) -> DataFrame:
-    """(g, h, over): lines that share a band. Equal groups from several bands come once; ``over`` marks too large ones."""
+    """(p, g, h, over): lines that share a band. Equal groups from several bands come once; ``over`` marks too large ones.
+
+    ``p`` is a group's least line; groups of one p are verified in one task, which
+    builds each of their lines' shingles once. A line has BANDS groups at most.
+    """
     bands = lines.select(F.explode("bands").alias("b")).select("b.h", F.explode("b.keys").alias("bucket"))
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "h")
 
@@ -120,12 +124,14 @@ def candidate_groups(lines: DataFrame, tile: int = TILE) -> DataFrame:
         for group, over in sorted_groups(batches, ["bucket"], "h", tile, 2):
             h = group["h"]
             g = group["bucket"][:1] if over else np.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(g, len(h))), pa.array(h), pa.array(np.full(len(h), over))], names=["g", "h", "over"])
+            p = g if over else h[:1]
+            columns = [pa.array(np.repeat(p, len(h))), pa.array(np.repeat(g, len(h))), pa.array(h), pa.array(np.full(len(h), over))]
+            yield pa.RecordBatch.from_arrays(columns, names=["p", "g", "h", "over"])
 
-    return dealt.mapInArrow(_packed(run, ["g", "h", "over"]), "g long, h long, over boolean").distinct()
+    return dealt.mapInArrow(_packed(run), "p long, g long, h long, over boolean").distinct()
 
 
-def _packed(run, names: list[str], rows: int = 20_000):
+def _packed(run, rows: int = 20_000):
     """Joins a generator's small batches into larger ones."""
 
     def out(batches):
@@ -142,28 +148,49 @@ def _packed(run, names: list[str], rows: int = 20_000):
     return out
 
 
-def _similar_edges(h: np.ndarray, texts: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges that join all lines that are linked by a Jaccard similarity of ``least`` or more."""
-    sets = [shingles(t) for t in texts]
-    edges: list[tuple[int, int]] = []
-    left = list(range(len(sets)))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and left:
-            x = queue.pop()
-            a = sets[x]
-            rest = []
-            for y in left:
-                b = sets[y]
-                small, large = sorted((len(a), len(b)))
-                both = len(a & b) if small >= least * large else 0
-                if both >= least * (len(a) + len(b) - both) and both:
-                    edges.append((int(h[x]), int(h[y])))
-                    queue.append(y)
-                else:
-                    rest.append(y)
-            left = rest
-    return edges
+class _Verifier:
+    """Edges between similar lines, group by group; remembers shingles and links until it is cleared."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets: dict[int, set[str]] = {}
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def edges(self, h: list[int], texts: np.ndarray) -> list[tuple[int, int]]:
+        """Edges that join all lines of a group that are linked by a Jaccard similarity of ``least`` or more."""
+        for k, t in zip(h, texts):
+            if k not in self.sets:
+                self.sets[k] = shingles(t)
+        found: list[tuple[int, int]] = []
+        left = list(h)
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and left:
+                x = queue.pop()
+                a, rest = self.sets[x], []
+                for y in left:
+                    if self.root(x) == self.root(y):
+                        queue.append(y)
+                        continue
+                    b = self.sets[y]
+                    small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
+                    both = len(a & b) if small >= self.least * large else 0
+                    if both and both >= self.least * (len(a) + len(b) - both):
+                        found.append((x, y))
+                        self.parent[self.root(x)] = self.root(y)
+                        queue.append(y)
+                    else:
+                        rest.append(y)
+                left = rest
+        return found
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -179,16 +206,20 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
 
     def verify(keys):
         def run(batches):
+            verifier, last = _Verifier(similarity), None
             for group, _ in sorted_groups(batches, keys, "h", None, 2):
-                edges = np.array(_similar_edges(group["h"], group["line"], similarity), np.int64).reshape(-1, 2)
+                if group[keys[0]][0] != last or len(verifier.sets) > 4 * tile:
+                    verifier.clear()
+                    last = group[keys[0]][0]
+                edges = np.array(verifier.edges(group["h"].tolist(), group["line"]), np.int64).reshape(-1, 2)
                 if len(edges):
                     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
-        return _packed(run, ["a", "b"])
+        return _packed(run)
 
-    plain = groups.where("not over").select("g", "h").join(found, "h").select("g", "h", "line")
-    plain = plain.repartition("g").sortWithinPartitions("g", "h").mapInArrow(verify(["g"]), "a long, b long")
-    tiles = deal_tiles(groups.where("over").select("g", "h"), "g", "h", tile).join(found, "h").select("g", "i", "j", "h", "line")
+    plain = groups.where("not over").select("p", "g", "h").join(found, "h").select("p", "g", "h", "line")
+    plain = plain.repartition("p").sortWithinPartitions("p", "g", "h").mapInArrow(verify(["p", "g"]), "a long, b long")
+    tiles = deal_tiles(groups.where("over").select("g", "h").distinct(), "g", "h", tile).join(found, "h").select("g", "i", "j", "h", "line")
     tiles = tiles.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "h").mapInArrow(verify(["g", "i", "j"]), "a long, b long")
     return plain.union(tiles)
 
