@@ -161,6 +161,7 @@ class _Verifier:
 
     def root(self, x: int) -> int:
         while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)  # halves the way for the next call
             x = up
         return x
 
@@ -175,9 +176,9 @@ class _Verifier:
             queue, left = [left[0]], left[1:]
             while queue and left:
                 x = queue.pop()
-                a, rest = self.sets[x], []
+                a, rest, own = self.sets[x], [], self.root(x)
                 for y in left:
-                    if self.root(x) == self.root(y):
+                    if self.root(y) == own:
                         queue.append(y)
                         continue
                     b = self.sets[y]
@@ -185,7 +186,7 @@ class _Verifier:
                     both = len(a & b) if small >= self.least * large else 0
                     if both and both >= self.least * (len(a) + len(b) - both):
                         found.append((x, y))
-                        self.parent[self.root(x)] = self.root(y)
+                        self.parent[self.root(y)] = own
                         queue.append(y)
                     else:
                         rest.append(y)
