@@ -117,6 +117,7 @@ def mix_sources(
     A weight of zero or less counts as one part in the whole (rows are never
     dropped). Repeated rows take places of their own; null ids and texts sort
     first; an empty table gives no rows. Columns of the names made are replaced.
+    ``docs`` is read twice, so it should be a table and not a costly plan.
     """
     made = ("mix_pool", "mix_block", "mix_slot", "mix_row", "mix_exact")
     docs = without(docs, *made)
@@ -126,9 +127,15 @@ def mix_sources(
     key = F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), 2)
     names = docs.columns
     rows = docs.withColumn("mix_pool", pool).withColumn("__key", key)
-    # Only ids and keys are ranked; texts stay where they are until the last join.
-    marked = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
-    slim = marked.select("__row", "mix_pool", "__key", F.col(doc_id).alias("__id"))
+    # Only ids and keys are ranked; texts stay where they are until the last join. Key and id name a row, unless it is
+    # repeated: then, and only then, the rows are written with numbers to name them by.
+    rows = rows.withColumn("__id", F.col(doc_id))
+    slim = materialize(rows.select("mix_pool", "__key", "__id").withColumn("__row", F.lit(0).cast("long")))
+    if not slim.groupBy("__key", "__id").count().where("count > 1").isEmpty():
+        rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
+        slim = rows.select("mix_pool", "__key", "__id", "__row")
+    else:
+        rows = rows.withColumn("__row", F.lit(0).cast("long"))
     sizes = {r["mix_pool"]: r["count"] for r in slim.groupBy("mix_pool").count().collect()}  # one row per weight
     length, slots = period_of({s: w for s, w in weights.items() if s in sizes} or {REST: 1})
     ends = {s: _slot_of(-(-n // block_rows), slots[s], length) for s, n in sizes.items()}
@@ -143,10 +150,15 @@ def mix_sources(
         placed.withColumn("__in", F.col("mix_block") % per)
         .join(F.broadcast(table), (F.col("mix_pool") == F.col("__s")) & (F.col("__in") == F.col("__i")))  # one row per slot of the period
         .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__each")) * length + F.col("__slot"))
-        .select("__row", "mix_block", "mix_slot", (F.col("__rank") % block_rows).alias("mix_row"))
+        .select(
+            F.col("__key").alias("__k"), F.col("__id").alias("__i"), F.col("__row").alias("__r"),
+            "mix_block", "mix_slot", (F.col("__rank") % block_rows).alias("mix_row"),
+        )
         .withColumn("mix_exact", F.col("mix_slot") < exact)
-    )
-    return marked.join(placed, "__row").select(*names, *made)
+        .hint("merge")  # one row per document: too many to broadcast
+    )
+    same = (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r"))
+    return rows.join(placed, same).select(*names, *made)
 
 
 def _slot_of(block: int, slots: list[int], length: int) -> int:
