@@ -44,11 +44,12 @@ def test_schedule_never_deviates_by_a_block(weights):
             assert abs(sum(x < t for x in at) - t * weights[s] / total) < 1
 
 
-def test_mix_keeps_rows_and_weights(spark):
+@pytest.mark.parametrize("repeats", [0, 3])
+def test_mix_keeps_rows_and_weights(spark, repeats):
     rows = [(i, f"text {i % 50}", s) for i, s in enumerate(["a"] * 600 + ["b"] * 500 + ["c"] * 60 + [None] * 40)]
-    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, source string")
+    df = spark.createDataFrame(rows + rows[:repeats], "doc_id long, text string, source string")
     out = mixing.mix_sources(df, {"a": 2, "b": 1}, block_rows=10, piece=100).collect()
-    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows + rows[:3])
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows + rows[:repeats])
     places = Counter((r["mix_slot"], r["mix_row"]) for r in out)
     assert max(places.values()) == 1
     exact = [r for r in out if r["mix_exact"]]
