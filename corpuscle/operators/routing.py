@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +98,39 @@ def model_tier(similarity: Column, table: Column, classification: Column) -> Col
 def model_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """Price of a call, with prices by million tokens."""
     return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model of the chain; the first one of a chain is the pass-through."""
+
+    name: str
+    tier: str
+    enabled: bool = True
+
+
+def model_chain(models: list[Model], similarity: Column, table: Column, classification: Column, forced: Column) -> Column:
+    """Names of the models to try, in order, as an array.
+
+    A forced model goes alone, or the pass-through if it can't be had. Where no
+    enabled model is of the tiers wanted, a range of the enabled ones is tried.
+    Null similarity means an ordinary query. The chain is configuration, a few
+    models by nature.
+    """
+    usable = [m for m in models if m.enabled]
+
+    def names(chosen: list[Model]) -> Column:
+        return F.array(*[F.lit(m.name) for m in chosen]).cast("array<string>")
+
+    def of(tiers: set[str], start: int, stop: int | None = None, limit: int | None = None) -> Column:
+        return names([m for m in usable if m.tier in tiers][:limit] or usable[start:stop])
+
+    first = names(models[:1])
+    return (
+        F.when(forced != "", F.when(forced.isin(*[m.name for m in usable]), F.array(forced)).otherwise(first))
+        .when(classification, of({"cheap", "free"}, 1, 3, 3))
+        .when(similarity > 0.85, first)
+        .when(table, of({"mid", "capable", "cloud"}, 3))
+        .when(similarity < 0.72, names(usable))
+        .otherwise(of({"cheap", "mid", "free"}, 1, 6))
+    )

@@ -340,3 +340,18 @@ def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     ingest_available(chunk_stream(spark, f"{d}/documents.parque[t]", docs.schema), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+MODELS = [routing.Model(*m) for m in (("direct", "passthrough"), ("small-a", "cheap"), ("small-b", "cheap", False), ("small-c", "cheap"), ("middle", "mid"), ("large", "capable"))]
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'middle' WHEN event_id % 17 = 0 THEN 'direct' WHEN event_id % 11 = 0 THEN 'small-a,small-c'
+    WHEN event_id % 100 / 100.0 > 0.85 THEN 'direct' WHEN event_id % 7 = 0 THEN 'middle,large' WHEN event_id % 100 / 100.0 < 0.72 THEN 'direct,small-a,small-c,middle,large'
+    ELSE 'small-a,small-c,middle' END AS models FROM events"""
+)
+def model_chain(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    forced = F.when(n % 13 == 0, "middle").when(n % 17 == 0, "small-b")
+    chain = routing.model_chain(MODELS, n % 100 / 100, n % 7 == 0, n % 11 == 0, forced)
+    return table(spark, d, "events").select("event_id", F.array_join(chain, ",").alias("models"))
