@@ -162,18 +162,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _component_of_print(at: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id) for every distinct fp of (doc_id, fp)."""
+    """(fp, component_id, root) for every distinct fp of (doc_id, fp); root is the component's least fp."""
     prints = at.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = materialize(connected_components(near_links(prints.select("fp"), distance)))
     linked = prints.join(roots, prints.fp == roots.node).groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = roots.join(linked, "root").select(F.col("node").alias("fp"), F.col("component_id").alias("linked"))
-    return prints.join(whole, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    whole = roots.join(linked, "root").select(F.col("node").alias("fp"), "root", F.col("component_id").alias("linked"))
+    own = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked"))
+    return prints.join(whole, "fp", "left").select("fp", own.alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: the one with the smallest id.
 
-    Among rows that repeat that id one is kept: the one whose whole row has the
+    A component is known by its fingerprints, not by its ids: components whose
+    ids are all null, or that share a repeated id, keep a document each. Among rows that repeat that id one is kept: the one whose whole row has the
     least hash, and of rows equal throughout any one. Only ids, hashes and
     fingerprints are written between; texts are read again. Columns are those of ``docs``.
     """
@@ -182,7 +184,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
     at = materialize(with_fingerprints(slim, "text", "fp").select("doc_id", "fp", "mark"))
     first = at.join(_component_of_print(at.select("doc_id", "fp"), distance), "fp").where("doc_id <=> component_id")
-    kept = first.groupBy("component_id").agg(F.min("mark").alias("__mark")).select("__mark", F.col("component_id").alias("__id"))
+    kept = first.groupBy("root", "component_id").agg(F.min("mark").alias("__mark")).select("__mark", F.col("component_id").alias("__id"))
     met = docs.withColumn("__own", mark).join(kept, (F.col("__own") == F.col("__mark")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
     once = Window.partitionBy("__own", doc_id).orderBy(F.lit(0))
     return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*names)

@@ -66,6 +66,12 @@ def test_keep_one(spark):
     assert len([i for i in ids if i in (103, 104, 105)]) == 1
 
 
+def test_keep_one_of_each_component_without_ids(spark):
+    rows = [(None, prose(i, 60)) for i in range(300, 306)] + [(7, prose(310, 60)), (7, prose(311, 60)), (8, prose(311, 60)), (None, prose(300, 60))]
+    kept = simhash.keep_one(table(spark, rows, extra=False)).collect()
+    assert same([tuple(r) for r in kept], rows[:8])
+
+
 def test_decontamination(spark):
     rows = documents()
     passage = prose(3, 30)
