@@ -34,6 +34,8 @@ SALTS = 16
 
 # Element kinds and the names that tell a branch's role.
 RAW = set("script style textarea title noscript template iframe svg math select object xmp noembed noframes".split())
+#: Those of them whose content is text to the parser; the others hold elements, and are ordinary ones if nothing closes them.
+RAW_TEXT = set("script style textarea title iframe xmp noembed noframes".split())
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -61,8 +63,11 @@ IMPLIED = {
     "option": ({"option"}, {"datalist"}),
 }
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<=\s)(hidden)(?=[\s/>]|$)""", re.I)
+#: Quotes count only where a value begins; elsewhere, and unclosed, they are characters like any other.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)>""")
+#: For what follows a tag that found no end.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))|(?<=\s)(hidden)(?=[\s/>]|$)""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -151,6 +156,8 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
             links = 0
 
     at, n = 0, len(html)
+    pattern = _TAG
+    unclosed: set[str] = set()  # kinds that no closing tag follows any more
     while at < n:
         i = html.find("<", at)
         piece = html[at:] if i < 0 else html[at:i]
@@ -174,20 +181,26 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
             plain += 1
             at = i + 1
             continue
-        m = _TAG.match(html, i)
+        m = pattern.match(html, i)
+        if not m and after == "/" and not (html[i + 2 : i + 3].isascii() and html[i + 2 : i + 3].isalpha()):  # a bogus comment
+            j = html.find(">", i)
+            at = n if j < 0 else j + 1
+            continue
+        if not m:
+            pattern = _PLAIN_TAG  # a quote swallows the rest: from here on tags end at the next '>'
+            m = pattern.match(html, i)
         if not m:
-            if after == "/" and not html[i + 2 : i + 3].isalpha():  # a bogus comment
-                j = html.find(">", i)
-                at = n if j < 0 else j + 1
-                continue
             break  # the page ends inside a tag
         at = m.end()
         ends, tag = m[1], m[2].lower()
         if tag in RAW and not ends:
             if not m[3].endswith("/") or tag not in ("svg", "math"):
-                closing = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
+                closing = None if tag in unclosed else re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                 if not closing:
-                    break
+                    if tag in RAW_TEXT:
+                        break
+                    unclosed.add(tag)
+                    continue
                 j = html.find(">", closing.start())
                 at = n if j < 0 else j + 1
             continue
@@ -320,8 +333,11 @@ def extract_main_text(
 
     The whole html is parsed: character references are decoded, white space in a
     block becomes one space, blocks are joined in page order by one newline.
-    Unclosed and misnested tags are closed as browsers do; a page that ends
-    inside a tag ends there. A page of one host (or of none, when its URL is
+    Unclosed and misnested tags are closed as browsers do, and a tag with a
+    stray quote ends at the next ``>``; an svg, math, select, object, noscript
+    or template that is never closed is an ordinary element, so that what
+    follows stays. A page that ends inside a tag, or inside a script or another
+    element of bare text, ends there. A page of one host (or of none, when its URL is
     null) is judged with the pages of that host; null html gives an empty text;
     repeated rows are kept and get equal texts; an empty table gives no rows.
     Columns named ``text`` are replaced.

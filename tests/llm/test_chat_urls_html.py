@@ -132,6 +132,29 @@ def test_extract_one(html, text):
     assert html_extract.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<p class="a"">Hello</p><p>rest</p>', "Hello\nrest"), ("<p title=it's>Hello</p><p>rest</p>", "Hello\nrest"), ('<p>a <a title="5" tall">b</a></p><p>rest</p>', "a b\nrest"),
+        ('<p title="5 tall>Hello</p><p>rest</p>', "Hello\nrest"), ('<p>x</p><p title="a>b">y</p><p alt=\'c>d\' id = "e>f">z</p>', "x\ny\nz"), ('<p a=x"y>k</p><p>rest</p>', "k\nrest"),
+        ('<p title="5>a</p><p id="b>rest</p>', 'rest'), ("<div class=it's-nav>n</div><p>rest</p>", "rest"), ("<p>a</é><p>rest</p>", "a\nrest"), ('<p>a</p><i x=">"<p>rest</p>', 'a\nrest'),
+        *[(f"<p>a</p><{t} id=x><p>rest</p>", "a\nrest") for t in ("svg", "math", "select", "object", "template", "noscript")],
+        ("<p>a</p><svg><p>no</p></svg><p>b</p><svg><p>rest</p>", "a\nb\nrest"), ("<p>a</p><style><p>no</p>", "a"),
+    ],
+)
+def test_no_rest_of_a_page_is_lost(html, text):
+    assert html_extract.extract(html) == text
+
+
+def test_unclosed_elements_are_linear():
+    import time
+
+    began = time.time()
+    html_extract.extract("<svg><p>x " * 50_000)
+    html_extract.extract("<i x=\">\" " * 50_000)
+    assert time.time() - began < 20
+
+
 def test_style_tree_removes_templates(spark):
     rows = [
         (i, f"https://h{i % 2}.example.org/{i}", f"<html><body><div class='top'>Same on every page</div><div class='c'><p>own text {i}</p><p>{'more ' * (i % 4)}{i}</p></div><div class='b'>Always</div></body></html>", "x")
