@@ -27,7 +27,7 @@ from .urls import host_of
 GAMMA = 0.9
 #: Nodes of lower importance are template.
 LEAST_IMPORTANCE = 0.3
-#: A node that fewer pages of the host have is never judged by its importance.
+#: Pages from which that limit holds; a node that fewer pages of the host have, two at least, needs a proportionally lower importance.
 MIN_PAGES = 8
 #: Rows that a host's tree is copied to, so that the pages of one host meet it in many tasks.
 SALTS = 16
@@ -322,7 +322,8 @@ def importance(counts: DataFrame) -> DataFrame:
 
 def template_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, template): each host's nodes of low importance. One row per host that has any."""
-    low = importance(tree_counts(pages)).where((F.col("pages") >= min_pages) & (F.col("importance") < least))
+    limit = least * F.least(F.lit(1.0), F.col("pages") / min_pages)
+    low = importance(tree_counts(pages)).where((F.col("pages") > 1) & (F.col("importance") < limit))
     return low.groupBy("host").agg(F.collect_list("node").alias("template"))
 
 

@@ -168,6 +168,13 @@ def test_style_tree_removes_templates(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_style_tree_judges_hosts_of_few_pages(spark, n):
+    rows = [(i, f"https://few.org/{i}", f"<html><body><div class='top'>Same on every page</div><div class='c'><p>own text {i}</p></div><div>Always</div></body></html>") for i in range(n)]
+    out = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {i: f"own text {i}" for i in range(n)}
+
+
 def test_long_page_is_linear():
     import time
 
