@@ -259,6 +259,22 @@ def seed_insert_missing(spark: SparkSession, d: str) -> DataFrame:
     return tables.insert_missing(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0").withColumn("source", F.lit("new")), ["doc_id"])
 
 
+#: With the even documents this covers every row.
+_NEW = "doc_id IS NULL OR doc_id % 2 <> 0 OR doc_id % 3 = 0"
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN source ELSE 'new' END AS source, n_chars FROM documents")
+def upsert_documents_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return tables.upsert(docs.where("doc_id % 2 = 0"), docs.where(_NEW).withColumn("source", F.lit("new")), ["doc_id"], ["source"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'new' END AS source FROM documents")
+def seed_insert_missing_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return tables.insert_missing(docs.where("doc_id % 2 = 0"), docs.where(_NEW).withColumn("source", F.lit("new")), ["doc_id"])
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_row(spark: SparkSession, d: str) -> DataFrame:
     return tables.latest(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id"], ["event_id"])

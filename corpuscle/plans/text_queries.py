@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import quality, text
 from ..operators import chunking, claims, routing
 from ..sources.tables import table
-from .registry import query
+from .registry import ORACLES, query
 
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> '')"
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -98,6 +98,13 @@ def slugify_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("item_id", text.slugify(F.col("text")).alias("slug"), text.query_key(F.col("text"), F.lit("hybrid"), F.lit("P1")).alias("cache_key"))
 
 
+@query()
+def slugify_benchmark_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of every item, whatever its script; the SQL above has no Unicode word class and so covers plain ASCII only."""
+    slug, key = text.slugify(F.col("text")), text.query_key(F.col("text"), F.lit("hybrid"), F.lit("P1"))
+    return table(spark, d, "benchmark").select("item_id", slug.alias("slug"), key.alias("cache_key"))
+
+
 def _tier_case(host: str) -> str:
     """Listed domains as SQL: the longest listed parent decides."""
     listed = sorted(((x, t) for t, names in quality.TIER_DOMAINS.items() for x in names), key=lambda p: -p[0].count("."))
@@ -271,7 +278,8 @@ _NEWS_SQL = (
 )
 
 
-def news(spark: SparkSession, d: str) -> DataFrame:
+def news(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Documents as sources; the snippet is the first 300 characters, or the ``whole`` text."""
     i = F.col("doc_id") % 6
     head = (
         F.when(i == 0, "The study found that the measure reduces long term river levels significantly. ")
@@ -282,7 +290,7 @@ def news(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string"))
     docs = table(spark, d, "documents")
     return docs.select(
-        "lang", "doc_id", url.alias("url"), "source", quality.corpus_tier(F.col("source")).alias("tier"), F.concat(head, F.substring("text", 1, 300)).alias("snippet"),
+        "lang", "doc_id", url.alias("url"), "source", quality.corpus_tier(F.col("source")).alias("tier"), F.concat(head, F.col("text") if whole else F.substring("text", 1, 300)).alias("snippet"),
         F.lit("").alias("title"), F.concat("source", F.lit(".example")).alias("base_domain"),
     )
 
@@ -330,6 +338,28 @@ def verification_summary(spark: SparkSession, d: str) -> DataFrame:
     return claims.verification_summary(claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang"), "lang")
 
 
+def _whole(sql: str) -> str:
+    """The same SQL over whole texts."""
+    return sql.replace("substring(text, 1, 300)", "text")
+
+
+@query(_whole(f"SELECT * FROM ({_CLAIMS_SQL}) WHERE claim_no <= 15"))
+def extract_claims_whole(spark: SparkSession, d: str) -> DataFrame:
+    return claims.extract_claims(news(spark, d, whole=True), "lang", "doc_id")
+
+
+@query(_whole(_VERIFY_SQL))
+def verify_claims_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = news(spark, d, whole=True)
+    return claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang").drop("claim")
+
+
+@query(_whole(ORACLES["verification_summary"]))
+def verification_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = news(spark, d, whole=True)
+    return claims.verification_summary(claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang"), "lang")
+
+
 @query()
 def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents after an incremental ingest from an empty start."""
