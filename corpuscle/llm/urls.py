@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, without
 
-#: Labelled rows that training uses at most; the rest of a larger labelled table is not needed.
+#: Labelled rows that teach the trees at most; the suffix statistics count all rows.
 TRAIN_ROWS = 20_000
+#: Suffix statistics of more rows are not broadcast but joined by suffix and salt.
+BROADCAST_ROWS = 4 * TRAIN_ROWS
+SALTS = 16
 TREES, DEPTH = 12, 4
 #: Words of a host name that label a URL as unwanted when no labelled table is given.
 BAD_WORDS = (
@@ -55,12 +58,12 @@ def matching_rule(rules: list[Rule], host: Column, path: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Bits per character of a short string; 0 if empty."""
+    """Bits per character; 0 if empty. Costs the text once per distinct character."""
     chars = F.split(text, "")
     n = F.length(text)
 
     def part(c: Column) -> Column:
-        share = F.size(F.filter(chars, lambda x: x == c)) / n
+        share = (n - F.length(F.replace(text, c, F.lit("")))) / n
         return -share * F.log2(share)
 
     bits = F.aggregate(F.transform(F.array_distinct(chars), part), F.lit(0.0), lambda a, b: a + b)
@@ -80,7 +83,6 @@ def suffixes(host: Column) -> list[Column]:
 def with_lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     """``urls`` with the lexical features in columns of FEATURES (without the suffix statistics)."""
     u, h, p, q = (F.col(c) for c in ("__url", "__host", "__path", "__query"))
-    first_1000 = F.substring(p, 1, 1000)  # a character distribution needs no more
     return (
         without(urls, *FEATURES, "__url", "__host", "__path", "__query")
         .withColumn("__url", F.coalesce(F.col(url), F.lit("")))
@@ -96,7 +98,7 @@ def with_lexical(urls: DataFrame, url: str = "url") -> DataFrame:
                 "host_digits": _share(h, "[0-9]+"),
                 "url_digits": _share(u, "[0-9]+"),
                 "host_entropy": entropy(h),
-                "path_entropy": entropy(first_1000),
+                "path_entropy": entropy(p),
                 "params": F.size(F.filter(F.split(q, "&"), lambda x: x != "")).cast("double"),
                 "param_chars": F.length(q).cast("double"),
                 "secure": ascii_lower(u).startswith("https:").cast("double"),
@@ -115,11 +117,12 @@ def label_by_words(urls: DataFrame, url: str = "url") -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """Fitted trees (None if the labels know one class only), the suffix statistics and the share of bad labels."""
+    """Fitted trees (None if the labels know one class only), the suffix statistics (``small`` if they can be broadcast) and the share of bad labels."""
 
     trees: GBTClassificationModel | None
     suffix_rates: DataFrame
     prior: float
+    small: bool = True
 
     def score(self, urls: DataFrame, url: str = "url", out: str = "bad_probability") -> DataFrame:
         """``urls`` with the probability that each is unwanted; features don't stay."""
@@ -127,50 +130,75 @@ class UrlModel:
         if self.trees is None:
             return rows.withColumn(out, F.lit(self.prior))
         packed = rows.select(F.struct("*").alias("__row"), F.col(url).alias("__given"))  # so that no name of theirs clashes
-        ready = _assembled(_with_suffix_rate(with_lexical(packed, "__given"), self.suffix_rates, self.prior))
+        ready = _assembled(_with_suffix_rate(with_lexical(packed, "__given"), self.suffix_rates, self.prior, self.small))
         return self.trees.transform(ready).select("__row.*", vector_to_array("probability")[1].alias(out))
 
 
-def _with_suffix_rate(rows: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
-    """The rate of bad labels of the longest known suffix. ``rates`` has 4 * TRAIN_ROWS rows at most and is broadcast."""
+def _with_suffix_rate(rows: DataFrame, rates: DataFrame, prior: float, small: bool = True) -> DataFrame:
+    """The rate of bad labels of the longest known suffix. ``small`` rates are broadcast; others meet the rows of a suffix in SALTS groups."""
     found = []
-    for k, suffix in enumerate(suffixes(F.col("__host"))):
+    if not small:
+        rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    for k, (suffix, labels) in enumerate(zip(suffixes(F.col("__host")), (None, 3, 2, 1))):
         found.append(f"__rate{k}")
-        level = rates.select(F.col("suffix").alias(f"__suffix{k}"), F.col("rate").alias(found[-1]))
-        rows = rows.join(F.broadcast(level), suffix == F.col(f"__suffix{k}"), "left").drop(f"__suffix{k}")
+        own = rates if labels is None else rates.where(F.size(F.split("suffix", r"\.")) <= labels)
+        level = own.select(F.col("suffix").alias(f"__suffix{k}"), F.col("rate").alias(found[-1]))
+        match = suffix == F.col(f"__suffix{k}")
+        if small:
+            rows = rows.join(F.broadcast(level), match, "left").drop(f"__suffix{k}")
+        else:
+            level = level.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.join(level, match & (F.col("__salt") == F.col("__deal")), "left").drop(f"__suffix{k}", "__deal")
     known = sum((F.col(c).isNotNull().cast("double") for c in found), F.lit(0.0))
-    return rows.withColumns({"suffix_rate": F.coalesce(*found, F.lit(prior)), "suffix_known": known}).drop(*found, "__host")
+    return rows.withColumns({"suffix_rate": F.coalesce(*found, F.lit(prior)), "suffix_known": known}).drop(*found, "__host", "__salt")
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="__features", handleInvalid="keep").transform(rows)
 
 
+def _tally(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+
+
+def _by_suffix(hosts: DataFrame) -> DataFrame:
+    """(suffix, bad, n) of (host, bad, n)."""
+    return _tally(hosts.select("bad", "n", F.explode(F.array_distinct(F.array(*suffixes(F.col("host"))))).alias("suffix")), "suffix")
+
+
+def _rate(bad: Column, n: Column, prior: float) -> Column:
+    return (bad + prior) / (n + 1.0)
+
+
 def train(labelled: DataFrame, url: str = "url", label: str = "label", rows: int = TRAIN_ROWS) -> UrlModel:
     """Fits the filter to labelled URLs (label 1: unwanted, 0: wanted; null labels are left out).
 
-    A sample of at most ``rows`` distinct (url, label), chosen by hash, is used.
-    Half of it gives the suffix statistics and half teaches the trees, so the
-    trees learn how far to trust statistics of suffixes. With labels of one
-    class only, or none, the model is that class's share alone.
+    The suffix statistics count every distinct (url, label). The trees are taught
+    by a sample of at most ``rows`` of them and at most half, chosen by hash; to
+    the taught rows the statistics are shown without their own labels, so the
+    trees learn how far to trust statistics of suffixes. With labels of one class
+    only, or none, the model is that class's share alone.
     """
     pairs = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label"))
     pairs = pairs.where("url is not null and label is not null")
-    n = pairs.count()
+    by_host = materialize(_tally(pairs.distinct().select(host_of(F.col("url")).alias("host"), F.col("label").alias("bad"), F.lit(1).alias("n")), "host"))
+    bad, n = by_host.agg(F.coalesce(F.sum("bad"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    prior = float(bad) / n if n else 0.0
+    counts = materialize(_by_suffix(by_host))
+    rates = counts.select("suffix", _rate(F.col("bad"), F.col("n"), prior).alias("rate"))
+    small = counts.count() <= BROADCAST_ROWS
     chance = F.pmod(F.xxhash64("url", "label"), F.lit(1 << 20))
-    sample = materialize(pairs.where(chance < int((1 << 20) * min(1.0, rows / max(n, 1)))).distinct().limit(rows).coalesce(1))
-    bad, size = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
-    prior = float(bad) / size if size else 0.0
-    half = F.pmod(F.xxhash64("label", "url"), F.lit(2)) == 0
-    counted = sample.where(half).select("label", F.explode(F.array_distinct(F.array(*suffixes(host_of(F.col("url")))))).alias("suffix"))
-    rates = counted.groupBy("suffix").agg(((F.sum("label") + prior) / (F.count(F.lit(1)) + 1.0)).alias("rate"))
-    taught = sample.where(~half)
+    drawn = pairs.where(chance < int((1 << 20) * min(0.5, rows / max(n, 1)))).distinct()
+    taught = materialize(drawn.orderBy(chance, "url", "label").limit(rows).coalesce(1))
     if taught.select("label").distinct().count() < 2:
-        return UrlModel(None, rates, prior)
-    rates = materialize(rates.coalesce(1))
-    table = _assembled(_with_suffix_rate(with_lexical(taught), rates, prior)).select("__features", "label")
+        return UrlModel(None, rates, prior, small)
+    own = _by_suffix(taught.select(host_of(F.col("url")).alias("host"), F.col("label").alias("bad"), F.lit(1).alias("n")))
+    own = own.select("suffix", F.col("bad").alias("own_bad"), F.col("n").alias("own_n"))
+    others = counts.join(F.broadcast(own), "suffix").where("n > own_n")
+    shown = others.select("suffix", _rate(F.col("bad") - F.col("own_bad"), F.col("n") - F.col("own_n"), prior).alias("rate"))
+    table = _assembled(_with_suffix_rate(with_lexical(taught), materialize(shown.coalesce(1)), prior)).select("__features", "label")
     made = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=32)
-    return UrlModel(made.fit(materialize(table.coalesce(1))), rates, prior)
+    return UrlModel(made.fit(materialize(table.coalesce(1))), rates, prior, small)
 
 
 def filter_urls(urls: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url", threshold: float = 0.5) -> DataFrame:

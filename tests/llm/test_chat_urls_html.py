@@ -1,4 +1,5 @@
 import hashlib
+import math
 
 import pytest
 from hypothesis import given, settings
@@ -112,6 +113,29 @@ def test_url_model_of_one_class_and_empty(spark):
     assert urls.filter_urls(df.limit(0), RULES, model).count() == 0
 
 
+def test_suffix_rates_count_every_row(spark):
+    rows = [(f"http://{'casino' if i % 5 == 0 else 'blog'}.h{i}.org/{k}", float(i % 5 == 0)) for i in range(400) for k in range(3)]
+    model = urls.train(spark.createDataFrame(rows, "url string, label double"), rows=60)
+    rates = {r["suffix"]: r["rate"] for r in model.suffix_rates.collect()}
+    assert model.prior == 0.2 and set(rates) >= {f"h{i}.org" for i in range(400)}
+    assert all(rates[f"h{i}.org"] == pytest.approx(((i % 5 == 0) * 3 + 0.2) / 4) for i in range(400)) and rates["org"] == pytest.approx((240 + 0.2) / 1201)
+    df = spark.createDataFrame([(u,) for u, _ in rows] + [(None,), ("x",), ("http://new.net/",)], "url string")
+    broadcast = {r["url"]: r["p"] for r in model.score(df, out="p").collect()}
+    model.small = False
+    salted = model.score(df, out="p").collect()
+    assert len(salted) == len(rows) + 3 and {r["url"]: r["p"] for r in salted} == broadcast
+
+
+def test_path_entropy_of_the_whole_path(spark):
+    paths = ["/" + "a" * 1999 + "b" * 2000, "/é😀?", ""]
+    got = urls.with_lexical(spark.createDataFrame([(i, f"http://h.org{p}") for i, p in enumerate(paths)], "i int, url string")).orderBy("i").collect()
+
+    def slow(t):
+        return -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))
+
+    assert [r["path_entropy"] for r in got] == pytest.approx([slow(paths[0]), slow("/é😀"), 0.0])
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body class="has-sidebar"><nav><ul><li><a href=x>Home</a></li></ul></nav>'
     '<div class="cookie-notice">We use cookies</div><article class="post"><h1>Head &amp; more</h1><p><b>Bold<br>text<p>Second\n  para &lt;x&gt; &#233;</p>'
