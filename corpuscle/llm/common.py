@@ -20,11 +20,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see (``spark.checkpoint.dir``).
 
-    Only where the session has none (tests, a notebook in local mode) is a
-    temporary folder made and set.
+    Only where the session has none and runs on one machine (tests, a notebook)
+    is a temporary folder made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpuscle-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -52,6 +54,24 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, hot: int = 2000) -> DataFrame:
+    """``rows`` left-joined by ``key`` with ``table`` (one row per key); the table's other columns but ``weight`` are added.
+
+    ``weight`` is how many rows a key has, of ``total`` in all. Keys with more
+    than one in ``hot`` of all rows are at most ``hot`` in number: they are
+    broadcast, so no task gathers a frequent key. The rest are joined by key, and
+    rows that have met a frequent one are dealt at random there.
+    """
+    added = [c for c in table.columns if c not in (key, weight)]
+    many = F.col(weight) * hot > F.lit(total)
+    often = table.where(many).select(F.col(key).alias("__k1"), F.lit(True).alias("__met"), *[F.col(c).alias(f"__1{c}") for c in added])
+    rest = table.where(~many).select(F.col(key).alias("__k2"), F.lit(-1).alias("__d2"), *[F.col(c).alias(f"__2{c}") for c in added])
+    met = rows.join(F.broadcast(often), F.col(key) == F.col("__k1"), "left")
+    met = met.withColumn("__d", F.when(F.col("__met"), F.floor(F.rand(7) * 100_000).cast("int")).otherwise(-1))
+    whole = met.join(rest, (F.col(key) == F.col("__k2")) & (F.col("__d") == F.col("__d2")), "left")
+    return whole.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"__1{c}", f"__2{c}").alias(c) for c in added])
+
+
 def text_chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters; a longer text is alone."""
     start = size = 0

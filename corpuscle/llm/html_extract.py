@@ -1,10 +1,11 @@
 """HTML main-text extraction with a style tree per host.
 
 The pages of a host are merged into one tree whose nodes are element paths
-(tags with their class names). A node on which the host's pages agree, in its
-children or in its texts, is template; a node on which they differ is content.
-Branches of low importance, and those whose role is not the article's, are
-left out of every page.
+(tags with their class names). A node on which the host's pages agree, in the
+children around it and in its texts, is template; a node on which they differ
+is content. Nodes that are clearly less important than the host's text at large
+are left out of every page, and a branch goes with the last of its nodes. The
+roles of elements (menus, forms, notices) and articles are checked after that.
 """
 
 from __future__ import annotations
@@ -20,17 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, without
+from .common import hot_join, map_arrow, materialize, without
 from .urls import host_of
 
 #: Weight of content against presentation in a node's importance.
-GAMMA = 0.9
-#: Nodes of lower importance are template.
-LEAST_IMPORTANCE = 0.3
-#: Pages from which that limit holds; a node that fewer pages of the host have, two at least, needs a proportionally lower importance.
-MIN_PAGES = 8
-#: Rows that a host's tree is copied to, so that the pages of one host meet it in many tasks.
-SALTS = 16
+GAMMA = 0.5
+#: A node whose importance is less than this share of its host's mean is template.
+LEAST_SHARE = 0.8
+#: Hosts with more than one in so many of all pages meet their template by broadcast.
+HOT_HOSTS = 2000
 
 # Element kinds and the names that tell a branch's role.
 RAW = set("script style textarea title noscript template iframe svg math select object xmp noembed noframes".split())
@@ -77,7 +76,6 @@ class _Open:
     path: int
     noise: bool
     main: int  # 2 below an article, 1 below a main element, else 0
-    named: bool
     children: list[str] = field(default_factory=list)
 
 
@@ -90,7 +88,6 @@ class Block:
     noise: bool
     main: int
     linked: bool
-    named: tuple[int, ...]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -141,9 +138,7 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
         text = " ".join("".join(held).split())
         if text:
             top = stack[-1] if stack else None
-            blocks.append(
-                Block(text, tuple(e.path for e in stack), bool(top and top.noise), top.main if top else 0, linked > 0 and not plain, tuple(e.path for e in stack if e.named))
-            )
+            blocks.append(Block(text, tuple(e.path for e in stack), bool(top and top.noise), top.main if top else 0, linked > 0 and not plain))
         held.clear()
         plain = linked = 0
 
@@ -238,42 +233,44 @@ def parse(html: str) -> tuple[list[Block], dict[int, int]]:
             inside = top.main if top else 0
             kind = tag
             if attrs.get("class"):
-                kind += "." + re.sub(r"[0-9]+", "#", ".".join(sorted(attrs["class"].split())[:3]))
+                kind += "." + re.sub(r"[0-9]+", "#", ".".join(sorted(set(attrs["class"].split()))))
             noise = bool(top and top.noise) or _is_noise(tag, attrs, inside)
             main = 2 if tag == "article" else max(inside, 1 if tag == "main" or attrs.get("role", "").lower() == "main" else 0)
             path = xxhash.xxh64_intdigest(f"{top.path if top else 0}/{kind}") >> 1
             if top:
                 top.children.append(kind)
             if not m[3].endswith("/") or tag in ("p", "div", "article", "section", "li"):
-                stack.append(_Open(tag, path, noise, main, kind != tag))
+                stack.append(_Open(tag, path, noise, main))
     flush()
     close(0)
     return blocks, styles
 
 
-def choose(blocks: list[Block], template: set[int]) -> list[Block]:
-    """The article's blocks: those of articles, else of the main element, else all that aren't menus of links.
+def choose(blocks: list[Block], template: set[int], roles: bool = True) -> list[Block]:
+    """The blocks of nodes outside ``template``; of them, those of articles, else of the main element, else all that aren't menus of links.
 
-    A branch in ``template`` goes. Inside an article or main element only
-    branches with a class go that way, and never all of a page's text.
+    Without ``roles`` the style tree alone decides.
     """
-    own = [b for b in blocks if not b.noise]
+    own = [b for b in blocks if not b.paths or b.paths[-1] not in template]
+    if not roles:
+        return own
+    own = [b for b in own if not b.noise]
     level = max((b.main for b in own), default=0)
-    own = [b for b in own if b.main == level and (level or not b.linked)]
-    left = [b for b in own if template.isdisjoint(b.named if level else b.paths)] if template else own
-    return left or own
+    return [b for b in own if b.main == level and (level or not b.linked)]
 
 
-def extract(html: str | None, template: set[int] = frozenset()) -> str:
+def extract(html: str | None, template: set[int] = frozenset(), roles: bool = True) -> str:
     """Main text of one page: blocks in page order, one a line."""
-    return "\n".join(b.text for b in choose(parse(html or "")[0], template))
+    return "\n".join(b.text for b in choose(parse(html or "")[0], template, roles))
 
 
 def tree_counts(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, mark, n) of (host, html): on how many pages of the host a node has a mark.
+    """(host, node, kind, mark, n) of (host, html): the host's style tree as counts, summed per batch before they are dealt.
 
-    kind 's': mark is the node's style; 't': hash of a text in the node itself;
-    'a': a node above it. Counts are summed per batch before they are dealt.
+    kind 's': on how many pages the node has the style ``mark`` (hash of its
+    children's kinds); 't': on how many pages a text of the node itself is
+    ``mark``; 'c': characters of the node's own texts; 'a': ``mark`` is the node
+    or one above it.
     """
 
     def run(batch):
@@ -281,8 +278,11 @@ def tree_counts(pages: DataFrame) -> DataFrame:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blocks, styles = parse(html or "")
             found.update((host, node, "s", style) for node, style in styles.items())
-            found.update((host, node, "t", mark) for node, mark in {(b.paths[-1], xxhash.xxh64_intdigest(b.text) >> 1) for b in blocks if b.paths})
-            for paths in {b.paths for b in blocks if b.paths}:
+            blocks = [b for b in blocks if b.paths]
+            found.update((host, node, "t", mark) for node, mark in {(b.paths[-1], xxhash.xxh64_intdigest(b.text) >> 1) for b in blocks})
+            for b in blocks:
+                found[host, b.paths[-1], "c", 0] += len(b.text)
+            for paths in {b.paths for b in blocks}:
                 found.update((host, paths[-1], "a", node) for node in paths)
         keys = list(found)
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -292,15 +292,16 @@ def tree_counts(pages: DataFrame) -> DataFrame:
     return map_arrow(pages, run, "host string, node long, kind string, mark long, n long")
 
 
-def importance(counts: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of every node of every host's tree.
+def importance(counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
+    """(host, node, pages, chars, content, importance) of every node with text of its own.
 
-    Presentation importance is the entropy of the node's styles over the host's
-    pages (base: their number). Content importance is one minus the mean entropy
-    of the texts below the node over pages: a text on all pages counts 0, one of a
-    single page counts 1. They are weighed by GAMMA.
+    Presentation: the entropy of a node's styles over the host's pages (base: their
+    number), of the node or the element around it that varies most. Content: one
+    minus the mean entropy of the node's texts over pages, so a text on all pages
+    counts 0 and one of a single page 1. ``gamma`` weighs content against
+    presentation. A node of a single page has importance 1.
     """
-    n = F.col("n")
+    n, mark = F.col("n"), F.col("mark")
     style, text = F.col("kind") == "s", F.col("kind") == "t"
     marks = counts.groupBy("host", "node", "kind", "mark").agg(F.sum("n").alias("n"))
     nodes = marks.groupBy("host", "node").agg(
@@ -308,27 +309,37 @@ def importance(counts: DataFrame) -> DataFrame:
         F.sum(F.when(style, n * F.ln(n))).alias("style_sum"),
         F.sum(F.when(text, n)).alias("texts"),
         F.sum(F.when(text, n * F.ln(n))).alias("text_sum"),
-        F.collect_set(F.when(F.col("kind") == "a", F.col("mark"))).alias("above"),
+        F.sum(F.when(F.col("kind") == "c", n)).alias("chars"),
+        F.collect_set(F.when(F.col("kind") == "a", mark)).alias("above"),
     )
     nodes = materialize(nodes)  # a tree has as many nodes as templates have elements, not as pages have
-    shares = nodes.where("texts > 0").select("host", "texts", "text_sum", F.explode("above").alias("node"))
-    below = shares.groupBy("host", "node").agg(F.sum("texts").alias("texts"), F.sum("text_sum").alias("text_sum"))
     base = F.ln(F.col("pages"))
-    looks = (base - F.col("style_sum") / F.col("pages")) / base
-    content = F.coalesce(1 - F.col("text_sum") / (F.col("texts") * base), F.lit(1.0))
-    both = nodes.select("host", "node", "pages", "style_sum").join(below, ["host", "node"], "left")
-    return both.select("host", "node", "pages", F.when(F.col("pages") > 1, GAMMA * content + (1 - GAMMA) * looks).otherwise(1.0).alias("importance"))
-
-
-def template_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, template): each host's nodes of low importance. One row per host that has any."""
-    limit = least * F.least(F.lit(1.0), F.col("pages") / min_pages)
-    low = importance(tree_counts(pages)).where((F.col("pages") > 1) & (F.col("importance") < limit))
-    return low.groupBy("host").agg(F.collect_list("node").alias("template"))
+    looks = F.when(F.col("pages") > 1, (base - F.col("style_sum") / F.col("pages")) / base).otherwise(0.0)
+    styles = nodes.select("host", F.col("node").alias("over"), looks.alias("looks"))
+    around = nodes.where("texts > 0").select("host", "node", F.explode("above").alias("over"))
+    varies = around.join(styles, ["host", "over"]).groupBy("host", "node").agg(F.max("looks").alias("looks"))
+    both = nodes.where("texts > 0").select("host", "node", "pages", "texts", "text_sum", "chars").join(varies, ["host", "node"])
+    content = F.when(F.col("pages") > 1, 1 - F.col("text_sum") / (F.col("texts") * base)).otherwise(1.0)
+    worth = F.when(F.col("pages") > 1, gamma * F.col("content") + (1 - gamma) * F.col("looks")).otherwise(1.0)
+    return both.withColumn("content", content).select("host", "node", "pages", "chars", "content", worth.alias("importance"))
+
+
+def template_nodes(pages: DataFrame, least: float = LEAST_SHARE, gamma: float = GAMMA) -> DataFrame:
+    """(host, pages, template): each host's nodes of low importance. One row per host that has any.
+
+    The measure is the host's own text: its mean importance, each node weighed by
+    its characters and content, so what a host repeats has no say in it. A host
+    whose pages all say the same has no template.
+    """
+    judged = materialize(importance(tree_counts(pages), gamma))
+    weight = F.col("chars") * F.col("content")
+    means = judged.groupBy("host").agg((F.sum(weight * F.col("importance")) / F.sum(weight)).alias("mean"), F.max("pages").alias("most"))
+    low = judged.join(means, "host").where((F.col("pages") > 1) & (F.col("importance") < least * F.col("mean")))
+    return low.groupBy("host").agg(F.max("most").alias("pages"), F.collect_list("node").alias("template"))
 
 
 def extract_main_text(
-    pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST_IMPORTANCE, min_pages: int = MIN_PAGES
+    pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST_SHARE, gamma: float = GAMMA, roles: bool = True
 ) -> DataFrame:
     """``pages`` with ``text``, the main text of each page, in place of the html.
 
@@ -339,26 +350,26 @@ def extract_main_text(
     or template that is never closed is an ordinary element, so that what
     follows stays. A page that ends inside a tag, or inside a script or another
     element of bare text, ends there. A page of one host (or of none, when its URL is
-    null) is judged with the pages of that host; null html gives an empty text;
-    repeated rows are kept and get equal texts; an empty table gives no rows.
-    Columns named ``text`` are replaced.
-
-    The table of templates has one row per host; Spark broadcasts it while it is
-    small and else joins it by host and salt, so no host gathers in one task.
+    null) is judged with the pages of that host, from two pages on; null html
+    gives an empty text; repeated rows are kept and get equal texts; an empty
+    table gives no rows. Columns named ``text`` are replaced. Without ``roles``
+    the style tree alone decides, and no tag or class name has a meaning.
+
+    Templates are joined by host. Those of hosts with more than one in HOT_HOSTS
+    of all pages, so at most HOT_HOSTS rows, are broadcast; every other host has
+    few enough pages for one task.
     """
     names = [c for c in without(pages, "text").columns if c != html]
     slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    found = materialize(template_nodes(slim, least, min_pages))
-    dealt = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "__host")
-    kept = pages.select(*names, F.col(html).alias("__html")).withColumns({"__at": host_of(F.col(url)), "__deal": F.pmod(F.xxhash64(url, "__html"), F.lit(SALTS)).cast("int")})
-    met = kept.join(dealt, (F.col("__at") == F.col("__host")) & (F.col("__deal") == F.col("__salt")), "left").select(*names, "__html", "template")
+    found = materialize(template_nodes(slim, least, gamma))
+    kept = pages.select(*names, F.col(html).alias("__html")).withColumn("__at", host_of(F.col(url)))
+    total = found.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    met = hot_join(kept, found.select(F.col("host").alias("__at"), F.col("pages").alias("__n"), "template"), "__at", "__n", total, HOT_HOSTS).select(*names, "__html", "template")
     schema = T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType())])
 
     def run(batch):
         k = len(names)
-        texts = [
-            extract(page.as_py(), set(low.as_py() or ())) for page, low in zip(batch.column(k), batch.column(k + 1))
-        ]
+        texts = [extract(page.as_py(), set(low.as_py() or ()), roles) for page, low in zip(batch.column(k), batch.column(k + 1))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string())], names=[f.name for f in schema])
 
     return map_arrow(met, run, schema)

@@ -206,3 +206,60 @@ def test_long_page_is_linear():
     html_extract.extract("<a \"" * 200_000)
     html_extract.extract("<p>x " * 100_000 + "<div>" * 3000)
     assert time.time() - began < 20
+
+
+def slow_importance(pages, gamma=html_extract.GAMMA):
+    """host -> {node: (pages, importance)} by walking every page again for every node."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        parsed = [html_extract.parse(t or "") for h, t in pages if h == host]
+        looks, found = {}, {}
+        for node in {x for _, styles in parsed for x in styles}:
+            seen = [styles[node] for _, styles in parsed if node in styles]
+            looks[node] = len(seen), -sum(seen.count(s) / len(seen) * math.log(seen.count(s) / len(seen), len(seen)) for s in set(seen)) if len(seen) > 1 else 0.0
+        for node in {b.paths[-1] for blocks, _ in parsed for b in blocks if b.paths}:
+            texts = [t for blocks, _ in parsed for t in {b.text for b in blocks if b.paths and b.paths[-1] == node}]
+            over = {x for blocks, _ in parsed for b in blocks if b.paths and b.paths[-1] == node for x in b.paths}
+            n = looks[node][0]
+            if n == 1:
+                found[node] = 1, 1.0
+                continue
+            spread = sum(math.log(texts.count(t)) / math.log(n) for t in texts) / len(texts)
+            found[node] = n, gamma * (1 - spread) + (1 - gamma) * max(looks[x][1] for x in over)
+        out[host] = found
+    return out
+
+
+def varied_pages():
+    rows = []
+    for i in range(30):
+        body = "".join(f"<p>{'text ' * (j + 1)}{i}.{j}</p>" + ("<ul><li>x<li>y</ul>" if (i + j) % 4 == 0 else "") for j in range(i % 7 + 1))
+        rows.append((f"h{i % 3}", f"<div class='m z a b c'><i>menu {i % 5}</i></div><div class='k'><h1>{i}</h1>{body}</div><div>notice</div>"))
+    return [*rows, ("", None), ("", ""), ("one", "<p>alone</p>"), rows[0], rows[0]]
+
+
+def test_importance_as_a_slow_version_gives_it(spark):
+    rows = varied_pages()
+    got = html_extract.importance(html_extract.tree_counts(spark.createDataFrame(rows, "host string, html string").repartition(3))).collect()
+    want = {(h, node): v for h, found in slow_importance(rows).items() for node, v in found.items()}
+    assert {(r["host"], r["node"]) for r in got} == set(want)
+    for r in got:
+        pages, worth = want[r["host"], r["node"]]
+        assert r["pages"] == pages and r["importance"] == pytest.approx(worth, abs=1e-9)
+
+
+def test_the_tree_alone_tells_menus_from_articles(spark):
+    rows = [(i, "http://s.org/", f"<ul class=nav><li>go {i % 4}</ul><div><p>{i} a</p>" + "<p>more and more %d</p>" % i * (i % 9) + f"</div><span>tail {i % 3}</span>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_extract.extract_main_text(df, roles=False).collect():
+        assert r["text"].startswith(f"{r['page_id']} a") and "go" not in r["text"]
+
+
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_hot_join(spark, hot):
+    from corpuscle.llm.common import hot_join
+
+    rows = spark.createDataFrame([(k, i) for i in range(60) for k in (1, 1, 1, 2, None, 9)], "k long, i long")
+    table = spark.createDataFrame([(1, 180, "a", 0), (2, 60, None, 5), (3, 7, "c", 1)], "k long, n long, x string, y long")
+    got = sorted(map(tuple, hot_join(rows, table, "k", "n", 400, hot).collect()), key=str)
+    assert got == sorted([(k, i, *{1: ("a", 0), 2: (None, 5)}.get(k, (None, None))) for i in range(60) for k in (1, 1, 1, 2, None, 9)], key=str)
