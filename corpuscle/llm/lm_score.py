@@ -3,11 +3,18 @@
 N-gram counts are quantised to powers of two. An n-gram of level q is put into
 the filter as (n-gram, 1) to (n-gram, q); its level is read back by probing
 (n-gram, 1), (n-gram, 2), ... until a probe misses.
+
+The filter is cut into slices. A pair lies in the slice of its own hash if its
+second token is one of the frequent ones, which every worker knows, and else in
+the slice of that token, beside the token's own entry. So whatever a position
+of a text asks for lies in one slice: a filter too large for one broadcast is
+used slice group by slice group, and each probe is dealt to its group once.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +26,17 @@ from .common import arrow_chunks, map_arrow, materialize
 #: Bytes of text that are worked on at once in a task.
 CHUNK_CHARS = 500_000
 COUNT_CHARS = 1_500_000
-#: Each slice of the hash space has a filter of its own, as large as its n-grams need.
-SLICE_BITS = 12
+#: Each slice of the hash space has a filter of its own, as large as its n-grams need; slices are made for about so many tokens each.
+SLICE_TOKENS = 1 << 22
+LEAST_SLICE_BITS, MOST_SLICE_BITS = 12, 28
 BITS_PER_ENTRY = 8
 PROBES = 3
 #: Bytes of filter that are broadcast at once; a larger filter is used in as many passes.
 PASS_BYTES = 128 << 20
-#: Token counts that are broadcast for the exact base score; the other tokens are joined.
+#: Tokens that every worker knows with their counts; the others' exact counts are joined.
 HOT_TOKENS = 1 << 20
+#: Bytes of dealt probes that are worked on in one task.
+PROBE_BYTES = 64 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -92,102 +102,127 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _slices_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLICE_BITS)).astype(np.int32)
+def _slices_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(s, pair, h, c): counts of all tokens (pair false) and adjacent pairs (pair true) of the corpus."""
+def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, c): exact counts of all tokens of the corpus."""
+    at = docs.columns.index(text)
+
+    def run(batch):
+        for _, _, texts in arrow_chunks(batch.column(at), COUNT_CHARS):
+            h, c = np.unique(tokens_of(texts)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+    return map_arrow(docs, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+class HotTokens:
+    """The frequent tokens and their counts, sorted by hash."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray) -> None:
+        order = np.argsort(h)
+        self.h, self.c = h[order], c[order]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is one of these, its count or 0) of each token."""
+        if not len(self.h):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        known = self.h[i] == h
+        return known, np.where(known, self.c[i], 0)
+
+
+def count_pairs(docs: DataFrame, hot, bits: int, text: str = "text") -> DataFrame:
+    """(s, h, c): counts of adjacent pairs of tokens by the slice they lie in."""
     at = docs.columns.index(text)
 
     def run(batch):
         for _, _, texts in arrow_chunks(batch.column(at), COUNT_CHARS):
             tokens, starts = tokens_of(texts)
-            for pair, values in ((False, tokens), (True, pairs_of(tokens, starts))):
-                h, c = np.unique(values, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_slices_of(h)), pa.array(np.full(len(h), pair)), _signed(h), pa.array(c.astype(np.int64))], names=["s", "pair", "h", "c"]
-                )
+            h, first, c = np.unique(pairs_of(tokens, starts), return_index=True, return_counts=True)
+            second = tokens[first]
+            u, inverse = np.unique(second, return_inverse=True)
+            s = _slices_of(np.where(hot.value.find(u)[0][inverse], h, second), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(s), _signed(h), pa.array(c.astype(np.int64))], names=["s", "h", "c"])
 
     # Dealt by slice, so that one shuffle serves the sums and the filters alike.
-    counted = map_arrow(docs, run, "s int, pair boolean, h long, c long")
-    return counted.repartition("s").groupBy("s", "pair", "h").agg(F.sum("c").alias("c"))
+    return map_arrow(docs, run, "s long, h long, c long").repartition("s").groupBy("s", "h").agg(F.sum("c").alias("c"))
 
 
 def _level(c: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(c)).astype(np.int64) + 1
 
 
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
+
+
 def _spots(h: np.ndarray, level: int, bits: np.ndarray) -> list[np.ndarray]:
+    """The PROBES places of (n-gram, level) in a filter of ``bits`` (fewer than 2 ** 32)."""
     x = _mix(h + np.uint64(level * int(_ODD) % (1 << 64)))
-    y = _mix(x + _BASE) | np.uint64(1)
-    return [(x + np.uint64(k) * y) % bits for k in range(PROBES)]
+    a, b = x >> _HALF, (x & _LOW) | np.uint64(1)
+    return [(((a + np.uint64(k) * b) & _LOW) * bits) >> _HALF for k in range(PROBES)]
 
 
-def build_filters(counts: DataFrame) -> DataFrame:
-    """Token counts (kind 't': h, c) and filters (kinds 'u' and 'p': slice, bits, content) of the n-grams.
+def build_filters(counts: DataFrame, per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """(s, size, bits) of (s, h, c): one filter per slice, of ``per_entry`` bits for each level of each n-gram.
 
-    Tokens and pairs have one filter row per slice each, of BITS_PER_ENTRY bits for
-    each level of each n-gram; a task holds the hashes of its own slices only.
+    Rows of a slice must be in one partition; a task holds the hashes of its own slices only.
     """
     names = counts.columns
 
     def run(batches):
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            s, pair, h, c = (batch.column(names.index(n)).to_numpy(zero_copy_only=False) for n in ("s", "pair", "h", "c"))
+            s, h, c = (batch.column(names.index(n)).to_numpy(zero_copy_only=False) for n in ("s", "h", "c"))
             level = _level(c)
-            single = ~pair
-            if single.any():
-                yield _rows("t", h[single], c[single], [None] * int(single.sum()))
-            owner = 2 * s.astype(np.int64) + pair
-            order = np.argsort(owner, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+            order = np.argsort(s, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(s[order])) + 1):
                 if len(part):
-                    held.setdefault(int(owner[part[0]]), []).append((h[part].view(np.uint64), level[part].astype(np.int8)))
-        for k, parts in held.items():
+                    held.setdefault(int(s[part[0]]), []).append((h[part].view(np.uint64), level[part].astype(np.int8)))
+        for s, parts in held.items():
             h = np.concatenate([p[0] for p in parts])
             level = np.concatenate([p[1] for p in parts])
-            size = -(-int(level.sum(dtype=np.int64)) * BITS_PER_ENTRY // 64) * 64
+            size = -(-int(level.sum(dtype=np.int64)) * per_entry // 64) * 64
             flat = np.zeros(size, bool)
             for q in range(1, int(level.max()) + 1):
                 for spot in _spots(h[level >= q], q, np.uint64(size)):
                     flat[spot] = True
-            yield _rows("pu"[k % 2 == 0], np.array([k // 2]), np.array([size]), [np.packbits(flat, bitorder="little").tobytes()])
-
-    return counts.mapInArrow(run, "kind string, h long, c long, bits binary")
-
+            packed = np.packbits(flat, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([size]), pa.array([packed], pa.binary())], names=["s", "size", "bits"])
 
-def _rows(kind: str, h: np.ndarray, c: np.ndarray, bits: list) -> pa.RecordBatch:
-    columns = [pa.array([kind] * len(h)), pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(bits, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "h", "c", "bits"])
+    return counts.mapInArrow(run, "s long, size long, bits binary")
 
 
 class Filters:
-    """Filters of some slices, side by side."""
-
-    def __init__(self, packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        slices, sizes, self.bits = packed
-        self.offset = np.zeros(1 << SLICE_BITS, np.int64)
-        self.size = np.zeros(1 << SLICE_BITS, np.uint64)
-        self.offset[slices] = np.cumsum(sizes // 8) - sizes // 8
-        self.size[slices] = sizes
-
-    def here(self, h: np.ndarray) -> np.ndarray:
-        return self.size[_slices_of(h)] > 0
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """Levels of n-grams whose slices are here, by repeated membership probes."""
+    """Filters of some slices of ``bits``, side by side."""
+
+    def __init__(self, packed: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int) -> None:
+        slices, sizes, self.content = packed
+        self.bits = bits
+        self.least = int(slices.min()) if len(slices) else 0
+        self.count = int(slices.max()) - self.least + 1 if len(slices) else 1
+        self.offset = np.zeros(self.count, np.int64)
+        self.size = np.zeros(self.count, np.uint64)
+        self.offset[slices - self.least] = np.cumsum(sizes // 8) - sizes // 8
+        self.size[slices - self.least] = sizes
+
+    def level(self, h: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+        """Levels of n-grams (in the slice of ``by``, else their own) by repeated membership probes; 0 where no slice is here."""
+        s = _slices_of(h if by is None else by, self.bits) - self.least
+        s[(s < 0) | (s >= self.count)] = 0
         out = np.zeros(len(h), np.int8)
-        left = np.flatnonzero(self.here(h))
+        left = np.flatnonzero(self.size[s] > 0)
         q = 1
         while len(left):
-            s = _slices_of(h[left])
-            offset = self.offset[s]
+            at = s[left]
+            offset = self.offset[at]
             met = np.ones(len(left), bool)
-            for spot in _spots(h[left], q, self.size[s]):
+            for spot in _spots(h[left], q, self.size[at]):
                 i = spot.astype(np.int64)
-                met &= (self.bits[offset + (i >> 3)] >> (i & 7).astype(np.uint8)) & 1 == 1
+                met &= (self.content[offset + (i >> 3)] >> (i & 7).astype(np.uint8)) & 1 == 1
             left = left[met]
             out[left] = q
             q += 1
@@ -198,29 +233,56 @@ class Filters:
 _COUNT = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, 64)])
 
 
+@dataclass
+class Smoothing:
+    """The bigram model by levels: P(w | v) = (c(vw) + strength * P(w)) / (c(v) + strength)."""
+
+    n: int
+    v: int
+    strength: float
+
+    def __post_init__(self) -> None:
+        self.floor = self.n + 0.1 * (self.v + 1)
+        chance = (_COUNT + 0.1) / self.floor
+        #: log10 of the numerator by level of the pair and of its second token, and of the denominator by level of the first.
+        self.above = np.log10(_COUNT[:, None] + self.strength * chance[None, :])
+        self.below = np.log10(_COUNT + self.strength)
+
+
 _HELD: dict = {}
 
 
 def _unpacked(broadcast) -> dict:
-    """The broadcast's tables, built once per Python worker."""
-    key, single, pair, table = broadcast.value
+    """The broadcast's filters, built once per Python worker."""
+    key, words, tokens, pairs, bits = broadcast.value
     if _HELD.get("key") != key:
         _HELD.clear()
-        _HELD.update(key=key, single=Filters(single), pair=Filters(pair), table=table)
+        _HELD.update(key=key, words=words and Filters(words, LEAST_SLICE_BITS), tokens=tokens and Filters(tokens, bits), pairs=pairs and Filters(pairs, bits))
     return _HELD
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strength: float = 2.0, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def score_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    strength: float = 2.0,
+    pass_bytes: int = PASS_BYTES,
+    hot_tokens: int = HOT_TOKENS,
+    per_entry: int = BITS_PER_ENTRY,
+) -> DataFrame:
     """Per document: base and Bloom-filter language-model scores of the whole text.
 
     Learns from documents whose crc32(id as text) mod 10 is not 0 and scores all.
     ``score`` is the log10 probability under a bigram model, smoothed towards the
     unigrams with ``strength`` pseudo-counts; all its counts are read from the
-    filter. ``base_score`` uses exact unigram counts: those of the most frequent
-    tokens (at most HOT_TOKENS) are broadcast, those of all others are joined.
-    The pair filter grows with the corpus; ``pass_bytes`` of it are broadcast at
-    once, and more of it takes more passes over the documents. The token filter
-    (about 1.5 bytes per distinct token) goes with every pass.
+    filter. ``base_score`` uses exact unigram counts: those of the ``hot_tokens``
+    most frequent tokens are broadcast, those of all others are joined.
+
+    Everything broadcast is bounded: the frequent tokens' counts and filter by
+    ``hot_tokens``, the filter of pairs and other tokens by ``pass_bytes``. If it
+    fits, texts are scored in one scan. If not, one scan turns the texts into
+    probes, each dealt to the slice group it asks; a pass then reads its own
+    probes only, so time and disk don't grow with the number of passes.
 
     A null text is empty and has one token, the end; a null id counts as the empty
     string; repeated rows get equal scores; with no training documents all
@@ -228,100 +290,218 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _held_out(F.col(doc_id)).alias("held_out"))
-    learned = materialize(build_filters(count_ngrams(slim.where(~F.col("held_out")).select("text"))))
-    tokens = learned.where("kind = 't'").select("h", "c")
+    taught = slim.where(~F.col("held_out")).select("text")
+    tokens = materialize(count_tokens(taught))
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hot_from = _hot_threshold(tokens)
-    hot = tokens.where(F.col("c") >= hot_from).toArrow()
-    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-    table = (hot["h"].to_numpy().view(np.uint64)[order], hot["c"].to_numpy()[order])
-
-    passes: list[list[int]] = [[]]
-    size = 0
-    sizes = learned.where("kind = 'p'").select("h", F.length("bits")).collect()  # at most 2 ** SLICE_BITS rows
-    for s, length in sorted(tuple(r) for r in sizes):
-        if passes[-1] and size + length > pass_bytes:
-            passes.append([])
-            size = 0
-        passes[-1].append(s)
-        size += length
-    single = _packed_filters(learned.where("kind = 'u'"))
+    hot_from = _hot_threshold(tokens, hot_tokens)
+    frequent = (F.col("c") >= hot_from) | (F.col("h") == int(_END.view(np.int64)))
+    known = tokens.where(frequent).toArrow()  # at most hot_tokens rows and the end
+    hot = spark.sparkContext.broadcast(HotTokens(known["h"].to_numpy().view(np.uint64), known["c"].to_numpy()))
+    bits = min(MOST_SLICE_BITS, max(LEAST_SLICE_BITS, (int(n) // SLICE_TOKENS).bit_length()))
+
+    def by_slice(rows: DataFrame, width: int) -> DataFrame:
+        return rows.withColumn("s", F.shiftrightunsigned("h", 64 - width)).select("s", "h", "c").repartition("s")
+
+    words = materialize(build_filters(by_slice(tokens.where(frequent), LEAST_SLICE_BITS), per_entry))
+    rare = materialize(build_filters(by_slice(tokens.where(~frequent), bits), per_entry))
+    pairs = materialize(build_filters(count_pairs(taught, hot, bits), per_entry))
+    groups = _slice_groups(pairs, rare, pass_bytes)
+    model = Smoothing(int(n), int(v), strength)
+    everywhere = _packed_filters(words)
     scored = slim.withColumn("row", F.monotonically_increasing_id())
-    for number, chosen in enumerate(passes):
-        within = F.col("h").between(min(chosen, default=0), max(chosen, default=-1))
-        given = spark.sparkContext.broadcast((uuid.uuid4().hex, single, _packed_filters(learned.where("kind = 'p'").where(within)), table))
-        scored = materialize(_score_pass(scored, given, n, v, strength, number == 0, number == len(passes) - 1))
-        given.unpersist()
-    return _with_base(scored, tokens.where(F.col("c") < hot_from), n, v).select(
+    if len(groups) < 2:
+        given = spark.sparkContext.broadcast((uuid.uuid4().hex, everywhere, _packed_filters(rare), _packed_filters(pairs), bits))
+        scored = materialize(_scored_at_once(scored, given, hot, model))
+    else:
+        given = spark.sparkContext.broadcast((uuid.uuid4().hex, everywhere, None, None, bits))
+        dealt = _dealt(_with_probes(scored, given, hot, model, [g[1] for g in groups], bits), len(groups), int(n))
+        parts = []
+        for number, (least, most) in enumerate(groups):
+            within = F.col("s").between(least, most)
+            given = spark.sparkContext.broadcast((uuid.uuid4().hex, None, _packed_filters(rare.where(within)), _packed_filters(pairs.where(within)), bits))
+            parts.append(materialize(_answered(dealt.where(F.col("pass") == number), given, model)))
+            given.unpersist()
+        scored = dealt.where(F.col("pass") == -1).select("doc_id", "held_out", "row", *_MADE)
+        for part in parts:
+            scored = scored.join(part.withColumnRenamed("part", "__part"), "row", "left").withColumn("score", F.col("score") + F.coalesce("__part", F.lit(0.0))).drop("__part")
+    return _with_base(scored, tokens.where(~frequent), model).select(
         F.col("doc_id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
+def _slice_groups(pairs: DataFrame, rare: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """(first, last) slice of runs of slices whose filters take at most ``limit`` bytes (a larger slice is alone)."""
+    sizes = pairs.select("s", "size").union(rare.select("s", "size")).groupBy("s").agg((F.sum("size") / 8).alias("bytes")).orderBy("s")
+    groups: list[list[int]] = []
+    held = 0.0
+    for row in sizes.toLocalIterator():  # at most 2 ** MOST_SLICE_BITS small rows, one partition at a time
+        if groups and held + row["bytes"] <= limit:
+            groups[-1][1] = row["s"]
+            held += row["bytes"]
+        else:
+            groups.append([row["s"], row["s"]])
+            held = row["bytes"]
+    return [(a, b) for a, b in groups]
+
+
 def _packed_filters(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slices, bits of each, all contents) on the driver (their size was checked), by Arrow and so off its JVM heap."""
-    got = rows.select("h", "c", "bits").toArrow()
+    got = rows.select("s", "size", "bits").toArrow()
     whole = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8)
-    return got["h"].to_numpy(), got["c"].to_numpy(), whole
-
-
-def _score_pass(docs: DataFrame, given, n: int, v: int, strength: float, first: bool, last: bool) -> DataFrame:
-    """Adds what the pair filters of this pass know to each document's score; the first pass also sums the base."""
-    made = {"n_tokens": "long", "n_hot": "long", "hot_sum": "double", "tail": "array<long>", "score": "double"}
-    keep = ["doc_id", "held_out", "row"] + ([] if last else ["text"])
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {t}" for c, t in made.items()])
+    return got["s"].to_numpy(), got["size"].to_numpy(), whole
+
+
+#: What a scan of the texts adds to each row: the base over frequent tokens, the others, and the score as far as it is known.
+_MADE = {"n_tokens": "long", "n_hot": "long", "hot_sum": "double", "tail": "array<long>", "score": "double"}
+
+
+@dataclass
+class _Chunk:
+    """Tokens of some texts, and what every worker knows of them."""
+
+    tokens: np.ndarray
+    starts: np.ndarray
+    pairs: np.ndarray
+    known: np.ndarray  # of each position: is its token frequent
+    level: np.ndarray  # of each position: the token's level, 0 if it isn't frequent
+
+    @staticmethod
+    def of(texts: list, hot: HotTokens, words: Filters, model: Smoothing) -> tuple[_Chunk, dict]:
+        tokens, starts = tokens_of(texts)
+        at, counts = starts[:-1], np.diff(starts)
+        u, inverse = np.unique(tokens, return_inverse=True)
+        known, c = hot.find(u)
+        level = np.where(known, words.level(u), 0)[inverse]
+        base = np.where(known, np.log10((c + 0.1) / model.floor), 0.0)
+        known = known[inverse]
+        sizes = np.concatenate(([0], np.cumsum(np.add.reduceat((~known).astype(np.int64), at))))
+        made = {
+            "n_tokens": pa.array(counts),
+            "n_hot": pa.array(np.add.reduceat(known.astype(np.int64), at)),
+            "hot_sum": pa.array(np.add.reduceat(base[inverse], at)),
+            "tail": pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), _signed(tokens[~known])),
+        }
+        return _Chunk(tokens, starts, pairs_of(tokens, starts), known, level), made
+
+    def contexts(self, level: np.ndarray, model: Smoothing, end: int) -> np.ndarray:
+        """log10 of each position's denominator, from the levels of all tokens; texts start after ``end``."""
+        before = np.empty(len(level), np.int64)
+        before[1:] = level[:-1]
+        before[self.starts[:-1]] = end
+        return model.below[before]
+
+
+def _end_level(words: Filters) -> int:
+    return int(words.level(np.array([_END]))[0])
+
+
+def _scored_at_once(docs: DataFrame, given, hot, model: Smoothing) -> DataFrame:
+    """(doc_id, held_out, row) and _MADE, with the whole score."""
     names = docs.columns
-    floor = n + 0.1 * (v + 1)
 
     def run(batch):
         held = _unpacked(given)
-        single, pair, (hot_h, hot_c) = held["single"], held["pair"], held["table"]
-        parts = []
+        end = _end_level(held["words"])
+        made: dict[str, list] = {c: [] for c in _MADE}
         for _, _, texts in arrow_chunks(batch.column(names.index("text")), CHUNK_CHARS):
-            tokens, starts = tokens_of(texts)
-            at, counts = starts[:-1], np.diff(starts)
-            u, inverse = np.unique(tokens, return_inverse=True)
-            chance = (_COUNT[single.level(u)] + 0.1) / floor
-            contexts = _COUNT[single.level(u)]
-            pairs = pairs_of(tokens, starts)
-            here = pair.here(pairs) if len(pair.bits) else np.full(len(pairs), first)
-            before = np.empty(len(tokens))
-            before[1:] = contexts[inverse[:-1]]
-            before[at] = _COUNT[single.level(np.array([_END]))[0]]  # as many starts as ends
-            p = np.log10((_COUNT[pair.level(pairs)] + strength * chance[inverse]) / (before + strength)) if len(pair.bits) else np.log10(chance[inverse])
-            out = {"n_tokens": counts, "score": np.add.reduceat(np.where(here, p, 0.0), at)}
-            if first:
-                i = np.minimum(np.searchsorted(hot_h, u), max(len(hot_h) - 1, 0))
-                known = hot_h[i] == u if len(hot_h) else np.zeros(len(u), bool)
-                base = np.log10((np.where(known, hot_c[i] if len(hot_c) else 0, 0) + 0.1) / floor)
-                out["n_hot"] = np.add.reduceat(known[inverse].astype(np.int64), at)
-                out["hot_sum"] = np.add.reduceat(np.where(known, base, 0.0)[inverse], at)
-                rare = ~known[inverse]
-                sizes = np.concatenate(([0], np.cumsum(np.add.reduceat(rare.astype(np.int64), at))))
-                out["tail"] = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), _signed(tokens[rare]))
-            parts.append(out)
-        columns = [batch.column(names.index(c)) for c in keep]
-        for c in made:
-            if c == "score" and not first:
-                columns.append(pa.array(np.concatenate([x[c] for x in parts]) + batch.column(names.index(c)).to_numpy(zero_copy_only=False)))
-            elif c == "tail" and first:
-                columns.append(pa.concat_arrays([x[c] for x in parts]))
-            elif first or c in ("score",):
-                columns.append(pa.array(np.concatenate([x[c] for x in parts])))
-            else:
-                columns.append(batch.column(names.index(c)))
-        yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
+            chunk, base = _Chunk.of(texts, hot.value, held["words"], model)
+            level, rare = chunk.level.astype(np.int64), ~chunk.known
+            level[rare] = held["tokens"].level(chunk.tokens[rare])
+            pair = held["pairs"].level(chunk.pairs, np.where(rare, chunk.tokens, chunk.pairs))
+            p = model.above[pair, level] - chunk.contexts(level, model, end)
+            base["score"] = pa.array(np.add.reduceat(p, chunk.starts[:-1]))
+            for c, x in base.items():
+                made[c].append(x)
+        keep = ["doc_id", "held_out", "row"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in keep), *(pa.concat_arrays(x) for x in made.values())], names=[*keep, *_MADE])
+
+    return map_arrow(docs, lambda batch: run(batch) if batch.num_rows else (), _schema(docs))
+
+
+def _schema(docs: DataFrame) -> str:
+    keep = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "held_out", "row")]
+    return ", ".join(keep + [f"{c} {t}" for c, t in _MADE.items()])
+
+
+def _with_probes(docs: DataFrame, given, hot, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
+    """Rows of pass -1 are documents, with what is known without pairs; others hold a chunk's probes of one pass.
+
+    A probe is a pair's hash (``h``), its second token (``w``, or 0 if frequent)
+    and that token's level (``q``), for the text that is number ``t`` of ``ids``.
+    """
+    names = docs.columns
+    made_schema = _schema(docs)
+    lists = {"ids": pa.list_(pa.int64()), "t": pa.list_(pa.int32()), "h": pa.list_(pa.int64()), "w": pa.list_(pa.int64()), "q": pa.list_(pa.int8())}
+    last = np.array(ends)
 
+    def run(batch):
+        held = _unpacked(given)
+        end = _end_level(held["words"])
+        keep = [batch.column(names.index(c)) for c in ("doc_id", "held_out", "row")]
+        for a, b, texts in arrow_chunks(batch.column(names.index("text")), CHUNK_CHARS):
+            chunk, base = _Chunk.of(texts, hot.value, held["words"], model)
+            # A rare token's own count is asked by its probe, for it as the second of a pair and as the first of the next.
+            share = np.zeros(len(chunk.tokens))
+            after_known = np.concatenate(([True], chunk.known[:-1]))
+            after_known[chunk.starts[:-1]] = True
+            share[after_known] = -chunk.contexts(chunk.level, model, end)[after_known]
+            base["score"] = pa.array(np.add.reduceat(share, chunk.starts[:-1]))
+            size = b - a
+            docs_part = [c.slice(a, size) for c in keep] + list(base.values())
+            nothing = [pa.nulls(size, t) for t in lists.values()]
+            yield pa.RecordBatch.from_arrays([*docs_part, pa.array(np.full(size, -1, np.int32)), *nothing], names=fields)
+            goes = np.minimum(np.searchsorted(last, _slices_of(np.where(chunk.known, chunk.pairs, chunk.tokens), bits)), len(last) - 1)
+            text_of = np.repeat(np.arange(size, dtype=np.int32), np.diff(chunk.starts))
+            order = np.argsort(goes, kind="stable")
+            cuts = np.flatnonzero(np.diff(goes[order])) + 1
+            ids = keep[2].slice(a, size).to_numpy()
+            for part in np.split(order, cuts):
+                rare = ~chunk.known[part]
+                t, used = np.unique(text_of[part], return_inverse=True)
+                values = [ids[t], used.astype(np.int32), chunk.pairs[part].view(np.int64), np.where(rare, chunk.tokens[part], 0).view(np.int64), np.where(rare, -1, chunk.level[part]).astype(np.int8)]
+                packed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in values]
+                empty = [pa.nulls(1, c.type) for c in docs_part]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([goes[part[0]]], pa.int32()), *packed], names=fields)
+
+    fields = ["doc_id", "held_out", "row", *_MADE, "pass", *lists]
+    schema = made_schema + ", pass int, ids array<long>, t array<int>, h array<long>, w array<long>, q array<byte>"
     return map_arrow(docs, lambda batch: run(batch) if batch.num_rows else (), schema)
 
 
-def _with_base(scored: DataFrame, rare: DataFrame, n: int, v: int) -> DataFrame:
+def _dealt(probes: DataFrame, passes: int, tokens: int) -> DataFrame:
+    """``probes`` written in folders by pass, each in pieces of about PROBE_BYTES."""
+    pieces = max(1, tokens * 16 // passes // PROBE_BYTES)
+    salt = F.pmod(F.xxhash64("row", F.get("ids", F.lit(0))), F.lit(pieces))
+    count = max(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(passes * pieces, 100_000))
+    return materialize(probes.repartition(count, "pass", salt), by="pass")
+
+
+def _answered(probes: DataFrame, given, model: Smoothing) -> DataFrame:
+    """(row, part): what the probes of one pass add to each text's score."""
+    chosen = probes.select("ids", "t", "h", "w", "q")
+
+    def run(batch):
+        held = _unpacked(given)
+        for k in range(batch.num_rows):
+            ids, t, h, w, q = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(5))
+            h, w, rare = h.view(np.uint64), w.view(np.uint64), q < 0
+            level = q.astype(np.int64)
+            level[rare] = held["tokens"].level(w[rare])
+            pair = held["pairs"].level(h, np.where(rare, w, h))
+            share = model.above[pair, level]
+            share[rare] -= model.below[level[rare]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(t, share, len(ids)))], names=["row", "part"])
+
+    return map_arrow(chosen, run, "row long, part double").groupBy("row").agg(F.sum("part").alias("part"))
+
+
+def _with_base(scored: DataFrame, rare: DataFrame, model: Smoothing) -> DataFrame:
     """Completes the exact base score with the tokens that are not broadcast."""
-    floor = float(n + 0.1 * (v + 1))
     tail = (
         scored.select("row", F.explode("tail").alias("h"))
         .join(rare, "h", "left")
         .groupBy("row")
-        .agg(F.count("c").alias("tail_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / floor)).alias("tail_sum"))
+        .agg(F.count("c").alias("tail_known"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / float(model.floor))).alias("tail_sum"))
     )
     return (
         scored.join(tail, "row", "left")
@@ -330,13 +510,13 @@ def _with_base(scored: DataFrame, rare: DataFrame, n: int, v: int) -> DataFrame:
     )
 
 
-def _hot_threshold(tokens: DataFrame) -> int:
-    """The least count such that at most HOT_TOKENS tokens reach it (from a table of count classes)."""
+def _hot_threshold(tokens: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` tokens reach it (from a table of count classes)."""
     classes = tokens.groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()
     total, found = 0, (1 << 62)
     for row in sorted(classes, key=lambda r: -r["k"]):
         total += row["n"]
-        if total > HOT_TOKENS:
+        if total > most:
             break
         found = row["least"]
     return found
