@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, sorted_groups, text_chunks, without
+from .common import hot_join, map_arrow, materialize, sorted_groups, text_chunks, without
 from .graph import connected_components
 from .simhash import deal_tiles
 
-#: Characters of a shingle.
-SHINGLE = 8
+#: Characters of a shingle by the length of a line: (characters, shortest line, longest line). Short lines have short
+#: shingles, or one changed character would part them; lengths in two rows are compared both ways.
+SHINGLES = ((3, 3, 51), (5, 44, 95), (8, 80, 1 << 40))
 #: Bands of rows: at a similarity of 0.8 a pair shares no band in 0.3 % of cases, at 0.9 in one of 30,000.
 BANDS, ROWS = 8, 3
-#: Shorter lines repeat by nature (headings, list marks) and are left alone.
-MIN_CHARS = 30
 SIMILARITY = 0.8
 TILE = 512
+#: Groups of so many lines or more are verified by arrays instead of sets.
+MANY = 8
 _CHUNK = 200_000
 _P = np.uint32(0x01000193)
 _rng = np.random.default_rng(20240229)
@@ -37,37 +38,54 @@ def line_hash(normal: str) -> int:
     return xxhash.xxh64_intdigest(normal.encode("utf-8", "replace")) - (1 << 63)
 
 
-def shingles(normal: str) -> set[str]:
-    return {normal[i : i + SHINGLE] for i in range(max(1, len(normal) - SHINGLE + 1))}
+def shingles(normal: str, k: int) -> set[str]:
+    return {normal[i : i + k] for i in range(len(normal) - k + 1)}
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys; every line must have SHINGLE or more characters."""
+def similarity(a: str, b: str) -> float:
+    """The largest Jaccard similarity of two normal forms over the shingle lengths that both lines have; 1 if they are equal."""
+    best = float(a == b)
+    for k, low, high in SHINGLES:
+        if low <= len(a) <= high and low <= len(b) <= high:
+            x, y = shingles(a, k), shingles(b, k)
+            best = max(best, len(x & y) / len(x | y))
+    return best
+
+
+def _shingle_codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines in a row, and which places begin a shingle of ``k`` inside one line."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(x) for x in lines])
+    n = len(codes) - k + 1
+    inside = np.ones(n, bool)
+    for j in range(1, k):
+        at = ends[:-1] - j
+        inside[at[at < n]] = False
+    return codes, inside
+
+
+def band_keys(lines: list[str], k: int) -> np.ndarray:
+    """(lines, BANDS) keys; every line must have ``k`` or more characters."""
     if not lines:
         return np.zeros((0, BANDS), np.int64)
     out = np.empty((len(lines), BANDS), np.int64)
     for a, b in text_chunks(lines, _CHUNK):
         part = lines[a:b]
-        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(x) for x in part])
-        ends = np.cumsum(sizes)
-        n = len(codes) - SHINGLE + 1
+        codes, inside = _shingle_codes(part, k)
+        n = len(inside)
         h = np.zeros(n, np.uint32)
-        for k in range(SHINGLE):
+        for j in range(k):
             h *= _P
-            h ^= codes[k : k + n]
-        inside = np.ones(n, bool)  # shingles that don't run into the next line
-        for k in range(1, SHINGLE):
-            inside[(ends[:-1] - k)[ends[:-1] - k < n]] = False
+            h ^= codes[j : j + n]
         h = h[inside]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
-        starts = np.concatenate(([0], np.cumsum(sizes - SHINGLE + 1)[:-1]))
+        starts = np.concatenate(([0], np.cumsum([len(x) - k + 1 for x in part])[:-1]))
         for band in range(BANDS):
-            key = np.full(len(part), band + 1, np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                least = np.minimum.reduceat(h * _A[k] + _B[k], starts)
+            key = np.full(len(part), 16 * k + band + 1, np.uint64)
+            for j in range(band * ROWS, (band + 1) * ROWS):
+                least = np.minimum.reduceat(h * _A[j] + _B[j], starts)
                 key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             out[a:b, band] = key.view(np.int64)
@@ -75,19 +93,20 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _lines_of(text: str | None) -> list[str]:
-    return [x for x in map(normal_form, (text or "").split("\n")) if len(x) >= MIN_CHARS]
+    return [x for x in map(normal_form, (text or "").split("\n")) if x]
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes, bands) of (doc_id, text): per document, its considered lines and their band keys.
+    """(doc_id, mark, hashes, bands) of (doc_id, mark, text): per document, its lines and their band keys.
 
-    A line's band keys stand in the first document of a batch that has it.
+    The band keys of a line, with the number of its row of SHINGLES in the last
+    two bits, stand in the first document of a batch that has the line.
     """
 
     def run(batch):
-        hashes, keys = [], []
+        hashes, fresh_of = [], []
         seen: set[int] = set()
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             lines = _lines_of(text)
             marks = [line_hash(x) for x in lines]
             fresh: dict[int, str] = {}
@@ -96,34 +115,49 @@ def with_lines(docs: DataFrame) -> DataFrame:
                     seen.add(m)
                     fresh[m] = x
             hashes.append(marks)
-            keys.append(fresh)
-        made = band_keys([x for f in keys for x in f.values()])
-        owner = np.array([m for f in keys for m in f], np.int64)
-        offsets = np.concatenate(([0], np.cumsum([len(f) for f in keys]))).astype(np.int32)
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, BANDS, dtype=np.int32)), pa.array(made.reshape(-1)))
+            fresh_of.append(fresh)
+        owner = np.array([m for f in fresh_of for m in f], np.int64)
+        lines = [x for f in fresh_of for x in f.values()]
+        sizes = np.array([len(x) for x in lines], np.int64)
+        count = np.zeros(len(lines), np.int64)
+        made = []
+        for number, (k, low, high) in enumerate(SHINGLES):
+            of = np.flatnonzero((sizes >= low) & (sizes <= high))
+            keys = band_keys([lines[i] for i in of.tolist()], k) & ~np.int64(3) | number
+            made.append((of, keys))
+            count[of] += BANDS
+        starts = np.concatenate(([0], np.cumsum(count)))
+        flat = np.empty(int(starts[-1]), np.int64)
+        filled = starts[:-1].copy()
+        for of, keys in made:
+            flat[(filled[of][:, None] + np.arange(BANDS)).reshape(-1)] = keys.reshape(-1)
+            filled[of] += BANDS
+        rows = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
         bands = pa.StructArray.from_arrays([pa.array(owner), rows], names=["h", "keys"])
+        offsets = np.concatenate(([0], np.cumsum([len(f) for f in fresh_of]))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), bands)],
-            names=["doc_id", "hashes", "bands"],
+            [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), bands)],
+            names=["doc_id", "mark", "hashes", "bands"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, hashes array<long>, bands array<struct<h:long,keys:array<long>>>")
+    return map_arrow(docs, run, f"doc_id {kind}, mark long, hashes array<long>, bands array<struct<h:long,keys:array<long>>>")
 
 
 def candidate_groups(lines: DataFrame, tile: int = TILE) -> DataFrame:
     """(p, g, h, over): lines that share a band. Equal groups from several bands come once; ``over`` marks too large ones.
 
     ``p`` is a group's least line; groups of one p are verified in one task, which
-    builds each of their lines' shingles once. A line has BANDS groups at most.
+    builds each of their lines' shingles once. The last two bits of ``g`` are the
+    row of SHINGLES. A line has 2 * BANDS groups at most.
     """
     bands = lines.select(F.explode("bands").alias("b")).select("b.h", F.explode("b.keys").alias("bucket"))
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "h")
 
     def run(batches):
         for group, over in sorted_groups(batches, ["bucket"], "h", tile, 2):
-            h = group["h"]
-            g = group["bucket"][:1] if over else np.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)])
+            h, bucket = group["h"], group["bucket"][:1]
+            g = bucket if over else np.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)]) & ~np.int64(3) | (bucket & 3)
             p = g if over else h[:1]
             columns = [pa.array(np.repeat(p, len(h))), pa.array(np.repeat(g, len(h))), pa.array(h), pa.array(np.full(len(h), over))]
             yield pa.RecordBatch.from_arrays(columns, names=["p", "g", "h", "over"])
@@ -156,7 +190,7 @@ class _Verifier:
         self.clear()
 
     def clear(self) -> None:
-        self.sets: dict[int, set[str]] = {}
+        self.sets: dict[tuple[int, int], set[str]] = {}
         self.parent: dict[int, int] = {}
 
     def root(self, x: int) -> int:
@@ -165,23 +199,25 @@ class _Verifier:
             x = up
         return x
 
-    def edges(self, h: list[int], texts: np.ndarray) -> list[tuple[int, int]]:
+    def edges(self, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
         """Edges that join all lines of a group that are linked by a Jaccard similarity of ``least`` or more."""
-        for k, t in zip(h, texts):
-            if k not in self.sets:
-                self.sets[k] = shingles(t)
+        if len(h) >= MANY:
+            return [(h[i], h[j]) for i, j in _similar_rows(list(texts), k, self.least)]
+        for x, t in zip(h, texts):
+            if (x, k) not in self.sets:
+                self.sets[x, k] = shingles(t, k)
         found: list[tuple[int, int]] = []
         left = list(h)
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and left:
                 x = queue.pop()
-                a, rest, own = self.sets[x], [], self.root(x)
+                a, rest, own = self.sets[x, k], [], self.root(x)
                 for y in left:
                     if self.root(y) == own:
                         queue.append(y)
                         continue
-                    b = self.sets[y]
+                    b = self.sets[y, k]
                     small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
                     both = len(a & b) if small >= self.least * large else 0
                     if both and both >= self.least * (len(a) + len(b) - both):
@@ -194,7 +230,51 @@ class _Verifier:
         return found
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def _similar_rows(texts: list[str], k: int, least: float) -> list[tuple[int, int]]:
+    """Edges (as ``_Verifier.edges``, by position) of a larger group: a text's shingles are counted in all others at once."""
+    codes, inside = _shingle_codes(texts, k)
+    n = len(inside)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    owner = np.repeat(np.arange(len(texts)), [len(t) - k + 1 for t in texts])
+    values, number = np.unique(h[inside], return_inverse=True)
+    return linked_rows(owner, number, len(texts), len(values), least)
+
+
+def linked_rows(owner: np.ndarray, number: np.ndarray, rows: int, values: int, least: float) -> list[tuple[int, int]]:
+    """Edges that join all of ``rows`` sets linked by a Jaccard similarity of ``least`` or more.
+
+    The sets are pairs of a row (0 to rows - 1) and an element (0 to values - 1),
+    repeats allowed.
+    """
+    pairs = np.unique(owner.astype(np.int64) * values + number)
+    owner, number = pairs // max(values, 1), pairs % max(values, 1)
+    sizes = np.bincount(owner, minlength=rows)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    mark = np.zeros(values, bool)
+    found: list[tuple[int, int]] = []
+    waiting = np.ones(rows, bool)
+    for seed in range(rows):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        queue = [seed]
+        while queue and waiting.any():
+            x = queue.pop()
+            own = number[starts[x] : starts[x + 1]]
+            mark[own] = True
+            both = np.bincount(owner[mark[number]], minlength=rows)
+            mark[own] = False
+            near = np.flatnonzero(waiting & (both > 0) & (both >= least * (sizes + sizes[x] - both)))
+            found += [(x, int(y)) for y in near]
+            waiting[near] = False
+            queue += near.tolist()
+    return found
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between the hashes of lines, verified by exact Jaccard over whole lines."""
     groups = materialize(candidate_groups(lines, tile))
 
@@ -203,84 +283,108 @@ def similar_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILAR
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.string())], names=["h", "line"])
 
     wanted = groups.select("h").distinct()
-    found = materialize(map_arrow(docs.select("text"), texts, "h long, line string").join(wanted, "h"))
+    found = materialize(map_arrow(docs.select("text"), texts, "h long, line string").join(wanted, "h").distinct())
 
     def verify(keys):
         def run(batches):
-            verifier, last = _Verifier(similarity), None
+            verifier, last = _Verifier(least), None
             for group, _ in sorted_groups(batches, keys, "h", None, 2):
                 if group[keys[0]][0] != last or len(verifier.sets) > 4 * tile:
                     verifier.clear()
                     last = group[keys[0]][0]
-                edges = np.array(verifier.edges(group["h"].tolist(), group["line"]), np.int64).reshape(-1, 2)
+                k = SHINGLES[int(group["g"][0]) & 3][0]
+                edges = np.array(verifier.edges(group["h"].tolist(), group["line"], k), np.int64).reshape(-1, 2)
                 if len(edges):
                     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
         return _packed(run)
 
+    # The work is in Python and not in bytes, so the number of tasks is stated and not merged by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = groups.where("not over").select("p", "g", "h").join(found, "h").select("p", "g", "h", "line")
-    plain = plain.repartition("p").sortWithinPartitions("p", "g", "h").mapInArrow(verify(["p", "g"]), "a long, b long")
+    plain = plain.repartition(tasks, "p").sortWithinPartitions("p", "g", "h").mapInArrow(verify(["p", "g"]), "a long, b long")
     tiles = deal_tiles(groups.where("over").select("g", "h").distinct(), "g", "h", tile).join(found, "h").select("g", "i", "j", "h", "line")
-    tiles = tiles.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "h").mapInArrow(verify(["g", "i", "j"]), "a long, b long")
+    tiles = tiles.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j", "h").mapInArrow(verify(["g", "i", "j"]), "a long, b long")
     return plain.union(tiles)
 
 
-def line_classes(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h) of every considered line, and (h, root) of lines that are linked to different lines."""
-    lines = materialize(with_lines(docs))
-    roots = materialize(connected_components(similar_lines(docs, lines, similarity, tile)))
-    return lines.select("doc_id", F.explode("hashes").alias("h")), roots.select(F.col("node").alias("h"), "root")
+def _marked(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+    """(doc_id, mark, text): ``mark`` names a row by its id, text and the columns in ``more``."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text, *more).alias("mark"), F.col(text).alias("text"))
+
+
+def _rules(docs: DataFrame, lines: DataFrame, least: float, tile: int) -> DataFrame:
+    """(mark, hits) of (doc_id, mark, text) rows: for each of a row's lines that is repeated, its component and whether the row keeps it."""
+    roots = connected_components(similar_lines(docs, lines, least, tile)).select(F.col("node").alias("h"), "root")
+    occurs = lines.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark").alias("place"), F.explode("hashes").alias("h"))
+    counted = materialize(occurs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).join(roots, "h", "left"))
+    lonely = counted.where("root is null and n > 1").select("h", "n", F.col("h").alias("root"), "first")
+    linked = counted.where("root is not null")
+    by_root = linked.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("first").alias("of_root"))
+    total = linked.count()
+    # A component may hold many lines and a line may stand in many documents: both joins deal frequent keys apart.
+    whole = hot_join(linked.select("h", "n", "root"), by_root, "root", "members", total).select("h", "n", "root", F.col("of_root").alias("first"))
+    rules = materialize(lonely.union(whole))
+    hits = hot_join(occurs, rules, "h", "n", rules.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).where("root is not null")
+    keeps = F.col("place.mark") == F.col("first.mark")
+    return hits.select("place.mark", F.struct("h", "root", keeps.alias("keeps")).alias("hit")).groupBy("mark").agg(F.collect_set("hit").alias("hits"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """``docs`` with the repeated lines taken out, and ``n_lines``, ``n_removed``.
 
-    Lines of MIN_CHARS or more characters in normal form are compared by
-    character shingles; of lines that are equal or linked by a similarity of
-    ``similarity`` or more, the first one of the document with the smallest id
-    stays and all others go. Shorter lines stay. No document is dropped; one that
-    loses every line has an empty text. Null texts stay null; rows that share an
-    id are one document to this operator and each keep its first copy; null ids
-    come last; an empty table gives no rows. Columns of the names made here are
-    replaced.
+    Every line that isn't blank is judged by its normal form. Lines are linked if
+    those are equal, or by a Jaccard similarity of ``similarity`` or more of their
+    character shingles (of 3, 5 or 8 characters, by length). Of each component of
+    linked lines one stays: the first one in the row with the smallest id (null
+    ids come last; rows that share an id are told apart by their texts, equal rows
+    by their place). No document is dropped; one that loses every line has an
+    empty text. Blank lines stay, null texts stay null; an empty table gives no
+    rows. Columns of the names made here are replaced.
     """
-    docs = without(docs, "n_lines", "n_removed")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    occurrences, roots = line_classes(slim, similarity, tile)
-    placed = occurrences.join(roots, "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
-    shared = placed.groupBy("root").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keeps = F.col("doc_id").eqNullSafe(F.col("first"))
-    hits = placed.join(shared, "root").select("doc_id", F.struct("h", "root", keeps.alias("keeps")).alias("hit")).distinct()
-    per_doc = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("__hits")).withColumnRenamed("doc_id", "__id")
+    docs = without(docs, "n_lines", "n_removed", "__mark", "__hits", "__row")
     names = docs.columns
-    joined = docs.join(per_doc, F.col(doc_id).eqNullSafe(F.col("__id")), "left").select(*[docs[c] for c in names], "__hits")
+    rows = _marked(docs, doc_id, text)
+    lines = materialize(with_lines(rows))
+    mark = F.xxhash64(doc_id, text)
+    if not lines.where("size(hashes) > 0").groupBy("mark").count().where("count > 1").isEmpty():
+        docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))  # equal rows: a number names each
+        rows = _marked(docs, doc_id, text, "__row")
+        lines = materialize(with_lines(rows))
+        mark = F.xxhash64(doc_id, text, "__row")
+    rules = _rules(rows, lines, similarity, tile).select(F.col("mark").alias("__mark"), "hits", F.lit(0).alias("__at"))
+    blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    dealt = docs.withColumn("__own", mark).withColumn("__deal", F.when(blank, F.floor(F.rand(3) * 10_000).cast("int")).otherwise(0))
+    joined = dealt.join(rules, (F.col("__own") == F.col("__mark")) & (F.col("__deal") == F.col("__at")), "left").select(*names, "hits")
     at = names.index(text)
 
     def run(batch):
         texts, totals, removed = [], [], []
         for t, hits in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-            lines = (t or "").split("\n")
-            kept = lines
+            n = t.count("\n") + 1 if t is not None else 0
+            gone = 0
             if hits:
                 rule = {x["h"]: (x["root"], x["keeps"]) for x in hits}
                 used: set[int] = set()
                 kept = []
-                for line in lines:
+                for line in t.split("\n"):
                     normal = normal_form(line)
-                    root, keeps = rule.get(line_hash(normal), (None, True)) if len(normal) >= MIN_CHARS else (None, True)
+                    root, keeps = rule.get(line_hash(normal), (None, True)) if normal else (None, True)
                     if root is None or (keeps and root not in used):
                         kept.append(line)
                     used.add(root)
-            texts.append(t if t is None or len(kept) == len(lines) else "\n".join(kept))
-            totals.append(len(lines) if t is not None else 0)
-            removed.append(len(lines) - len(kept))
+                gone = n - len(kept)
+                t = "\n".join(kept) if gone else t
+            texts.append(t)
+            totals.append(n)
+            removed.append(gone)
         columns = batch.columns[: len(names)]
         columns[at] = pa.array(texts, columns[at].type)
         yield pa.RecordBatch.from_arrays(
             [*columns, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"]
         )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     return map_arrow(joined, run, schema)
 
 
@@ -293,10 +397,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return left.where((F.col("n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
-def brute_force(docs: list[tuple], similarity: float = SIMILARITY) -> dict:
-    """doc_id -> text left, by comparing all lines with all lines (small tables only)."""
+def brute_force(docs: list[tuple], least: float = SIMILARITY) -> list[str | None]:
+    """The text left of each (id, text), by comparing all lines with all lines (small tables only)."""
     normals = sorted({x for _, t in docs for x in _lines_of(t)})
-    sets = [shingles(x) for x in normals]
     parent = list(range(len(normals)))
 
     def find(i: int) -> int:
@@ -304,15 +407,15 @@ def brute_force(docs: list[tuple], similarity: float = SIMILARITY) -> dict:
             i = parent[i]
         return i
 
-    for i in range(len(sets)):
+    for i, a in enumerate(normals):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            if similarity(a, normals[j]) >= least:
                 parent[find(i)] = find(j)
     of = {x: find(i) for i, x in enumerate(normals)}
     used: set[int] = set()
-    out = {}
-    for ident, t in sorted(docs, key=lambda d: d[0]):
+    out: dict[int, str | None] = {}
+    for place in sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0)):
+        t = docs[place][1]
         kept = []
         for line in (t or "").split("\n"):
             root = of.get(normal_form(line))
@@ -320,5 +423,5 @@ def brute_force(docs: list[tuple], similarity: float = SIMILARITY) -> dict:
                 kept.append(line)
             if root is not None:
                 used.add(root)
-        out[ident] = None if t is None else "\n".join(kept)
-    return out
+        out[place] = None if t is None else "\n".join(kept)
+    return [out[i] for i in range(len(docs))]

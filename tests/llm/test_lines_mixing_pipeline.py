@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpuscle.llm import line_dedup, mixing, weak
@@ -20,9 +21,65 @@ def lined():
 
 @pytest.mark.parametrize("tile", [2, 512])
 def test_line_dedup(spark, tile):
-    rows = [r for r in lined() if r[0] is not None and r[0] != 107]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, rows), tile=tile).collect()}
-    assert got == line_dedup.brute_force(rows)
+    rows = lined()
+    rows += [(210 + i, f"All rights reserved.\n{'x' * (i % 3)}\n{prose(70 + i % 4, 5)}{'!' * (i % 2)}\nok\n - {i}") for i in range(24)]
+    got = line_dedup.dedup_lines(table(spark, rows), tile=tile).collect()
+    left = line_dedup.brute_force(rows)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((d, t) for (d, _), t in zip(rows, left))
+    assert all(r["n_lines"] - r["n_removed"] == (r["text"].count("\n") + 1 if r["text"] else r["n_lines"] - r["n_removed"]) for r in got)
+
+
+def test_line_dedup_of_repeated_ids_and_rows(spark):
+    one, two = prose(80, 14), prose(81, 14)
+    rows = [(7, one), (7, f"{one}\n{two}"), (7, one), (7, one), (None, one), (None, two), (None, None), (None, None), (3, f"{two}\n\n{two}")]
+    got = line_dedup.dedup_lines(table(spark, rows, extra=False)).collect()
+    kept = [line for r in got for line in (r["text"] or "").split("\n") if line]
+    assert len(got) == len(rows) and sorted(kept) == sorted([one, two])
+    assert {r["doc_id"] for r in got if r["text"] and two in r["text"]} == {3}
+
+
+def edited(line: str, n: int, seed: int) -> str:
+    import random
+
+    rng = random.Random(seed)
+    chars = list(line)
+    for i in rng.sample(range(len(chars)), n):
+        chars[i] = rng.choice("qzjkv")
+    return "".join(chars)
+
+
+def test_line_dedup_recall_by_length(spark):
+    # one changed character in lines of 30 to 400, three in longer ones; each pair stands in a document of its own
+    pairs = []
+    for i in range(400):
+        line = prose(5000 + i, 90)[: 30 + i % 370].strip()
+        pairs.append((line, edited(line, 1 if len(line) < 150 else 3, i)))
+    rows = [(i, x) for i, (a, b) in enumerate(pairs) for x in (a, b)]
+    left = Counter(r["doc_id"] for r in line_dedup.dedup_lines(table(spark, rows, extra=False)).collect() if r["text"])
+    similar = [i for i, (a, b) in enumerate(pairs) if line_dedup.similarity(line_dedup.normal_form(a), line_dedup.normal_form(b)) >= 0.8]
+    assert len(similar) > 250
+    caught = sum(left[i] == 1 for i in similar) / len(similar)
+    assert caught >= 0.98
+    assert all(left[i] == 2 for i in range(len(pairs)) if i not in similar)
+
+
+def test_sets_are_linked_by_exact_jaccard():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        base = [rng.sample(range(60), rng.randint(1, 25)) for _ in range(3)]
+        sets = [set(rng.choice(base)) ^ set(rng.sample(range(60), rng.randint(0, 3))) for _ in range(30)]
+        owner = np.array([i for i, s in enumerate(sets) for _ in s], np.int64)
+        edges = line_dedup.linked_rows(owner, np.array([x for s in sets for x in s], np.int64), len(sets), 60, 0.8)
+        assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in edges)
+        groups = list(range(30))
+        for a, b in [(i, j) for i in range(30) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]:
+            groups = [groups[b] if g == groups[a] else g for g in groups]
+        again = list(range(30))
+        for a, b in edges:
+            again = [again[b] if g == again[a] else g for g in again]
+        assert len(set(zip(groups, again))) == len(set(groups)) == len(set(again))
 
 
 def test_line_dedup_edges(spark):
