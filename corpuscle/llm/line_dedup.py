@@ -155,31 +155,36 @@ def candidate_groups(lines: DataFrame, tile: int = TILE) -> DataFrame:
     dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "h")
 
     def run(batches):
+        held: list[tuple[int, int, np.ndarray, bool]] = []
+        rows = 0
         for group, over in sorted_groups(batches, ["bucket"], "h", tile, 2):
-            h, bucket = group["h"], group["bucket"][:1]
-            g = bucket if over else np.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)]) & ~np.int64(3) | (bucket & 3)
-            p = g if over else h[:1]
-            columns = [pa.array(np.repeat(p, len(h))), pa.array(np.repeat(g, len(h))), pa.array(h), pa.array(np.full(len(h), over))]
-            yield pa.RecordBatch.from_arrays(columns, names=["p", "g", "h", "over"])
+            h, bucket = group["h"], int(group["bucket"][0])
+            g = bucket if over else (xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)) & ~3 | (bucket & 3)
+            held.append((g if over else int(h[0]), g, h, over))
+            rows += len(h)
+            if rows >= _ROWS:
+                yield _group_batch(held)
+                held, rows = [], 0
+        if held:
+            yield _group_batch(held)
 
-    return dealt.mapInArrow(_packed(run), "p long, g long, h long, over boolean").distinct()
+    return dealt.mapInArrow(run, "p long, g long, h long, over boolean").distinct()
 
 
-def _packed(run, rows: int = 20_000):
-    """Joins a generator's small batches into larger ones."""
+#: Rows that a task gathers before it hands them on.
+_ROWS = 20_000
 
-    def out(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if n:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return out
+def _group_batch(held: list[tuple[int, int, np.ndarray, bool]]) -> pa.RecordBatch:
+    sizes = [len(x[2]) for x in held]
+    columns = [np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1)]
+    columns += [np.concatenate([x[2] for x in held]), np.repeat(np.array([x[3] for x in held]), sizes)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["p", "g", "h", "over"])
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(edges, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
 class _Verifier:
@@ -200,9 +205,29 @@ class _Verifier:
         return x
 
     def edges(self, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """Edges that join all lines of a group that are linked by a Jaccard similarity of ``least`` or more."""
-        if len(h) >= MANY:
-            return [(h[i], h[j]) for i, j in _similar_rows(list(texts), k, self.least)]
+        """Edges that join all lines of a group that are linked by a Jaccard similarity of ``least`` or more.
+
+        None is given between lines that are joined already. Many large groups are
+        copies of one line with a change in one place, which their ends show.
+        """
+        own = self.root(h[0])
+        if all(self.root(y) == own for y in h[1:]):
+            return []
+        if len(h) < MANY:
+            found = self._pairwise(h, texts, k)
+        elif all(_surely_similar(texts[0], t, k, self.least) for t in texts[1:]):
+            found = [(h[0], y) for y in h[1:]]
+        else:
+            found = [(h[i], h[j]) for i, j in _similar_rows(list(texts), k, self.least)]
+        fresh = []
+        for x, y in found:
+            a, b = self.root(x), self.root(y)
+            if a != b:
+                self.parent[b] = a
+                fresh.append((x, y))
+        return fresh
+
+    def _pairwise(self, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
         for x, t in zip(h, texts):
             if (x, k) not in self.sets:
                 self.sets[x, k] = shingles(t, k)
@@ -211,18 +236,13 @@ class _Verifier:
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
             while queue and left:
-                x = queue.pop()
-                a, rest, own = self.sets[x, k], [], self.root(x)
+                a, x, rest = self.sets[queue[-1], k], queue.pop(), []
                 for y in left:
-                    if self.root(y) == own:
-                        queue.append(y)
-                        continue
                     b = self.sets[y, k]
                     small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
                     both = len(a & b) if small >= self.least * large else 0
                     if both and both >= self.least * (len(a) + len(b) - both):
                         found.append((x, y))
-                        self.parent[self.root(y)] = own
                         queue.append(y)
                     else:
                         rest.append(y)
@@ -230,6 +250,33 @@ class _Verifier:
         return found
 
 
+def _surely_similar(a: str, b: str, k: int, least: float) -> bool:
+    """Whether what two lines share at both ends proves a Jaccard similarity of ``least`` or more; False says nothing.
+
+    Shingles that don't touch the parts between the common ends are in both sets,
+    so at most ``apart`` are in one only; and some of a's shingles, counted
+    without repeats, are no more than the union has.
+    """
+    n = min(len(a), len(b))
+    start = _shared(a, b, n, lambda x, y, i, j: x.startswith(y[i:j], i))
+    end = _shared(a, b, n - start, lambda x, y, i, j: x.endswith(y[len(y) - j : len(y) - i], 0, len(x) - i))
+    apart = len(a) + len(b) - 2 * (start + end) + 2 * (k - 1)
+    step = max(1, len(a) // (8 * apart))
+    return apart <= (1 - least) * len({a[i : i + k] for i in range(0, len(a) - k + 1, step)})
+
+
+def _shared(a: str, b: str, n: int, same) -> int:
+    """The largest number up to ``n`` of characters that agree, found by halving."""
+    low, high = 0, n
+    while low < high:
+        middle = (low + high + 1) // 2
+        if same(a, b, low, middle):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def _similar_rows(texts: list[str], k: int, least: float) -> list[tuple[int, int]]:
     """Edges (as ``_Verifier.edges``, by position) of a larger group: a text's shingles are counted in all others at once."""
     codes, inside = _shingle_codes(texts, k)
@@ -239,8 +286,12 @@ def _similar_rows(texts: list[str], k: int, least: float) -> list[tuple[int, int
         h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     owner = np.repeat(np.arange(len(texts)), [len(t) - k + 1 for t in texts])
-    values, number = np.unique(h[inside], return_inverse=True)
-    return linked_rows(owner, number, len(texts), len(values), least)
+    h = h[inside]
+    order = np.argsort(h)
+    step = np.concatenate(([0], np.cumsum(np.diff(h[order]) != 0)))
+    number = np.empty(len(h), np.int64)
+    number[order] = step
+    return linked_rows(owner, number, len(texts), int(step[-1]) + 1, least)
 
 
 def linked_rows(owner: np.ndarray, number: np.ndarray, rows: int, values: int, least: float) -> list[tuple[int, int]]:
@@ -249,7 +300,8 @@ def linked_rows(owner: np.ndarray, number: np.ndarray, rows: int, values: int, l
     The sets are pairs of a row (0 to rows - 1) and an element (0 to values - 1),
     repeats allowed.
     """
-    pairs = np.unique(owner.astype(np.int64) * values + number)
+    pairs = np.sort(owner.astype(np.int64) * values + number)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
     owner, number = pairs // max(values, 1), pairs % max(values, 1)
     sizes = np.bincount(owner, minlength=rows)
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -288,16 +340,20 @@ def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY,
     def verify(keys):
         def run(batches):
             verifier, last = _Verifier(least), None
+            found: list[tuple[int, int]] = []
             for group, _ in sorted_groups(batches, keys, "h", None, 2):
                 if group[keys[0]][0] != last or len(verifier.sets) > 4 * tile:
                     verifier.clear()
                     last = group[keys[0]][0]
                 k = SHINGLES[int(group["g"][0]) & 3][0]
-                edges = np.array(verifier.edges(group["h"].tolist(), group["line"], k), np.int64).reshape(-1, 2)
-                if len(edges):
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-
-        return _packed(run)
+                found += verifier.edges(group["h"].tolist(), group["line"], k)
+                if len(found) >= _ROWS:
+                    yield _edge_batch(found)
+                    found = []
+            if found:
+                yield _edge_batch(found)
+
+        return run
 
     # The work is in Python and not in bytes, so the number of tasks is stated and not merged by size.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -82,6 +82,21 @@ def test_sets_are_linked_by_exact_jaccard():
         assert len(set(zip(groups, again))) == len(set(groups)) == len(set(again))
 
 
+def test_common_ends_prove_similarity_only_where_it_holds():
+    import random
+
+    rng, sure = random.Random(8), 0
+    for i in range(3000):
+        a = "".join(rng.choice("ab " if i % 2 else "abcdefghijklmnop ") for _ in range(rng.randint(8, 200)))
+        b = edited(a, rng.randint(0, 3), i) if i % 3 else a[: rng.randint(8, len(a))]
+        for k in (3, 5, 8):
+            if line_dedup._surely_similar(a, b, k, 0.8):
+                x, y = line_dedup.shingles(a, k), line_dedup.shingles(b, k)
+                assert len(x & y) >= 0.8 * len(x | y)
+                sure += 1
+    assert sure > 500
+
+
 def test_line_dedup_edges(spark):
     df = table(spark, lined())
     out = line_dedup.dedup_lines(df)
