@@ -169,3 +169,35 @@ def sorted_groups(
 
 def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return parts[0] if len(parts) == 1 else {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+
+
+def linked_rows(owner: np.ndarray, number: np.ndarray, rows: int, values: int, least: float) -> list[tuple[int, int]]:
+    """Edges that join all of ``rows`` sets linked by a Jaccard similarity of ``least`` or more.
+
+    The sets are pairs of a row (0 to rows - 1) and an element (0 to values - 1),
+    repeats allowed.
+    """
+    pairs = np.sort(owner.astype(np.int64) * values + number)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+    owner, number = pairs // max(values, 1), pairs % max(values, 1)
+    sizes = np.bincount(owner, minlength=rows)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    mark = np.zeros(values, bool)
+    found: list[tuple[int, int]] = []
+    waiting = np.ones(rows, bool)
+    for seed in range(rows):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        queue = [seed]
+        while queue and waiting.any():
+            x = queue.pop()
+            own = number[starts[x] : starts[x + 1]]
+            mark[own] = True
+            both = np.bincount(owner[mark[number]], minlength=rows)
+            mark[own] = False
+            near = np.flatnonzero(waiting & (both > 0) & (both >= least * (sizes + sizes[x] - both)))
+            found += [(x, int(y)) for y in near]
+            waiting[near] = False
+            queue += near.tolist()
+    return found

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_arrow, materialize, text_chunks, without
 
@@ -144,16 +145,12 @@ def _search(docs: DataFrame, items, text: str, n: int, added: T.StructType, agai
                 found.append(sorted(who | set(old_items[k]), key=str))
         columns = [*batch.columns[: len(base)], pa.array(counts, pa.int64()), pa.array(spans, span_type)]
         item_type = batch.schema.field(len(base) + 2).type.value_type if again else None
-        columns.append(pa.array(found, pa.list_(item_type or _arrow_type(added["hit_items"].dataType.elementType))))
+        columns.append(pa.array(found, pa.list_(item_type or to_arrow_type(added["hit_items"].dataType.elementType))))
         yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return map_arrow(docs, run, schema)
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind.simpleString()]
-
-
 def _search_chunk(index: _Index, texts: list) -> list[tuple[int, list[tuple[int, int]], set]]:
     """For each text: words, merged hit ranges, items found."""
     lists = [words_of(t) for t in texts]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import materialize, without
 
 #: Rows that are ranked in one piece; larger sources are ranked in as many pieces as they need.
-PIECE_ROWS = 50_000
+PIECE_ROWS = 2_000
 BLOCK_ROWS = 64
 REST = "__rest__"
 

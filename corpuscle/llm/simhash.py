@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, sorted_groups, without
+from .common import hot_join, linked_rows, map_arrow, materialize, sorted_groups, without
 from .graph import connected_components
 
 #: (shift, width) of the blocks of a fingerprint.
@@ -19,29 +21,42 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 TILE = 4096
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of a whole text: majority bits of XXH64 (seed 42) over its word shingles."""
+def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of a whole text's word shingles, repeats included; of the whole sequence if it is shorter."""
     w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(w) < words:
-        hashes = [digest(b" ".join(w), 42)]
-    else:
-        flat = b" ".join(w)
-        ends, at = [], -1
-        for x in w:
-            at += len(x) + 1
-            ends.append(at)
-        starts = [0, *[e + 1 for e in ends[: len(w) - words]]]
-        hashes = [digest(flat[a:b], 42) for a, b in zip(starts, ends[words - 1 :])]
-    n = len(hashes)
-    ones = np.zeros(64, np.int64)
-    every = np.array(hashes, dtype="<u8")
-    for i in range(0, n, 65536):
-        part = every[i : i + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        return np.array([digest(b" ".join(w), 42)] if w else [], dtype=np.uint64)
+    flat = b" ".join(w)
+    ends, at = [], -1
+    for x in w:
+        at += len(x) + 1
+        ends.append(at)
+    starts = [0, *[e + 1 for e in ends[: len(w) - words]]]
+    return np.array([digest(flat[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of a whole text: majority bits of XXH64 (seed 42) over its word shingles."""
+    hashes = shingle_hashes(text, words)
+    return int(np.packbits(majority_bits(hashes, 1), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
+def majority_bits(hashes: np.ndarray, count: int) -> np.ndarray:
+    """64 * ``count`` bits: the majority bits of the hashes, then of ``count`` - 1 further hashes of each."""
+    ones = np.zeros(64 * count, np.int64)
+    steps = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(hashes), 8192):
+        x = hashes[i : i + 8192, None] ^ steps
+        for shift in (30, 27):
+            x[:, 1:] ^= x[:, 1:] >> np.uint64(shift)
+            x[:, 1:] *= np.uint64(0xBF58476D1CE4E5B9)
+        x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+        # Eight one-byte counters are added at a time, in runs too short to overflow them.
+        lanes = np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * count), axis=1, bitorder="little").view(np.uint64)
+        runs = np.add.reduceat(lanes, np.arange(0, len(x), 255), axis=0)
+        ones += runs.view(np.uint8).reshape(-1, 64 * count).sum(0, dtype=np.int64)
+    return 2 * ones > len(hashes)
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 4) -> DataFrame:
@@ -134,9 +149,10 @@ def near_links(prints: DataFrame, distance: int = 4, tile: int = TILE) -> DataFr
 
 def deal_tiles(members: DataFrame, key: str, ident: str, tile: int) -> DataFrame:
     """Members of large groups dealt into chunks; every two chunks (i <= j) of a group meet in a tile."""
-    sizes = members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks"))
+    n = F.count(F.lit(1))
+    sizes = members.groupBy(key).agg(n.alias("members"), F.ceil(n / tile).cast("int").alias("chunks"))
     return (
-        members.join(sizes, key)
+        hot_join(members, sizes, key, "members", members.count())
         .withColumn("c", F.pmod(F.xxhash64(ident), F.col("chunks")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(*members.columns, F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
@@ -156,35 +172,173 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     at = materialize(with_fingerprints(slim, "text", "fp", words).select("doc_id", "fp"))
     return (
-        at.join(_component_of_print(at, distance), "fp", "left")
+        hot_join(at, materialize(_component_of_print(at, distance)), "fp", "n", at.count())
         .select(F.col("doc_id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     )
 
 
 def _component_of_print(at: DataFrame, distance: int) -> DataFrame:
-    """(fp, component_id, root) for every distinct fp of (doc_id, fp); root is the component's least fp."""
-    prints = at.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """(fp, component_id, n) for every distinct fp of (doc_id, fp), which n rows have."""
+    prints = at.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = materialize(connected_components(near_links(prints.select("fp"), distance)))
     linked = prints.join(roots, prints.fp == roots.node).groupBy("root").agg(F.min("least").alias("component_id"))
     whole = roots.join(linked, "root").select(F.col("node").alias("fp"), "root", F.col("component_id").alias("linked"))
     own = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked"))
-    return prints.join(whole, "fp", "left").select("fp", own.alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(whole, "fp", "left").select("fp", own.alias("component_id"), "n")
+
 
+@dataclass(frozen=True)
+class BlockPlan:
+    """Blocks of a wide fingerprint: a pair of texts is compared if one of ``blocks`` of ``width`` bits is equal."""
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the one with the smallest id.
+    width: int
+    blocks: int
 
-    A component is known by its fingerprints, not by its ids: components whose
-    ids are all null, or that share a repeated id, keep a document each. Among rows that repeat that id one is kept: the one whose whole row has the
-    least hash, and of rows equal throughout any one. Only ids, hashes and
-    fingerprints are written between; texts are read again. Columns are those of ``docs``.
+    @staticmethod
+    def of(rows: int, similarity: float, recall: float) -> BlockPlan:
+        """Blocks as wide as keeps unlike texts apart (a handful of ``rows`` by chance in one), as many as find ``recall`` of the pairs at ``similarity``.
+
+        Two texts of Jaccard similarity j have a cosine of 2 j / (1 + j) and agree
+        in a bit with probability 1 - acos(cosine) / pi.
+        """
+        width = max(8, rows.bit_length() - 2)
+        agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
+        return BlockPlan(width, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+
+    def keys(self, bits: np.ndarray) -> np.ndarray:
+        value = bits[: self.width * self.blocks].reshape(self.blocks, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
+        return (value << 12) + np.arange(self.blocks)
+
+
+def _with_blocks(docs: DataFrame, plan: BlockPlan, words: int) -> DataFrame:
+    """(doc_id, mark, node, fp, keys) of (doc_id, mark, node, text)."""
+    count = -(-plan.width * plan.blocks // 64)
+
+    def run(batch):
+        prints, keys = [], []
+        for t in batch.column(3).to_pylist():
+            bits = majority_bits(shingle_hashes(t, words), count)
+            prints.append(np.packbits(bits[:64], bitorder="little").view(np.int64)[0])
+            keys.append(plan.keys(bits))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        offsets = np.arange(0, len(flat) + 1, plan.blocks, dtype=np.int32)
+        columns = [*batch.columns[:3], pa.array(np.array(prints, np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "fp", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs, run, f"doc_id {kind}, mark long, node long, fp long, keys array<long>")
+
+
+def _close_nodes(nodes: DataFrame, distance: int, tile: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes of (node, fp, keys) that share a block and differ in ``distance`` bits or fewer of fp."""
+    members = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
+
+    def run(keys):
+        def over(batches):
+            edges: list[np.ndarray] = []
+            for group, hot in sorted_groups(batches, keys, "node", tile if keys == ["bucket"] else None, 2):
+                if hot:
+                    n = len(group["node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(group["node"]), pa.nulls(n, pa.int64()), pa.array(group["fp"]), pa.array(group["bucket"])], names=["a", "b", "fp", "bucket"])
+                    continue
+                fp, node = group["fp"].view(np.uint64), group["node"]
+                if len(fp) == 2:  # most buckets
+                    if int(fp[0] ^ fp[1]).bit_count() <= distance:
+                        edges.append(node[None, :])
+                else:
+                    left = np.arange(len(fp))
+                    while len(left) > 1:
+                        queue, left = [left[0]], left[1:]
+                        while queue and len(left):
+                            x = queue.pop()
+                            near = np.bitwise_count(fp[left] ^ fp[x]) <= distance
+                            got, left = left[near], left[~near]
+                            if len(got):
+                                edges.append(np.stack([np.full(len(got), node[x]), node[got]], axis=1))
+                                queue += got.tolist()
+            found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), none, none], names=["a", "b", "fp", "bucket"])
+
+        return over
+
+    schema = "a long, b long, fp long, bucket long"
+    found = materialize(members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run(["bucket"]), schema))
+    crowded = found.where("bucket is not null").select("bucket", F.col("a").alias("node"), "fp").distinct()
+    tiles = deal_tiles(crowded, "bucket", "node", tile).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return found.where("bucket is null").select("a", "b").union(tiles.mapInArrow(run(["bucket", "i", "j"]), schema).select("a", "b")).distinct()
+
+
+def _similar_nodes(texts: DataFrame, similarity: float, words: int, tile: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes of (root, node, text) whose shingle sets have a Jaccard similarity of ``similarity``, inside each root."""
+
+    def run(keys):
+        def over(batches):
+            for group, _ in sorted_groups(batches, keys, "node", None, 2):
+                sets = [shingle_hashes(t, words) for t in group["text"]]
+                values, number = np.unique(np.concatenate(sets), return_inverse=True)
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                edges = linked_rows(owner, number, len(sets), len(values), similarity)
+                if edges:
+                    ends = group["node"][np.array(edges, np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+        return over
+
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the work is in Python and not in bytes
+    tiles = deal_tiles(texts, "root", "node", tile).select("root", "i", "j", "node", "text")
+    tiles = tiles.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    return tiles.mapInArrow(run(["root", "i", "j"]), "a long, b long")
+
+
+def keep_one(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    similarity: float = 0.8,
+    words: int = 5,
+    recall: float = 0.95,
+    distance: int = 18,
+    tile: int = 256,
+) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+
+    Texts are linked if the sets of their ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; groups are what links connect. At such a
+    similarity 64-bit fingerprints differ in about 10 bits, too many for blocks
+    that all close pairs share. So the fingerprint is widened by further hashes of
+    each shingle, to as many blocks as bring ``recall`` of the pairs at the limit
+    (more of closer ones) together in one; pairs that share a block are checked
+    for ``distance`` or fewer of the first 64 bits, and their groups for exact
+    similarity.
+
+    Equal texts are one in the search; null and blank texts are all equal. Null
+    ids come last, and of rows with the same id and text any one is kept. Only
+    ids, hashes and fingerprints are written between; texts are read again.
+    Columns are those of ``docs``; an empty table gives no rows.
     """
     names = docs.columns
-    mark = F.xxhash64(*[F.col(f"`{n}`") for n in names])
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), mark.alias("mark"))
-    at = materialize(with_fingerprints(slim, "text", "fp").select("doc_id", "fp", "mark"))
-    first = at.join(_component_of_print(at.select("doc_id", "fp"), distance), "fp").where("doc_id <=> component_id")
-    kept = first.groupBy("root", "component_id").agg(F.min("mark").alias("__mark")).select("__mark", F.col("component_id").alias("__id"))
-    met = docs.withColumn("__own", mark).join(kept, (F.col("__own") == F.col("__mark")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
-    once = Window.partitionBy("__own", doc_id).orderBy(F.lit(0))
-    return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*names)
+    plan = BlockPlan.of(docs.count(), similarity, recall)
+
+    def marked(rows: DataFrame) -> DataFrame:
+        mark = F.xxhash64(*[F.col(f"`{n}`") for n in rows.columns])
+        blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+        return rows.withColumns({"__mark": mark, "__node": F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64(text))})
+
+    def slim(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(doc_id).alias("doc_id"), F.col("__mark").alias("mark"), F.col("__node").alias("node"), F.col(text).alias("text"))
+
+    rows = marked(docs)
+    at = materialize(_with_blocks(slim(rows), plan, words))
+    if not at.groupBy("mark").count().where("count > 1").isEmpty():  # rows equal throughout: a number names each
+        rows = marked(materialize(docs.withColumn("__row", F.monotonically_increasing_id())))
+        at = materialize(_with_blocks(slim(rows), plan, words))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    nodes = materialize(at.groupBy("node").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    loose = connected_components(_close_nodes(nodes, distance, 4096))
+    chosen = nodes.join(loose, "node").select("root", "node", F.col("first.mark").alias("__first"))
+    texts = rows.join(chosen, F.col("__mark") == F.col("__first")).select("root", "node", F.col(text).alias("text"))
+    linked = connected_components(_similar_nodes(materialize(texts), similarity, words, tile))
+    kept = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
+    kept = materialize(kept.select(F.col("first.mark").alias("__kept")))
+    return rows.join(kept, F.col("__mark") == F.col("__kept"), "left_semi").select(*names)

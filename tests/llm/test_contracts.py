@@ -72,6 +72,44 @@ def test_keep_one_of_each_component_without_ids(spark):
     assert same([tuple(r) for r in kept], rows[:8])
 
 
+def edited(text, share, seed):
+    """``text`` with a share of its words replaced, each by a new one."""
+    import random
+
+    rng = random.Random(seed)
+    w = text.split(" ")
+    for i in rng.sample(range(len(w)), max(1, round(share * len(w)))):
+        w[i] = f"new{rng.random()}"
+    return " ".join(w)
+
+
+def jaccard(a, b, words=5):
+    grams = [{tuple(t.lower().split()[i : i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in (a, b)]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+
+
+def test_keep_one_recall_by_similarity(spark):
+    pairs = []
+    for i in range(600):
+        text = " ".join(f"w{(i * 7919 + j * j) % 100_003}" for j in range(40 + i % 300))
+        pairs.append((text, edited(text, (0.004, 0.01, 0.02, 0.03, 0.06)[i % 5], i)))
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    kept = {r["doc_id"] for r in simhash.keep_one(table(spark, rows, extra=False)).collect()}
+    near = [i for i, (a, b) in enumerate(pairs) if jaccard(a, b) >= 0.8]
+    assert all(2 * i in kept for i in range(len(pairs))) and len(near) > 300
+    assert all(2 * i + 1 in kept for i in range(len(pairs)) if i not in set(near))
+    assert sum(2 * i + 1 not in kept for i in near) >= 0.97 * len(near)
+    assert simhash.keep_one(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2, 256])
+def test_keep_one_of_a_large_group(spark, tile):
+    text = prose(7, 200)
+    rows = [(i, edited(text, 0.004, i)) for i in range(40)] + [(100, prose(8, 200)), (101, text), (101, text), (None, text)]
+    kept = simhash.keep_one(table(spark, rows), tile=tile).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 100]
+
+
 def test_decontamination(spark):
     rows = documents()
     passage = prose(3, 30)
@@ -89,6 +127,19 @@ def test_decontamination(spark):
     assert not any(r["contaminated"] for r in decontaminate.contamination_report(decontaminate.find_contamination(table(spark), empty)).collect())
 
 
+@pytest.mark.parametrize("kind, ids", [("double", (1.5, 2.0)), ("string", ("b", "a")), ("decimal(10,2)", None), ("date", None), ("short", (1, 2))])
+def test_decontamination_takes_any_item_id(spark, kind, ids):
+    import datetime
+    import decimal
+
+    ids = ids or {"d": (datetime.date(2024, 1, 2), datetime.date(2023, 1, 2))}.get(kind[:2] == "da" and "d", (decimal.Decimal("1.50"), decimal.Decimal("2.00")))
+    items = list(zip(ids, (prose(3, 30), prose(4, 30))))
+    bench = spark.createDataFrame(items, f"item_id {kind}, text string")
+    for limit in (10, 10**6):
+        found = decontaminate.find_contamination(table(spark, [(1, f"{prose(4, 30)} and {prose(3, 30)}")]), bench, pass_chars=limit).collect()
+        assert sorted(found[0]["hit_items"]) == sorted(ids)
+
+
 def slow_signals(text):
     t = text or ""
     w = WORD.findall(t)

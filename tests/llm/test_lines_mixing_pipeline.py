@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from corpuscle.llm import line_dedup, mixing, weak
+from corpuscle.llm.common import linked_rows
 from corpuscle.llm.graph import connected_components
 
 from .samples import documents, prose, table
@@ -71,7 +72,7 @@ def test_sets_are_linked_by_exact_jaccard():
         base = [rng.sample(range(60), rng.randint(1, 25)) for _ in range(3)]
         sets = [set(rng.choice(base)) ^ set(rng.sample(range(60), rng.randint(0, 3))) for _ in range(30)]
         owner = np.array([i for i, s in enumerate(sets) for _ in s], np.int64)
-        edges = line_dedup.linked_rows(owner, np.array([x for s in sets for x in s], np.int64), len(sets), 60, 0.8)
+        edges = linked_rows(owner, np.array([x for s in sets for x in s], np.int64), len(sets), 60, 0.8)
         assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in edges)
         groups = list(range(30))
         for a, b in [(i, j) for i in range(30) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]:
