@@ -42,23 +42,33 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(majority_bits(hashes, 1), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def majority_bits(hashes: np.ndarray, count: int) -> np.ndarray:
-    """64 * ``count`` bits: the majority bits of the hashes, then of ``count`` - 1 further hashes of each."""
+def majority_bits(hashes: np.ndarray, count: int, even: bool = False) -> np.ndarray:
+    """64 * ``count`` bits: the majority bits of the hashes, then of ``count`` - 1 further hashes of each.
+
+    A tie gives 0, or with ``even`` the bit of the least hash, so that the bits of
+    short texts are ones as often as zeros.
+    """
     ones = np.zeros(64 * count, np.int64)
-    steps = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(0, len(hashes), 8192):
-        x = hashes[i : i + 8192, None] ^ steps
-        for shift in (30, 27):
-            x[:, 1:] ^= x[:, 1:] >> np.uint64(shift)
-            x[:, 1:] *= np.uint64(0xBF58476D1CE4E5B9)
-        x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+        lanes = _bits_of(hashes[i : i + 8192], count).view(np.uint64)
         # Eight one-byte counters are added at a time, in runs too short to overflow them.
-        lanes = np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * count), axis=1, bitorder="little").view(np.uint64)
-        runs = np.add.reduceat(lanes, np.arange(0, len(x), 255), axis=0)
+        runs = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
         ones += runs.view(np.uint8).reshape(-1, 64 * count).sum(0, dtype=np.int64)
+    if even and len(hashes):
+        return 2 * ones + _bits_of(hashes.min(keepdims=True), count)[0] > len(hashes)
     return 2 * ones > len(hashes)
 
 
+def _bits_of(hashes: np.ndarray, count: int) -> np.ndarray:
+    """A row of 64 * ``count`` bytes, 0 or 1, for each hash: its bits and those of ``count`` - 1 hashes of it."""
+    x = hashes[:, None] ^ np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift in (30, 27):
+        x[:, 1:] ^= x[:, 1:] >> np.uint64(shift)
+        x[:, 1:] *= np.uint64(0xBF58476D1CE4E5B9)
+    x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+    return np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * count), axis=1, bitorder="little")
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 4) -> DataFrame:
     """``docs`` and its 64-bit fingerprint (as a signed long) in column ``out``."""
     docs = without(docs, out)
@@ -217,7 +227,7 @@ def _with_blocks(docs: DataFrame, plan: BlockPlan, words: int) -> DataFrame:
     def run(batch):
         prints, keys = [], []
         for t in batch.column(3).to_pylist():
-            bits = majority_bits(shingle_hashes(t, words), count)
+            bits = majority_bits(shingle_hashes(t, words), count, even=True)
             prints.append(np.packbits(bits[:64], bitorder="little").view(np.int64)[0])
             keys.append(plan.keys(bits))
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
