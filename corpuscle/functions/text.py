@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 4
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
+#: Unicode's white space, as ``strip`` takes it.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Boilerplate lines of scraped pages, and the elements that never hold a page's text.
 BOILERPLATE = (
     r"Cookie\s+Policy",

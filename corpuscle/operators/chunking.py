@@ -1,13 +1,13 @@
-"""Chunking: fixed windows and headed sections in expressions; sentence packing, a sequential fold, in an Arrow helper."""
+"""Chunking: headed sections in expressions; fixed windows and sentence packing, folds over a text, in Arrow helpers."""
 
 from __future__ import annotations
 
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CHARS_PER_TOKEN, estimate_tokens, sentences, strip
+from ..functions.text import BLANKS, CHARS_PER_TOKEN, estimate_tokens, sentences, strip
 
 SIZE, OVERLAP = 512, 0.2
 
@@ -23,23 +23,32 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: float = OVERLAP, doc_id: s
     if step <= 0:
         raise ValueError("overlap leaves no step")
     zone_at = int(chars * 0.8)
-    n = F.length("__t")
-
-    def window(start):
-        zone = F.substring(F.col("__t"), start + zone_at + 1, F.lit(chars - zone_at))
-        stop = F.instr(F.reverse(zone), " .")
-        line = F.instr(F.reverse(zone), "\n")
-        snapped = F.when(stop > 0, start + chars - stop + 1).when(line > 0, start + chars - line + 1).otherwise(start + chars)
-        return F.when(start + chars < n, snapped).otherwise(start + chars)
-
-    def cut(start):
-        end = window(start)
-        return F.struct(start.cast("long").alias("start_char"), end.cast("long").alias("end_char"), strip(F.substring(F.col("__t"), start + 1, end - start)).alias("chunk"))
-
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("__c", F.filter(F.transform(starts, cut), lambda c: c["chunk"] != ""))
-    flat = made.select("doc_id", F.size("__c").cast("long").alias("total_chunks"), F.posexplode("__c").alias("chunk_index", "c"))
-    return flat.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", "c.*").withColumn("token_count", estimate_tokens(F.col("chunk")))
+    made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    id_field = made.schema["doc_id"].dataType.simpleString()
+
+    def cuts(t: str):
+        for start in range(0, len(t), step):
+            end = start + chars
+            if end < len(t):
+                stop, line = t.rfind(". ", start + zone_at, end), t.rfind("\n", start + zone_at, end)
+                end = stop + 2 if stop >= 0 else line + 1 if line >= 0 else end
+            if piece := t[start:end].strip(BLANKS):
+                yield start, end, piece
+
+    # One pass over each text: a window costs its own length, wherever it stands.
+    def run(batches):
+        for batch in batches:
+            found = [list(cuts(t)) if t else [] for t in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = [c for f in found for c in f]
+            columns = [pa.array([i for f in found for i in range(len(f))], pa.int64()), pa.array([len(found[i]) for i in at.tolist()], pa.int64())]
+            columns += [pa.array([c[j] for c in flat], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), *columns], names=["doc_id", "chunk_index", "total_chunks", "start_char", "end_char", "chunk"]
+            )
+
+    flat = made.mapInArrow(run, f"doc_id {id_field}, chunk_index long, total_chunks long, start_char long, end_char long, chunk string")
+    return flat.withColumn("token_count", estimate_tokens(F.col("chunk")))
 
 
 def semantic(docs: DataFrame, size: int = SIZE, overlap: float = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import decayed, tier_boost, tier_order
 from ..functions.text import CHARS_PER_TOKEN, estimate_tokens, words
+from ..sources.tables import durable
 
 RRF_K = 60
 LEAST_PART = 50
@@ -71,20 +72,28 @@ def _nearest(vectors: DataFrame, ids: np.ndarray, block: np.ndarray, k: int, lea
     return vectors.mapInArrow(run, "query_id long, vec_id long, similarity double")
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): the word index of a corpus."""
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, dl): the word index of a corpus, or of the terms in ``only`` (term)."""
     flat = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    if only is not None:
+        flat = flat.join(only, "term", "left_semi")
     return flat.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def keyword_topk(index: DataFrame, queries: DataFrame, k: int, every_term: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(docs, mean_dl) of the documents that have words: one row, from their word counts alone."""
+    return docs.select(F.size(words(F.col(text))).alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean_dl"))
+
+
+def keyword_topk(index: DataFrame, queries: DataFrame, k: int, every_term: bool = False, corpus: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, keyword_score, rank): BM25 over postings for queries (query_id, query).
 
-    ``every_term`` keeps documents that hold all of a query's words. Terms are
-    joined before anything is scored, so only postings of query words are moved.
+    ``every_term`` keeps documents that hold all of a query's words. ``corpus`` is
+    ``corpus_size``; without it the whole index is counted.
     """
-    corpus = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean_dl"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+    if corpus is None:
+        corpus = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean_dl"))
+    terms = query_terms(queries)
     wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     frequency = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = terms.join(frequency, "term").join(index, "term").crossJoin(F.broadcast(corpus))  # one row
@@ -97,6 +106,21 @@ def keyword_topk(index: DataFrame, queries: DataFrame, k: int, every_term: bool
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("matched")
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct words of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+
+
+def search_words(docs: DataFrame, queries: DataFrame, k: int, every_term: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``keyword_topk`` over texts without a stored index.
+
+    Only postings of the queries' own words leave the scan; they are written once
+    and read for the frequencies and the scores.
+    """
+    index = durable(postings(docs, doc_id, text, query_terms(queries).select("term").distinct()))
+    return keyword_topk(index, queries, k, every_term, corpus_size(docs, text))
+
+
 def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, constant: int = RRF_K) -> DataFrame:
     """(query_id, doc_id, similarity, keyword_score, fused, fused_rank) of two ranked lists.
 
@@ -151,7 +175,7 @@ def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int
     Texts are joined last, for chosen rows only.
     """
     near = vector_topk(vectors, queries, top_k, least)
-    found = keyword_topk(postings(docs), queries, top_k)
+    found = search_words(docs, queries, top_k)
     fused = reciprocal_rank_fusion(near, found).join(docs.select("doc_id", "source_tier"), "doc_id")
     best = source_hierarchy(fused).where(F.col("weighted_rank") <= final_k)
     return token_budget(best.join(docs.select("doc_id", "text"), "doc_id"), budget, "weighted_rank")

@@ -61,19 +61,21 @@ _INDEX_SQL = (
     "k AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean_dl))), 6) AS keyword_score, count(*) AS matched "
     "FROM t JOIN f USING (term) JOIN p USING (term) CROSS JOIN n GROUP BY 1, 2)"
 )
+_SHORT_SQL = "FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS text FROM benchmark)"
 _RANKED_SQL = "row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, doc_id) AS rank"
 
 
 @query(f"WITH {_INDEX_SQL} SELECT * FROM (SELECT query_id, doc_id, keyword_score, {_RANKED_SQL} FROM k) WHERE rank <= 5")
 def keyword_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_topk(search.postings(table(spark, d, "documents")), _asked(spark, d), 5)
+    return search.search_words(table(spark, d, "documents"), _asked(spark, d), 5)
 
 
 @query(
-    f"WITH {_INDEX_SQL}, w AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1) SELECT * FROM (SELECT query_id, doc_id, keyword_score, {_RANKED_SQL} FROM k JOIN w USING (query_id) WHERE matched = n) WHERE rank <= 50"
+    f"WITH {_INDEX_SQL.replace('FROM benchmark', _SHORT_SQL)}, w AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1) SELECT * FROM (SELECT query_id, doc_id, keyword_score, {_RANKED_SQL} FROM k JOIN w USING (query_id) WHERE matched = n) WHERE rank <= 50"
 )
 def keyword_and_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.keyword_topk(search.postings(table(spark, d, "documents")), _asked(spark, d), 50, every_term=True)
+    asked = _asked(spark, d).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 3), " "))  # two or three words each
+    return search.search_words(table(spark, d, "documents"), asked, 50, every_term=True)
 
 
 _FUSED_SQL = (
@@ -89,7 +91,7 @@ _FUSED_SQL = (
 )
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     near = search.vector_topk(table(spark, d, "embeddings"), _queries(spark, d), 5)
-    found = search.keyword_topk(search.postings(table(spark, d, "documents")), _asked(spark, d), 5)
+    found = search.search_words(table(spark, d, "documents"), _asked(spark, d), 5)
     fused = search.reciprocal_rank_fusion(near, found)
     return fused.withColumn("similarity", F.round("similarity", 6)).withColumn("fused", F.round("fused", 6))
 

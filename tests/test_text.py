@@ -104,3 +104,30 @@ def test_vector_search_skips_empty_vectors(spark):
     got = [(r["query_id"], r["vec_id"], round(r["similarity"], 3)) for r in search.vector_topk(v, q, 5).orderBy("rank").collect()]
     assert got == [(9, 1, 1.0), (9, 3, 0.707)]
     assert search.vector_topk(v, q.limit(0), 5).count() == 0
+
+
+def test_fixed_windows_of_long_texts(spark):
+    from corpuscle.operators import chunking
+
+    text = "".join(f"Sentence {i} ends here. " if i % 7 else f"line {i}\n" for i in range(4000)) + "　 " + "x" * 5000
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " \n "), (5, "short")], "doc_id long, text string")
+    got = [tuple(r) for r in chunking.fixed(df, 50, 0.2).orderBy("doc_id", "chunk_index").collect()]
+    want = []
+    for start in range(0, len(text), 160):
+        end = start + 200
+        if end < len(text):
+            zone = text[start + 160 : end]
+            at = zone.rfind(". "), zone.rfind("\n")
+            end = start + 160 + (at[0] + 2 if at[0] >= 0 else at[1] + 1) if max(at) >= 0 else end
+        want.append((start, end, text[start:end].strip()))
+    want = [w for w in want if w[2]]
+    assert [(r[3], r[4], r[5]) for r in got if r[0] == 1] == want and {r[0] for r in got} == {1, 5}
+    assert all(r[2] == len(want) and r[1] == i for i, r in enumerate(r for r in got if r[0] == 1))
+
+
+def test_connectors_take_broken_answers(spark):
+    from corpuscle.sources import connectors
+
+    rows = [("brave", "q", None), ("brave", "q", ""), ("brave", "q", "[1]"), ("brave", "q", '{"web":{"results":[null,{"title":"t","url":"u"}]}}'), ("brave", "q", '{"web":{}}'), ("other", "q", "{}")]
+    got = connectors.search_results(spark.createDataFrame(rows, "source_name string, query string, body string")).collect()
+    assert [(r["title"], r["url"], r["snippet"], r["position"], r["authors"]) for r in got] == [("t", "u", "", 1, [])]
