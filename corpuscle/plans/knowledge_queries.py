@@ -107,14 +107,23 @@ def entity_extract(spark: SparkSession, d: str) -> DataFrame:
     return k.entities(_marked(spark, d), "doc_id")
 
 
-@query("SELECT doc_id, 0::BIGINT AS link_no, 'page-' || (doc_id % 9) AS slug FROM documents UNION ALL SELECT doc_id, 1, 'overview' FROM documents")
+_LINKS_SQL = (
+    "(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS link_no, slug FROM (SELECT doc_id, lower(trim(unnest(l))) AS slug, unnest(range(len(l))) AS i FROM "
+    f"(SELECT doc_id, regexp_extract_all(t0, '\\[\\[([^\\]]+)\\]\\]', 1) AS l FROM (SELECT doc_id, {_MARKED} AS t0 FROM documents))) "
+    "WHERE NOT regexp_matches(slug, '^(person|org|tech|concept|location|event):') GROUP BY doc_id, slug)"
+)
+
+
+@query(f"SELECT * FROM {_LINKS_SQL}")
 def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return k.links(_marked(spark, d), "doc_id")
 
 
-@query("SELECT 'page-' || i AS slug, 'Page-' || i AS title, 'draft' AS state FROM range(0) t(i) UNION ALL SELECT DISTINCT 'overview', 'Overview', 'draft' FROM documents")
+@query(
+    f"SELECT DISTINCT slug, upper(slug[1]) || slug[2:] AS title, 'draft' AS state FROM {_LINKS_SQL} WHERE slug NOT IN (SELECT 'page-' || (doc_id % 9) FROM documents WHERE doc_id % 9 < 5)"
+)
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "documents").select(F.concat(F.lit("page-"), (F.col("doc_id") % 9).cast("string")).alias("slug")).distinct()
+    known = table(spark, d, "documents").where("doc_id % 9 < 5").select(F.concat(F.lit("page-"), (F.col("doc_id") % 9).cast("string")).alias("slug")).distinct()  # four pages and the overview are missing
     return k.dangling_pages(k.links(_marked(spark, d), "doc_id"), known)
 
 
@@ -149,7 +158,11 @@ def kg_subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
     return k.subgraph_edges(edges, k.neighbourhood(edges, spark.createDataFrame([("r1",)], "node string"), 2), 2)
 
 
-@query("SELECT 4::BIGINT AS distance")
+@query(
+    "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region), "
+    "u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), "
+    "walk(node, dist) AS (SELECT 'n0', 0::BIGINT UNION SELECT u.b, dist + 1 FROM walk JOIN u ON u.a = node WHERE dist < 8) SELECT min(dist) AS distance FROM walk WHERE node = 'n1'"
+)
 def kg_connect(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "nation").select(_name("n", "n_nationkey").alias("src"), _name("r", "n_regionkey").alias("dst"))
     hub = table(spark, d, "region").select(_name("r", "r_regionkey").alias("src"), F.lit("world").alias("dst"))

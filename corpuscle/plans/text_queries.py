@@ -29,18 +29,19 @@ def sentence_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(n).alias("sentences"), F.max(n).alias("most"))
 
 
-FIXED_SQL = """
-WITH s AS (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 320)) AS start FROM documents WHERE length(text) > 0),
-z AS (SELECT doc_id, text, start, substring(text, start + 321, 80) AS zone FROM s),
-e AS (SELECT doc_id, text, start, CASE WHEN start + 400 >= length(text) THEN start + 400
-  WHEN strpos(reverse(zone), ' .') > 0 THEN start + 400 - strpos(reverse(zone), ' .') + 1
-  WHEN strpos(reverse(zone), chr(10)) > 0 THEN start + 400 - strpos(reverse(zone), chr(10)) + 1 ELSE start + 400 END AS stop FROM z),
+def _fixed_sql(chars: int, step: int, zone_at: int) -> str:
+    return f"""
+WITH s AS (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, {step})) AS start FROM documents WHERE length(text) > 0),
+z AS (SELECT doc_id, text, start, substring(text, start + {zone_at + 1}, {chars - zone_at}) AS zone FROM s),
+e AS (SELECT doc_id, text, start, CASE WHEN start + {chars} >= length(text) THEN start + {chars}
+  WHEN strpos(reverse(zone), ' .') > 0 THEN start + {chars} - strpos(reverse(zone), ' .') + 1
+  WHEN strpos(reverse(zone), chr(10)) > 0 THEN start + {chars} - strpos(reverse(zone), chr(10)) + 1 ELSE start + {chars} END AS stop FROM z),
 c AS (SELECT doc_id, start, stop, trim(substring(text, start + 1, stop - start), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS chunk FROM e)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks,
   CAST(start AS BIGINT) AS start_char, CAST(stop AS BIGINT) AS end_char, sha256(chunk) AS chunk_sha, CAST(greatest(1, length(chunk) // 4) AS BIGINT) AS token_count FROM c WHERE chunk <> ''"""
 
 
-@query(FIXED_SQL)
+@query(_fixed_sql(400, 320, 320))
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     made = chunking.fixed(table(spark, d, "documents"), size=100, overlap=0.2)
     return made.withColumn("chunk_sha", F.sha2("chunk", 256)).drop("chunk")
@@ -360,7 +361,7 @@ def verification_summary_whole(spark: SparkSession, d: str) -> DataFrame:
     return claims.verification_summary(claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang"), "lang")
 
 
-@query()
+@query(_fixed_sql(2048, 1639, 1638))
 def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents after an incremental ingest from an empty start."""
     from ..sources.tables import shared_folder
@@ -369,7 +370,15 @@ def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     base = f"{shared_folder(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
     docs = table(spark, d, "documents")
     ingest_available(chunk_stream(spark, f"{d}/documents.parque[t]", docs.schema), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    return spark.read.parquet(f"{base}/out").withColumn("chunk_sha", F.sha2("chunk", 256)).drop("batch", "chunk")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming import ingest
+
+    found = ingest.windowed_counts(table(spark, d, "events"))
+    return found.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("total", 3).alias("total"))
 
 
 MODELS = [routing.Model(*m) for m in (("direct", "passthrough"), ("small-a", "cheap"), ("small-b", "cheap", False), ("small-c", "cheap"), ("middle", "mid"), ("large", "capable"))]
