@@ -120,7 +120,7 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT DISTINCT slug, upper(slug[1]) || slug[2:] AS title, 'draft' AS state FROM {_LINKS_SQL} WHERE slug NOT IN (SELECT 'page-' || (doc_id % 9) FROM documents WHERE doc_id % 9 < 5)"
+    f"SELECT DISTINCT slug, upper(slug[1]) || replace(slug[2:], '-', ' ') AS title, 'draft' AS state FROM {_LINKS_SQL} WHERE slug NOT IN (SELECT 'page-' || (doc_id % 9) FROM documents WHERE doc_id % 9 < 5)"
 )
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "documents").where("doc_id % 9 < 5").select(F.concat(F.lit("page-"), (F.col("doc_id") % 9).cast("string")).alias("slug")).distinct()  # four pages and the overview are missing
