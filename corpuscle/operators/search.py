@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,19 @@ RRF_K = 60
 LEAST_PART = 50
 #: Numbers of query vectors that are broadcast at once; more queries take more passes.
 QUERY_BLOCK = 2_000_000
+#: Cells of the similarity matrix that a task holds at once.
+TILE = 4_000_000
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest vectors of every query by cosine, exactly.
 
     Queries (query_id, embedding) are broadcast in blocks of bounded size; every
-    batch of vectors gives its own k best by one matrix product, so only those are
-    shuffled. Vectors or queries without length match nothing. Ties go by vec_id.
+    batch of vectors gives its own k best by matrix products of bounded size, so only
+    those are shuffled. Vectors or queries without length match nothing. Ties go by vec_id.
     """
     slim = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")).where("v is not null")
-    parts = [_nearest(slim, ids, block, k, least) for ids, block in _blocks(queries)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = reduce(DataFrame.unionByName, [_nearest(slim, ids, block, k, least) for ids, block in _blocks(queries)])
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -47,13 +47,20 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield np.array(ids, np.int64), np.array(held)
 
 
-def _nearest(vectors: DataFrame, ids: np.ndarray, block: np.ndarray, k: int, least: float | None) -> DataFrame:
+def vectors_within(vectors: DataFrame, queries: DataFrame, least: float, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, similarity): every vector of cosine ``least`` or more to a query of a stated set."""
+    slim = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")).where("v is not null")
+    parts = [_nearest(slim, ids, block, None, least) for ids, block in _blocks(queries)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(vectors: DataFrame, ids: np.ndarray, block: np.ndarray, k: int | None, least: float | None) -> DataFrame:
     sizes = np.linalg.norm(block, axis=1) if len(ids) else np.zeros(0)
     ids, block = ids[sizes > 0], block[sizes > 0] / sizes[sizes > 0, None] if len(ids) else block
     given = vectors.sparkSession.sparkContext.broadcast((ids, block))
 
     def run(batches):
-        names = ids_of, unit = given.value
+        ids_of, unit = given.value
         for batch in batches:
             if not batch.num_rows or not len(ids_of):
                 continue
@@ -61,17 +68,31 @@ def _nearest(vectors: DataFrame, ids: np.ndarray, block: np.ndarray, k: int, lea
             rows = np.array(batch.column(1).to_pylist(), np.float64)
             size = np.linalg.norm(rows, axis=1)
             own, rows = own[size > 0], rows[size > 0] / size[size > 0, None]
-            near = unit @ rows.T
-            order = np.lexsort((np.broadcast_to(own, near.shape), -np.round(near, 12)), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(names[0])), order.shape[1])
-            at = order.reshape(-1)
-            score = near[q, at]
-            fits = score >= least if least is not None else np.ones(len(score), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of[q][fits]), pa.array(own[at][fits]), pa.array(score[fits])], names=["query_id", "vec_id", "similarity"])
+            if not len(own):
+                continue
+            step = max(1, TILE // len(own))
+            for at in range(0, len(ids_of), step):
+                q, r, score = _best(unit[at : at + step] @ rows.T, own, k, least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids_of[at + q]), pa.array(own[r]), pa.array(score)], names=["query_id", "vec_id", "similarity"])
 
     return vectors.mapInArrow(run, "query_id long, vec_id long, similarity double")
 
 
+def _best(near: np.ndarray, own: np.ndarray, k: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (query, row) and scores of each query's k best and of those that tie with the last of them by id."""
+    fits = near >= least if least is not None else np.ones(near.shape, bool)
+    rounded = np.round(near, 12)
+    if k is not None and k < near.shape[1]:
+        fits &= rounded >= np.partition(rounded, near.shape[1] - k, axis=1)[:, [near.shape[1] - k]]
+    q, r = np.nonzero(fits)
+    if k is not None:
+        order = np.lexsort((own[r], -rounded[q, r], q))
+        q, r = q[order], r[order]
+        first = np.searchsorted(q, q)
+        q, r = q[np.arange(len(q)) - first < k], r[np.arange(len(q)) - first < k]
+    return q, r, near[q, r]
+
+
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, tf, dl): the word index of a corpus, or of the terms in ``only`` (term)."""
     flat = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
@@ -139,14 +160,50 @@ def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, constant: int
     return fused.withColumn("fused_rank", F.row_number().over(order).cast("long")).drop("tie")
 
 
+def running_total(rows: DataFrame, by: str, order: list, value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row of its group, in groups of any size.
+
+    Rows are cut into ranges of (by, order), written once, and summed range by range; a
+    range's total is added to those after it. No task sorts more than a range. ``order``
+    must set every row's place in its group; a null group is a group.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = durable(rows.withColumn("__value", value).repartitionByRange(ranges, by, *order).withColumn("__range", F.spark_partition_id()))
+    sums = cut.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__of")).agg(F.sum("__value").alias("__sum"))
+    earlier = Window.partitionBy("__by").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__by", "__of", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    met = cut.join(before, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
+    own = F.sum("__value").over(Window.partitionBy(by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn(name, own + F.col("__before")).drop("__value", "__range", "__by", "__of", "__before")
+
+
+def weigh_by_tier(rows: DataFrame, score: str, tier: str = "source_tier", by: str = "query_id") -> DataFrame:
+    """``rows`` with the tier-weighted score; weights apply where the set, of any size, has a P1 source."""
+    first = rows.where(F.col(tier) == "P1").select(F.col(by).alias("__by")).distinct()
+    met = rows.join(first.withColumn("__p1", F.lit(True)), F.col(by).eqNullSafe(F.col("__by")), "left")
+    return met.withColumn("weighted", F.round(F.col(score) * tier_boost(F.col(tier), F.col("__p1").isNotNull()), 9)).drop("__by", "__p1")
+
+
 def source_hierarchy(rows: DataFrame, score: str = "fused", tier: str = "source_tier", by: str = "query_id", tie: str = "doc_id") -> DataFrame:
-    """``rows`` with the tier-weighted score and its rank; weights apply where the set has a P1 source."""
+    """Top-k lists with the tier-weighted score and its rank; weights apply where the list has a P1 source."""
     every = Window.partitionBy(by)
     any_p1 = F.max((F.col(tier) == "P1").cast("int")).over(every) == 1
     weighed = rows.withColumn("weighted", F.round(F.col(score) * tier_boost(F.col(tier), any_p1), 9))
     return weighed.withColumn("weighted_rank", F.row_number().over(every.orderBy(F.col("weighted").desc(), tie)).cast("long"))
 
 
+def before_budget(rows: DataFrame, limit: int, order: str, by: str = "query_id", text: str = "text") -> DataFrame:
+    """Those rows of groups of any size that ``token_budget`` can keep: up to the first that doesn't fit.
+
+    Only token counts are ordered; texts are read again for the rows that stay, at most
+    ``limit`` + 1 in a group, as a row counts one token at least.
+    """
+    slim = rows.select(by, order, estimate_tokens(F.col(text)).alias("__n"))
+    summed = running_total(slim, by, [order], F.col("__n"), "__sum")
+    last = summed.where(F.col("__sum") - F.col("__n") <= limit).groupBy(F.col(by).alias("__by")).agg(F.max(order).alias("__last"))
+    return rows.join(last, F.col(by).eqNullSafe(F.col("__by")) & (F.col(order) <= F.col("__last"))).drop("__by", "__last")
+
+
 def token_budget(rows: DataFrame, limit: int, order: str, by: str = "query_id", text: str = "text", least: int = LEAST_PART) -> DataFrame:
     """The rows that fit ``limit`` tokens in order; the first that doesn't is cut if over ``least`` tokens are left.
 
@@ -200,22 +257,19 @@ def merge_sources(results: DataFrame, limit: int | None = None, by: list[str] |
 def tier_filter(sources: DataFrame, by: str, order: str, tier: str = "tier") -> DataFrame:
     """The sources of the best tier of each set: five of P1, else five of P2, else three of P3 (flagged) and others.
 
-    Adds ``flagged`` and keeps the order.
+    Adds ``flagged``. Each task hands on its own five best of a set, so a set may have any size.
     """
-    every = Window.partitionBy(by)
-    best = F.min(tier_order(F.col(tier))).over(every)
-    within = F.row_number().over(Window.partitionBy(by, tier_order(F.col(tier))).orderBy(order))
-    place = F.row_number().over(every.orderBy(F.col("__o"), order))
-    ranked = sources.withColumn("__o", tier_order(F.col(tier))).withColumn("__best", best).withColumn("__in", within)
-    third = ranked.where("__best >= 2").where("__o = 2 and __in <= 3 or __o > 2").withColumn("__place", place).where("__place <= 3").drop("__place")
-    kept = ranked.where("__best < 2 and __o = __best and __in <= 5").unionByName(third)
-    return kept.withColumn("flagged", F.col(tier) == "P3").drop("__o", "__best", "__in")
+    first = Window.partitionBy(by).orderBy("__o", order)
+    top = sources.withColumn("__o", tier_order(F.col(tier))).withColumn("__n", F.row_number().over(first)).where("__n <= 5")
+    best = F.min("__o").over(Window.partitionBy(by))
+    kept = top.withColumn("__best", best).where("__best < 2 and __o = __best or __best >= 2 and __n <= 3")
+    return kept.withColumn("flagged", F.col(tier) == "P3").drop("__o", "__n", "__best")
 
 
 def temporal_rank(sources: DataFrame, by: str, current_year: int, score: str = "score", date: str = "date", tie: str = "id") -> DataFrame:
-    """``sources`` with the age-weighed score and its rank in each set."""
+    """``sources`` with the age-weighed score and its rank in each set; ``tie`` tells the rows of a set apart."""
     aged = sources.withColumn("decayed", F.round(decayed(F.col(score), F.col(date), current_year), 6))
-    return aged.withColumn("decayed_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col("decayed").desc(), tie)).cast("long"))
+    return running_total(aged, by, [F.col("decayed").desc(), F.col(tie)], F.lit(1).cast("long"), "decayed_rank")
 
 
 def should_escalate(similarity: Column, has_p1: Column, least: float = 0.72, least_plain: float = 0.80) -> Column:

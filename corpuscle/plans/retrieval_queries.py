@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quality, text, vectors
+from ..functions import quality, text
 from ..operators import search
 from ..sources.tables import table
 from .registry import query
@@ -34,11 +34,8 @@ def vector_topk_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, count(*) AS hits, max(round(s, 6)) AS best FROM ({_COSINE_SQL}) WHERE s >= 0.3 AND query_id <> vec_id GROUP BY query_id")
 def vector_threshold_filter(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = _queries(spark, d).withColumnRenamed("embedding", "wanted")
-    pairs = v.join(F.broadcast(q) if q.limit(100_001).count() <= 100_000 else q)  # a stated query set against all rows
-    near = pairs.where("query_id <> vec_id").withColumn("s", vectors.cosine(F.col("wanted"), F.col("embedding"))).where("s >= 0.3")
-    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max(F.round("s", 6)).alias("best"))
+    near = search.vectors_within(table(spark, d, "embeddings"), _queries(spark, d), 0.3).where("query_id <> vec_id")
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max(F.round("similarity", 6)).alias("best"))
 
 
 @query(
@@ -131,7 +128,7 @@ def retrieve_pipeline(spark: SparkSession, d: str) -> DataFrame:
 )
 def source_hierarchy_rerank(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("lang", "doc_id", "n_chars", quality.corpus_tier(F.col("source")).alias("source_tier"))
-    ranked = search.source_hierarchy(rows, "n_chars", by="lang")
+    ranked = search.weigh_by_tier(rows, "n_chars", by="lang")
     return ranked.select("lang", "doc_id", "source_tier", F.round(F.col("weighted").cast("double"), 6).alias("weighted"))
 
 
@@ -142,7 +139,8 @@ def source_hierarchy_rerank(spark: SparkSession, d: str) -> DataFrame:
 )
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "text")
-    return search.token_budget(docs, 2000, "doc_id", by="source").select("source", "doc_id", "token_count", "partial")
+    near = search.before_budget(docs, 2000, "doc_id", by="source")
+    return search.token_budget(near, 2000, "doc_id", by="source").select("source", "doc_id", "token_count", "partial")
 
 
 _RESULTS_SQL = (
