@@ -70,6 +70,23 @@ def source_tier(url: Column, current: Column) -> Column:
     return F.coalesce(_listed(host(url), TIER_DOMAINS), current)
 
 
+# The short list of the narrow tier rule.
+NARROW_TIERS = {
+    "P1": "arxiv.org pubmed.ncbi.nlm.nih.gov nature.com science.org nejm.org lancet.com dl.acm.org ieee.org springer.com wiley.com semanticscholar.org openreview.net biorxiv.org medrxiv.org".split(),
+    "P2": "nih.gov nasa.gov cdc.gov who.int nist.gov gov.uk".split(),
+    "P3": "medium.com substack.com wikipedia.org stackoverflow.com reddit.com".split(),
+}
+
+
+def source_tier_narrow(url: Column, current: Column) -> Column:
+    """The first tier whose short list holds the URL's domain; P2 for academic ones; else the one it comes with."""
+    name = host(url)
+    out = F.when(F.lit(False), current)
+    for tier, domains in NARROW_TIERS.items():
+        out = out.when(name.rlike(r"(^|\.)(" + "|".join(domains).replace(".", r"\.") + ")$"), tier)
+    return out.when(name.rlike(r"\.(edu|ac\.uk|ac\.jp)$"), "P2").otherwise(current)
+
+
 def trust_tier(url: Column, content: Column, safe_before: Column | None = None) -> Column:
     """Trust by listed domain, kind of domain, marks in the content, then earlier safe sources of the domain."""
     name = host(url)

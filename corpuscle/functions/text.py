@@ -115,3 +115,8 @@ def arxiv_id(text: Column) -> Column:
         F.regexp_extract(text, r"^([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?$", 1),
     ]
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+
+
+def clean_pages(text: Column) -> Column:
+    """Text of scanned pages: form feeds as line ends, hyphens at line ends joined, blank lines collapsed."""
+    return F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\f"), F.lit("\n")), r"(?U)-\n(\w)", "$1"), r"\n{3,}", "\n\n")

@@ -225,3 +225,68 @@ def corroboration(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     theirs = evidence.where(F.col("tier").isin("P1", "P2")).select(F.explode(F.array_distinct(words(F.col("statement")))).alias("word"))
     counts = theirs.groupBy("word").agg(F.count(F.lit(1)).alias("matches"))
     return mine.join(counts, "word", "left").select("claim_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
+def update_pages(pages: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pages`` after updates with optimistic locks, and the log (page_id, update_id, accepted, base_version, result_version).
+
+    ``pages`` has page_id, state, version, content, confidence, p1, p2, p3; ``updates`` has
+    update_id, page_id, base_version (null: any), content, confidence, p1, p2, p3. Of several
+    updates of a page that fit its version the first by update_id is taken; the others
+    conflict and may be sent again. A sure page with a P1 source turns active if its state
+    may; a stale one from .5, a contradicted one from .7 on.
+    """
+    known = pages.select("page_id", "state", "version")
+    met = updates.join(known, "page_id", "left")
+    fits = F.col("version").isNotNull() & (F.col("base_version").isNull() | (F.col("base_version") == F.col("version")))
+    turn = F.row_number().over(Window.partitionBy("page_id", "fits").orderBy("update_id"))
+    judged = met.withColumn("fits", fits).withColumn("accepted", F.col("fits") & (turn == 1))
+    log = judged.select(
+        "page_id", "update_id", "accepted", F.when(F.col("accepted"), F.col("version")).alias("base_version"), F.when(F.col("accepted"), F.col("version") + 1).alias("result_version")
+    )
+    may = F.col("state").isin([a for a, to in TRANSITIONS["wide"].items() if "active" in to.split()])
+    sure = (F.col("confidence") >= 0.5) & (F.col("p1") > 0) & may
+    active = sure | ((F.col("state") == "stale") & (F.col("confidence") >= 0.5)) | ((F.col("state") == "contradicted") & (F.col("confidence") >= 0.7))
+    changed = ["content", "confidence", "p1", "p2", "p3"]
+    new = judged.where("accepted").select(
+        "page_id", F.lit(True).alias("__new"), F.when(active, "active").otherwise(F.col("state")).alias("__state"), *[F.col(c).alias(f"__{c}") for c in changed]
+    )
+    took = F.coalesce("__new", F.lit(False))
+    after = pages.join(new, "page_id", "left").select(
+        "page_id",
+        F.when(took, F.col("__state")).otherwise(F.col("state")).alias("state"),
+        (F.col("version") + took.cast("long")).alias("version"),
+        *[F.when(took, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in changed],
+    )
+    return after, log
+
+
+def resolve_writes(base: DataFrame, writes: DataFrame, key: str, strategy: str = "last_writer_wins") -> DataFrame:
+    """(key, writers, conflict, write_id): which of the writes (key, write_id, base_version) to a row of ``base`` (key, version) holds.
+
+    A write conflicts if the row has moved on since its base version. ``abort`` lets the
+    first write that doesn't conflict hold, ``last_writer_wins`` the last of all.
+    """
+    met = writes.join(base.select(key, "version"), key, "left").withColumn("late", F.coalesce(F.col("version") > F.col("base_version"), F.lit(False)))
+    chosen = F.min(F.when(~F.col("late"), F.col("write_id"))) if strategy == "abort" else F.max("write_id")
+    return met.groupBy(key).agg(F.count(F.lit(1)).alias("writers"), F.bool_or("late").alias("conflict"), chosen.alias("write_id"))
+
+
+def xml_escape(text: Column) -> Column:
+    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")), text)
+
+
+def graph_xml(nodes: DataFrame, edges: DataFrame, most_nodes: int = 500, most_edges: int = 1000) -> DataFrame:
+    """One row (graph) of GraphML with the most mentioned nodes and the first edges; a report with set limits."""
+    top = nodes.orderBy(F.col("mentions").desc(), "node").limit(most_nodes)
+    first = edges.orderBy("src", "dst").limit(most_edges)
+    node = F.concat(F.lit('    <node id="'), xml_escape(F.col("node")), F.lit('">\n      <data key="mentions">'), F.col("mentions").cast("string"), F.lit("</data>\n    </node>\n"))
+    edge = F.concat(F.lit('    <edge source="'), xml_escape(F.col("src")), F.lit('" target="'), xml_escape(F.col("dst")), F.lit('">\n    </edge>\n'))
+
+    def joined(rows: DataFrame, order: Column, part: Column, name: str) -> DataFrame:
+        return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), part.alias("p")))), lambda x: x["p"]), "").alias(name))
+
+    a = joined(top, F.struct(-F.col("mentions"), F.col("node")), node, "nodes")
+    b = joined(first, F.struct("src", "dst"), edge, "links")
+    start = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n  <graph id="KnowledgeGraph" edgedefault="directed">\n'
+    return a.crossJoin(b).select(F.concat(F.lit(start), "nodes", "links", F.lit("  </graph>\n</graphml>")).alias("graph"))

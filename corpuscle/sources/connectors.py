@@ -260,3 +260,25 @@ def by_source(results: DataFrame) -> DataFrame:
     """(query, source_name, results): how every source answered a query, its results in their order."""
     row = F.struct("position", "title", "url", "snippet", "source_tier")
     return results.groupBy("query", "source_name").agg(F.sort_array(F.collect_list(row)).alias("results"))
+
+
+#: What a registry record says of updates to a paper.
+_RECORD = "message struct<title:array<string>, assertion:array<struct<name:string,value:string>>, `update-to`:array<struct<type:string,label:string,`updated-date`:string>>>"
+
+
+def retractions(records: DataFrame, ident: str = "doi", body: str = "body") -> DataFrame:
+    """(ident, is_retracted, notice, retracted_at) of recorded registry answers (ident, body JSON).
+
+    An assertion, an update or a title may say so; the last of these that does gives
+    the notice. A record that can't be read says nothing.
+    """
+    def says(text) -> object:
+        return F.coalesce(F.contains(F.lower(text), F.lit("retract")), F.lit(False))
+
+    m = records.select(ident, F.from_json(body, _RECORD)["message"].alias("m"))
+    asserted = F.filter("m.assertion", lambda a: F.coalesce(a["name"] == "retracted", F.lit(False)) | says(a["value"]))
+    updated = F.filter(F.col("m")["update-to"], lambda u: says(u["type"]))
+    titled = F.filter("m.title", says)
+    last = m.select(ident, *[F.try_element_at(x, F.lit(-1)).alias(n) for n, x in (("a", asserted), ("u", updated), ("t", titled))])
+    notice = F.coalesce(F.col("t"), F.when(F.col("u").isNotNull(), F.coalesce("u.label", F.lit("Retracted"))), F.when(F.col("a").isNotNull(), F.coalesce("a.value", F.lit(""))))
+    return last.select(ident, notice.isNotNull().alias("is_retracted"), F.coalesce(notice, F.lit("")).alias("notice"), F.coalesce(F.col("u")["updated-date"], F.lit("")).alias("retracted_at"))
