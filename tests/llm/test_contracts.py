@@ -259,3 +259,17 @@ def test_private_base(spark):
         if r["doc_id"] is not None and [d for d, _ in rows].count(r["doc_id"]) == 1:
             assert set(filter(None, slow_private(base)[1].split(","))) <= set(r["spans"].split(","))
     assert pii.private_report(pii.find_private(table(spark, []))).count() == 0
+
+
+def test_private_accounts_and_security_numbers(spark):
+    """Valid numbers with a cue are found, unused and mistyped ones are left, and added spans don't overlap."""
+    good = ["Pay to IBAN DE89 3704 0044 0532 0130 00 by friday.", "iban: GB82WEST12345698765432", "my SSN is 536-22-8467, thanks", "social security no 219-09-9999."] * 5
+    bad = ["part 000-12-3456 of it", "order 666-45-6789", "invoice DE00 3704 0044 0532 0130 00", "section 923-11-0000"] * 5
+    rows = list(enumerate(good + bad + ["", None]))
+    got = {r["doc_id"]: r["spans"] for r in pii.private_report(pii.find_private(table(spark, rows))).collect()}
+    want = {0: "iban:12:39", 1: "iban:6:28", 2: "ssn:10:21", 3: "ssn:19:30"}
+    assert all(want[i % 4] in got[i].split(",") for i in range(20))
+    assert not any("ssn" in got[i] or "iban" in got[i] for i in range(20, 42))
+    for spans in got.values():
+        places = sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x)
+        assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
