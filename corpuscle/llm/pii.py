@@ -178,7 +178,7 @@ def with_votes(spans: DataFrame) -> DataFrame:
     }
     shape = {
         "secret": vote((variety >= 9) & (F.length(digits) >= 3), (variety < 6) | (F.length(digits) < 2)),
-        "card": vote(variety >= 4, variety <= 2),
+        "card": vote(s["base"] & (variety >= 4), variety <= 2),  # a number that fails its check looks like any other
         "phone": vote(variety >= 4, variety <= 2),
         "iban": vote(F.length(letters).between(15, 34), ~F.length(letters).between(15, 34)),
         "ssn": vote(variety >= 4, variety <= 2),
