@@ -169,7 +169,7 @@ def with_copies(measured: DataFrame) -> DataFrame:
     id aren't smaller than each other; a null id is neither a copy nor smaller than another.
     """
     same = measured.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    joined = hot_join(measured, same, "digest", "n", measured.count())
+    joined = hot_join(measured, materialize(same), "digest", "n", measured.count())
     return joined.withColumn("copy", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))).drop("least")
 
 

@@ -155,11 +155,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiles(crowded: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Edges between sets of different components that meet, by chains of tokens, in a crowd (root, node).
+    """Edges between sets of different components that meet in a crowd (root, node).
 
     The largest component of a crowd is compared with all that isn't in it, and the rest with each other: rows of a
     tile are sets outside the largest component, columns are all sets, ``tile`` shingles or one set on a side.
-    A row takes one edge to each component of a column, which it already connects.
+    A tile gives the edges of a forest over the components in it.
     """
     members = materialize(crowded.join(comps, "node").join(sets.select("node", "n"), "node"))
     groups = members.groupBy("root", "comp").agg(F.sum("n").alias("weight"))
@@ -169,7 +169,7 @@ def _tiles(crowded: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     ).where("rows > 0")
     # One row per crowd; a crowd of any size is dealt by its members, not by its name.
     counts = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    met = hot_join(members, sides.join(counts, "root"), "root", "members", members.count()).where("main is not null")
+    met = hot_join(members, materialize(sides.join(counts, "root")), "root", "members", members.count()).where("main is not null")
     deal = lambda sides: F.pmod(F.xxhash64("node"), F.col(sides)).cast("int")
     column = met.select("root", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), deal("columns").alias("j"), F.lit(False).alias("is_row"), "node", "comp")
     row = met.where("comp <> main").select("root", deal("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("is_row"), "node", "comp")
@@ -200,29 +200,42 @@ def _tiles(crowded: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
 
 
 def _across(rows: list, columns: list, percent: int) -> np.ndarray:
-    """(row node, column node) for one column of each component at ``percent`` or more with a row."""
+    """Pairs (row node, column node) at ``percent`` or more that connect what rows and columns connect: fewer than there are components."""
     sizes = np.array([len(c[2]) for c in columns])
     owner = np.repeat(np.arange(len(columns)), sizes)
     tokens = np.concatenate([c[2] for c in columns])
     order = np.argsort(tokens)
     tokens, owner = tokens[order], owner[order]
-    nodes, comps = (np.array([c[k] for c in columns], np.int64) for k in (0, 1))
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
     found = []
     for node, comp, own in rows:
         lo, hi = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
         n = hi - lo
         at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         both = np.bincount(owner[at], minlength=len(columns))
-        near = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (both > 0) & (comps != comp))
-        _, once = np.unique(comps[near], return_index=True)
-        found += [(node, int(nodes[y])) for y in near[once]]
+        for y in np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (both > 0)):
+            here, there = top(comp), top(columns[y][1])
+            if here != there:
+                above[here] = there
+                found.append((node, columns[y][0]))
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _components(edges: DataFrame, postings: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes that have postings."""
-    roots = connected_components(edges)
-    return postings.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+def _labels(hubs: DataFrame, postings: DataFrame) -> DataFrame:
+    """(node, comp): sets with one ``comp`` are connected by verified pairs; the least set that a set is linked with names it."""
+    own = postings.select("node", F.col("node").alias("comp"))
+    ends = hubs.select(F.col("b").alias("node"), F.col("a").alias("comp"))
+    first = materialize(own.union(ends).groupBy("node").agg(F.min("comp").alias("comp")))
+    # The name of the one that names a set, so that hubs of other tokens take the name of the first.
+    over = first.select(F.col("node").alias("comp"), F.col("comp").alias("named"))
+    return first.join(over, "comp").select("node", F.col("named").alias("comp"))
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -266,8 +279,8 @@ def similar_sets(first: DataFrame, docs: DataFrame, percent: int, words: int, cr
     wanted = materialize(slim.join(postings.select("node").distinct(), "node", "left_semi"))
     sets = materialize(_wanted_sets(docs, wanted, words))
     hubs = materialize(_verified(_hub_pairs(postings, percent), sets, percent))
-    # What the hubs connect is one component; tokens whose sets are all in one have nothing left to find.
-    comps = materialize(_components(hubs, postings))
+    # Tokens whose sets are all connected have nothing left to find.
+    comps = materialize(_labels(hubs, postings))
     placed = postings.join(comps, "node")
     low_high = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("least")]
     unfinished = placed.groupBy("token").agg(F.count(F.lit(1)).alias("members"), *low_high).where("low < high")
@@ -278,8 +291,8 @@ def similar_sets(first: DataFrame, docs: DataFrame, percent: int, words: int, cr
     apart = (F.col("tokena") == F.col("tokenb")) & (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb"))
     met = one.join(two, apart & _fits("na", "nb", percent))
     pairs = _counted_pairs(met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), F.least("matchesa", "matchesb").alias("matches")))
-    crowds = connected_components(left.where(F.col("size") > crowd).select(F.col("node").alias("a"), F.col("least").alias("b")))
-    crowds = crowds.select("node", "root")
+    # The least set names a crowd: tokens of the same sets mostly share it, so a set is in few crowds.
+    crowds = left.where(F.col("size") > crowd).select("node", F.col("least").alias("root")).distinct()
     return hubs.union(_verified(pairs, sets, percent)).union(_tiles(crowds, comps, sets, percent, tile))
 
 
