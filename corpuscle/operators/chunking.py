@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,33 +14,42 @@ from ..functions.text import BLANKS, CHARS_PER_TOKEN, estimate_tokens, sentences
 SIZE, OVERLAP = 512, 0.2
 
 
+def checked_step(size: int, overlap: float) -> int:
+    """Characters between the starts of two windows."""
+    chars = size * CHARS_PER_TOKEN
+    step = chars - int(chars * overlap)
+    if step <= 0:
+        raise ValueError("overlap leaves no step")
+    return step
+
+
+def windows(text: str, size: int, overlap: float) -> Iterator[tuple[int, int, str]]:
+    """(start, end, stripped piece) of a text's fixed windows."""
+    chars = size * CHARS_PER_TOKEN
+    zone_at = int(chars * 0.8)
+    for start in range(0, len(text), checked_step(size, overlap)):
+        end = start + chars
+        if end < len(text):
+            stop, line = text.rfind(". ", start + zone_at, end), text.rfind("\n", start + zone_at, end)
+            end = stop + 2 if stop >= 0 else line + 1 if line >= 0 else end
+        if piece := text[start:end].strip(BLANKS):
+            yield start, end, piece
+
+
 def fixed(docs: DataFrame, size: int = SIZE, overlap: float = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, chunk_index, total_chunks, start_char, end_char, chunk, token_count): windows that start at equal steps.
 
     A window that isn't the last ends behind the last ". " (else newline) of its
     last fifth. Windows of white space only are left out and take no number.
     """
-    chars = size * CHARS_PER_TOKEN
-    step = chars - int(chars * overlap)
-    if step <= 0:
-        raise ValueError("overlap leaves no step")
-    zone_at = int(chars * 0.8)
+    checked_step(size, overlap)
     made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     id_field = made.schema["doc_id"].dataType.simpleString()
 
-    def cuts(t: str):
-        for start in range(0, len(t), step):
-            end = start + chars
-            if end < len(t):
-                stop, line = t.rfind(". ", start + zone_at, end), t.rfind("\n", start + zone_at, end)
-                end = stop + 2 if stop >= 0 else line + 1 if line >= 0 else end
-            if piece := t[start:end].strip(BLANKS):
-                yield start, end, piece
-
     # One pass over each text: a window costs its own length, wherever it stands.
     def run(batches):
         for batch in batches:
-            found = [list(cuts(t)) if t else [] for t in batch.column(1).to_pylist()]
+            found = [list(windows(t, size, overlap)) if t else [] for t in batch.column(1).to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             flat = [c for f in found for c in f]
             columns = [pa.array([i for f in found for i in range(len(f))], pa.int64()), pa.array([len(found[i]) for i in at.tolist()], pa.int64())]
