@@ -46,11 +46,7 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_SPLIT), lambda w: w != "")
-
-
-def terms(text: Column) -> Column:
-    """``words`` without a function called for each: runs of letters and digits, lower-cased; null for null."""
+    """Runs of letters and digits, lower-cased; null for null."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +68,49 @@ def match_sources(claims: DataFrame, sources: DataFrame, by: str) -> DataFrame:
     )
 
 
+def independent_counts(supporting: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, independent): how many sources of each group are independent, taken greedily in order of source_no.
+
+    A source counts if it has neither the base domain nor an author of one that has counted before; no domain and no
+    authors are shared by none. Rows are sorted by group and order and folded one by one; a task holds the domains and
+    authors that count in one group, never the group. Ties of source_no go by domain.
+    """
+    slim = supporting.select(*keys, F.coalesce("base_domain", F.lit("")).alias("base_domain"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "source_no")
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    count = len(keys)
+
+    def fold(batches):
+        group, domains, authors, n, types = None, set(), set(), 0, []
+        for batch in batches:
+            types = [f.type for f in batch.schema][:count]
+            done = []
+            for *key, domain, names, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != group:
+                    if group is not None:
+                        done.append((*group, n))
+                    group, domains, authors, n = key, set(), set(), 0
+                own = {a for a in names if a}
+                if domain not in domains and not own & authors:
+                    n += 1
+                    authors |= own
+                    domains |= {domain} - {""}
+            yield counted(done, types)
+        if group is not None:
+            yield counted([(*group, n)], types)
+
+    def counted(done, types):
+        columns = list(zip(*done)) or [()] * (count + 1)
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns[:count], types), pa.array(columns[count], pa.int64())], names=[*keys, "independent"])
+
+    ordered = slim.repartition(*keys).sortWithinPartitions(*keys, "source_no", "base_domain")
+    return ordered.mapInArrow(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", independent long")
+
+
 def verify_claims(claims: DataFrame, sources: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, claim_no, claim, status, confidence, evidence, supporting, conflicting, independent) of every claim.
 
-    Sources are independent if their base domains differ; one without a domain always is.
+    Sources are independent if their base domains differ; one without a domain always is. If ``sources`` has
+    ``authors`` (a list) and ``source_no``, ``independent_counts`` decides, so that sources of one author count once.
     """
     met = match_sources(claims, sources, by)
     good = F.col("supports")
@@ -82,6 +122,10 @@ def verify_claims(claims: DataFrame, sources: DataFrame, by: str = "query_id") -
         F.count_if(good & (F.col("tier") == "P1")).alias("first"),
         (F.count_distinct(F.when(named, F.col("base_domain"))) + F.count_if(good & (F.col("base_domain") == ""))).alias("independent"),
     )
+    if "authors" in sources.columns:
+        named = sources.select(by, "url", "authors", "source_no").dropDuplicates([by, "url"])
+        told = met.where(good).join(named, [by, "url"]).select(by, "claim_no", "base_domain", "authors", "source_no")
+        counts = counts.drop("independent").join(independent_counts(told, [by, "claim_no"]), [by, "claim_no"], "left")
     n = ["supporting", "conflicting", "strong", "first", "independent"]
     full = claims.join(counts, [by, "claim_no"], "left").fillna(0, n)
     sup, con, strong, ind = (F.col(x) for x in ("supporting", "conflicting", "strong", "independent"))

@@ -88,15 +88,18 @@ def entities(texts: DataFrame, ident: str, text: str = "text") -> DataFrame:
 
 
 def links(texts: DataFrame, ident: str, text: str = "text") -> DataFrame:
-    """(ident, link_no, slug) of ``[[slug]]`` marks, each once, in order."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all(F.col(text), F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), lambda s: ~F.contains(s, F.lit(":"))))
+    """(ident, link_no, slug) of ``[[slug]]`` marks, each once, in order.
+
+    A slug has two or more letters, digits, underscores or hyphens, in either case, and begins and ends with a letter or digit.
+    """
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?i)\[\[([a-z0-9][\w-]*[a-z0-9])\]\]"), F.lit(1)))
     return texts.select(ident, F.posexplode(found).alias("link_no", "slug")).select(ident, F.col("link_no").cast("long").alias("link_no"), "slug")
 
 
 def dangling_pages(found: DataFrame, pages: DataFrame, slug: str = "slug") -> DataFrame:
-    """(slug, title, state): draft pages for links that lead nowhere."""
+    """(slug, title, state): draft pages for links that lead nowhere; a title's words begin with capitals and stay as they are behind them."""
     missing = found.select("slug").distinct().join(pages.select(F.col(slug).alias("slug")), "slug", "left_anti")
-    return missing.select("slug", F.initcap(F.replace("slug", F.lit("-"), F.lit(" "))).alias("title"), F.lit("draft").alias("state"))
+    return missing.select("slug", F.array_join(F.transform(F.split("slug", "-"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), " ").alias("title"), F.lit("draft").alias("state"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -90,12 +90,12 @@ def page_freshness(spark: SparkSession, d: str) -> DataFrame:
     return k.freshness(wiki_pages(spark, d), sources, current, _as_of())
 
 
-_MARKED = "text || ' [[tech:Vector Store]] and [[Person: Ada]] see [[page-' || (doc_id % 9) || ']] [[tech:Vector Store]] [[page-' || (doc_id % 9) || ']] [[overview]]'"
+_MARKED = "text || ' [[tech:Vector Store]] and [[Person: Ada]] see [[page-' || (doc_id % 9) || ']] [[tech:Vector Store]] [[page-' || (doc_id % 9) || ']] [[overview]] [[Page One]] [[x]] [[ieee-iPhone]] [[a_b--c9]] [[-bad-]] [[OVERVIEW]] [[Page-' || (doc_id % 9) || ']]'"
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     n = (F.col("doc_id") % 9).cast("string")
-    mark = F.concat(F.col("text"), F.lit(" [[tech:Vector Store]] and [[Person: Ada]] see [[page-"), n, F.lit("]] [[tech:Vector Store]] [[page-"), n, F.lit("]] [[overview]]"))
+    mark = F.concat(F.col("text"), F.lit(" [[tech:Vector Store]] and [[Person: Ada]] see [[page-"), n, F.lit("]] [[tech:Vector Store]] [[page-"), n, F.lit("]] [[overview]] [[Page One]] [[x]] [[ieee-iPhone]] [[a_b--c9]] [[-bad-]] [[OVERVIEW]] [[Page-"), n, F.lit("]]"))
     return table(spark, d, "documents").select("doc_id", mark.alias("text"))
 
 
@@ -108,9 +108,8 @@ def entity_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINKS_SQL = (
-    "(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS link_no, slug FROM (SELECT doc_id, lower(trim(unnest(l))) AS slug, unnest(range(len(l))) AS i FROM "
-    f"(SELECT doc_id, regexp_extract_all(t0, '\\[\\[([^\\]]+)\\]\\]', 1) AS l FROM (SELECT doc_id, {_MARKED} AS t0 FROM documents))) "
-    "WHERE NOT regexp_matches(slug, '^(person|org|tech|concept|location|event):') GROUP BY doc_id, slug)"
+    "(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS link_no, slug FROM (SELECT doc_id, unnest(l) AS slug, unnest(range(len(l))) AS i FROM "
+    f"(SELECT doc_id, regexp_extract_all(t0, '(?i)\\[\\[([a-z0-9][\\w-]*[a-z0-9])\\]\\]', 1) AS l FROM (SELECT doc_id, {_MARKED} AS t0 FROM documents))) GROUP BY doc_id, slug)"
 )
 
 
@@ -120,7 +119,7 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT DISTINCT slug, upper(slug[1]) || replace(slug[2:], '-', ' ') AS title, 'draft' AS state FROM {_LINKS_SQL} WHERE slug NOT IN (SELECT 'page-' || (doc_id % 9) FROM documents WHERE doc_id % 9 < 5)"
+    f"SELECT DISTINCT slug, array_to_string(list_transform(string_split(slug, '-'), lambda w: upper(w[1]) || w[2:]), ' ') AS title, 'draft' AS state FROM {_LINKS_SQL} WHERE slug NOT IN (SELECT 'page-' || (doc_id % 9) FROM documents WHERE doc_id % 9 < 5)"
 )
 def dangling_links(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "documents").where("doc_id % 9 < 5").select(F.concat(F.lit("page-"), (F.col("doc_id") % 9).cast("string")).alias("slug")).distinct()  # four pages and the overview are missing
@@ -178,7 +177,11 @@ def kg_degree_sparse(spark: SparkSession, d: str) -> DataFrame:
     return k.sparse_entities(nodes, graph_edges(spark, d))
 
 
-@query()
+@query(
+    f"WITH n AS (SELECT dst AS node, count(*) AS mentions FROM {_EDGES_SQL} GROUP BY 1 ORDER BY mentions DESC, node LIMIT 500), l AS (SELECT src, dst FROM {_EDGES_SQL} WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n) ORDER BY src, dst LIMIT 1000) "
+    """SELECT '{"nodes":[' || (SELECT string_agg('{"node":"' || node || '","mentions":' || mentions || '}', ',' ORDER BY node, mentions) FROM n) || '],"links":[' || """
+    """(SELECT string_agg('{"src":"' || src || '","dst":"' || dst || '"}', ',' ORDER BY src, dst) FROM l) || ']}' AS graph"""
+)
 def kg_export_json(spark: SparkSession, d: str) -> DataFrame:
     edges = graph_edges(spark, d)
     nodes = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("mentions"))
@@ -238,7 +241,7 @@ def contradiction_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def session_topics(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", k.topics(F.substring("text", 1, 500)).alias("topics"))
+    first = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", k.topics(F.col("text")).alias("topics"))
     return first.select("conv_id", "turn", F.array_join("topics", "; ").alias("topics"))
 
 
@@ -258,32 +261,18 @@ def active_locks(spark: SparkSession, d: str) -> DataFrame:
     return k.active_locks(locks, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
 
 
-@query(
-    "SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN source ELSE source END AS source, n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"
-)
-def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return tables.upsert(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0").withColumn("source", F.lit("new")), ["doc_id"], ["source"])
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'new' END AS source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
-def seed_insert_missing(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return tables.insert_missing(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0").withColumn("source", F.lit("new")), ["doc_id"])
-
-
 #: With the even documents this covers every row.
 _NEW = "doc_id IS NULL OR doc_id % 2 <> 0 OR doc_id % 3 = 0"
 
 
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN source ELSE 'new' END AS source, n_chars FROM documents")
-def upsert_documents_whole(spark: SparkSession, d: str) -> DataFrame:
+def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
     return tables.upsert(docs.where("doc_id % 2 = 0"), docs.where(_NEW).withColumn("source", F.lit("new")), ["doc_id"], ["source"])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'new' END AS source FROM documents")
-def seed_insert_missing_whole(spark: SparkSession, d: str) -> DataFrame:
+def seed_insert_missing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source")
     return tables.insert_missing(docs.where("doc_id % 2 = 0"), docs.where(_NEW).withColumn("source", F.lit("new")), ["doc_id"])
 

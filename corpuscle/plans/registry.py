@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import connector_queries, index_queries, knowledge_queries, report_queries, retrieval_queries, text_queries  # noqa: F401  they register themselves
+    from . import connector_queries, index_queries, knowledge_queries, report_queries, retrieval_queries, stream_queries, text_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES), dict(ORACLES)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import quality, text
 from ..operators import chunking, claims, routing
 from ..sources.tables import table
-from .registry import ORACLES, query
+from .registry import query
 
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> '')"
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -64,9 +64,15 @@ def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
     return chunking.markdown(_threads(spark, d), size=200)
 
 
-@query("SELECT doc_id, length(text) AS before_chars, sha256(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS cleaned FROM (SELECT doc_id, regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents)")
+_PAGE = "'Accept all cookies here' || chr(10) || text || chr(10) || 'SHARE this  article (' || doc_id || ')' || repeat(chr(10), 5) || 'Comments (3)' || chr(10) || 'Related article: x' || chr(10) || 'end. Subscribe to it'"
+_CLEAN = f"({_PAGE})"
+for _p in text.BOILERPLATE:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}[^\\n]*\\n', '', 'gi')"
+
+
+@query(f"SELECT doc_id, length({_PAGE}) AS before_chars, sha256(trim(regexp_replace({_CLEAN}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS cleaned FROM documents")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n{3,}", "\n\n").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_PAGE.replace("chr(10)", "'\\n'")).alias("text"))
     return docs.select("doc_id", F.length("text").cast("long").alias("before_chars"), F.sha2(text.clean_markdown(F.col("text")), 256).alias("cleaned"))
 
 
@@ -91,17 +97,10 @@ def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT item_id, rtrim(substring(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), 1, 80), '-') AS slug, "
-    "sha256(trim(lower(text)) || '|hybrid|P1') AS cache_key FROM benchmark WHERE NOT regexp_matches(text, '[^ -~]')"
+    "SELECT item_id, rtrim(substring(regexp_replace(regexp_replace(regexp_replace(trim(lower(text)), '[^\\p{L}\\p{M}\\p{Nl}\\p{Nd}\\p{Pc}\\p{Z}\\s-]', '', 'g'), '[\\p{Z}\\s_]+', '-', 'g'), '-+', '-', 'g'), 1, 80), '-') AS slug, "
+    "sha256(regexp_replace(lower(text), '^[\\p{Z}\\s]+|[\\p{Z}\\s]+$', '', 'g') || '|hybrid|P1') AS cache_key FROM benchmark"
 )
 def slugify_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    plain = table(spark, d, "benchmark").where(~F.col("text").rlike(r"[^ -~]"))
-    return plain.select("item_id", text.slugify(F.col("text")).alias("slug"), text.query_key(F.col("text"), F.lit("hybrid"), F.lit("P1")).alias("cache_key"))
-
-
-@query()
-def slugify_benchmark_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs of every item, whatever its script; the SQL above has no Unicode word class and so covers plain ASCII only."""
     slug, key = text.slugify(F.col("text")), text.query_key(F.col("text"), F.lit("hybrid"), F.lit("P1"))
     return table(spark, d, "benchmark").select("item_id", slug.alias("slug"), key.alias("cache_key"))
 
@@ -275,12 +274,12 @@ def citation_corrections(spark: SparkSession, d: str) -> DataFrame:
 _NEWS_SQL = (
     "(SELECT lang, doc_id, 'https://' || source || '.example.org/' || doc_id AS url, source, CASE CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' WHEN 2 THEN 'P3' ELSE 'UNV' END AS tier, "
     "CASE doc_id % 6 WHEN 0 THEN 'The study found that the measure reduces long term river levels significantly. ' WHEN 1 THEN 'However, the measure does not change long term river levels. ' "
-    "WHEN 2 THEN 'Trials showed the measure increases short term river flow by 20%. ' ELSE '' END || substring(text, 1, 300) AS snippet FROM documents)"
+    "WHEN 2 THEN 'Trials showed the measure increases short term river flow by 20%. ' ELSE '' END || text AS snippet FROM documents)"
 )
 
 
-def news(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Documents as sources; the snippet is the first 300 characters, or the ``whole`` text."""
+def news(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as sources; the snippet is the whole text behind a made sentence."""
     i = F.col("doc_id") % 6
     head = (
         F.when(i == 0, "The study found that the measure reduces long term river levels significantly. ")
@@ -291,7 +290,7 @@ def news(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string"))
     docs = table(spark, d, "documents")
     return docs.select(
-        "lang", "doc_id", url.alias("url"), "source", quality.corpus_tier(F.col("source")).alias("tier"), F.concat(head, F.col("text") if whole else F.substring("text", 1, 300)).alias("snippet"),
+        "lang", "doc_id", url.alias("url"), "source", quality.corpus_tier(F.col("source")).alias("tier"), F.concat(head, "text").alias("snippet"),
         F.lit("").alias("title"), F.concat("source", F.lit(".example")).alias("base_domain"),
     )
 
@@ -339,28 +338,13 @@ def verification_summary(spark: SparkSession, d: str) -> DataFrame:
     return claims.verification_summary(claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang"), "lang")
 
 
-def _whole(sql: str) -> str:
-    """The same SQL over whole texts."""
-    return sql.replace("substring(text, 1, 300)", "text")
-
-
-@query(_whole(f"SELECT * FROM ({_CLAIMS_SQL}) WHERE claim_no <= 15"))
-def extract_claims_whole(spark: SparkSession, d: str) -> DataFrame:
-    return claims.extract_claims(news(spark, d, whole=True), "lang", "doc_id")
-
-
-@query(_whole(_VERIFY_SQL))
-def verify_claims_whole(spark: SparkSession, d: str) -> DataFrame:
-    rows = news(spark, d, whole=True)
+@query()
+def verify_claims_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Claims against sources of which every seventh has the same author."""
+    rows = news(spark, d).withColumns({"authors": F.array(F.concat(F.lit("author "), (F.col("doc_id") % 7).cast("string"))), "source_no": F.col("doc_id")})
     return claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang").drop("claim")
 
 
-@query(_whole(ORACLES["verification_summary"]))
-def verification_summary_whole(spark: SparkSession, d: str) -> DataFrame:
-    rows = news(spark, d, whole=True)
-    return claims.verification_summary(claims.verify_claims(claims.extract_claims(rows, "lang", "doc_id"), rows, "lang"), "lang")
-
-
 @query(_fixed_sql(2048, 1639, 1638))
 def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents after an incremental ingest from an empty start."""

@@ -212,3 +212,33 @@ def test_replay_applies_updates_in_order(spark):
     assert {r["update_id"]: (r["accepted"], r["base_version"]) for r in log.collect()} == want
     assert {r["page_id"]: [r["state"], r["version"], r["content"]] for r in after.collect()} == state
     assert sum(t for t, _ in want.values()) > 50
+
+
+def test_sources_that_share_an_author_or_domain_count_once(spark):
+    from corpuscle.operators import claims
+
+    rng = random.Random(9)
+    rows = []
+    for group in range(40):
+        for i in range(rng.randint(1, 25)):
+            rows.append((group, i % 3, rng.choice(["a.org", "b.org", "c.org", "", None]), rng.choice([None, [], ["x"], ["x", "y"], ["z"], [f"own{i}"], [None, "w"]]), i))
+    got = claims.independent_counts(spark.createDataFrame(rows, "query_id long, claim_no long, base_domain string, authors array<string>, source_no long"), ["query_id", "claim_no"])
+    want = {}
+    for group, claim, domain, authors, i in sorted(rows, key=lambda r: (r[0], r[1], r[4])):
+        chosen = want.setdefault((group, claim), [])
+        own = {a for a in authors or [] if a}
+        if all(not (domain and domain == d) and not own & a for d, a in chosen):
+            chosen.append((domain, own))
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_shared_authors_change_what_is_established(spark):
+    from corpuscle.operators import claims
+
+    text = "the vaccine significantly reduced infection among adults"
+    given = spark.createDataFrame([(1, 1, text)], "query_id long, claim_no long, claim string")
+    rows = [(1, "https://a.org/1", "P1", "a.org", text, "", ["Ada"], 1), (1, "https://b.org/1", "P2", "b.org", text, "", ["Ada", "Bob"], 2)]
+    sources = spark.createDataFrame(rows, "query_id long, url string, tier string, base_domain string, title string, snippet string, authors array<string>, source_no long")
+    told = claims.verify_claims(given, sources).first()
+    plain = claims.verify_claims(given, sources.drop("authors")).first()
+    assert (told["independent"], told["status"]) == (1, "TENTATIVE") and (plain["independent"], plain["status"]) == (2, "ESTABLISHED")

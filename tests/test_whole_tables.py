@@ -1,4 +1,4 @@
-"""Queries that cover every row and whole texts, beside those whose SQL covers a part."""
+"""Queries that cover every row and whole texts."""
 
 import re
 
@@ -27,25 +27,25 @@ def slow_slug(t):
 
 def test_slugs_of_every_item(spark, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
-    got = {r["item_id"]: r["slug"] for r in QUERIES["slugify_benchmark_whole"](spark, folder).collect()}
+    got = {r["item_id"]: r["slug"] for r in QUERIES["slugify_benchmark"](spark, folder).collect()}
     assert got == {r["item_id"]: slow_slug(r["text"]) for r in items}
     assert got[2] == "über-die-größe-der-flüsse-zweite-zeile"
 
 
 def test_claims_after_the_300th_character(spark, folder):
-    found = [r["claim"] for r in QUERIES["extract_claims_whole"](spark, folder).collect()]
+    found = [r["claim"] for r in QUERIES["extract_claims"](spark, folder).collect()]
     assert sum("later trial" in c for c in found) >= 10
 
 
-@pytest.mark.parametrize("name", ["upsert_documents_whole", "seed_insert_missing_whole"])
+@pytest.mark.parametrize("name", ["upsert_documents", "seed_insert_missing"])
 def test_every_document_is_on_a_side(spark, folder, name):
     got = {r["doc_id"]: r["source"] for r in QUERIES[name](spark, folder).collect()}
     kept = {i for i in range(24) if i % 2 == 0 and (name.startswith("seed") or i % 3)}
     assert got == {i: f"src{i % 4}" if i in kept else "new" for i in range(24)}
 
 
-@pytest.mark.parametrize("name", ["extract_claims_whole", "verify_claims_whole", "verification_summary_whole", "upsert_documents_whole", "seed_insert_missing_whole"])
-def test_whole_queries_equal_their_sql(spark, folder, name):
+@pytest.mark.parametrize("name", ["extract_claims", "verify_claims", "verification_summary", "upsert_documents", "seed_insert_missing"])
+def test_queries_equal_their_sql(spark, folder, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
