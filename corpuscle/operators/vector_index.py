@@ -38,29 +38,49 @@ class VectorIndex:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
 
-def fit_lists(vectors: DataFrame, lists: int, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Unit centroids of ``lists`` clusters by cosine, fitted on at most ``sample_rows`` rows of (vec_id, v)."""
+def _sample(vectors: DataFrame, rows: int) -> DataFrame:
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sample = vectors.where(size > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = KMeans(k=lists, seed=SEED, maxIter=20, distanceMeasure="cosine").fit(durable(sample))
+    return durable(vectors.where(size > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select(F.col("v").cast("array<double>").alias("v")))
+
+
+def fit_lists(sample: DataFrame, lists: int) -> np.ndarray:
+    """Unit centroids of ``lists`` clusters by cosine, fitted on a sample (v)."""
+    model = KMeans(k=lists, seed=SEED, maxIter=20, distanceMeasure="cosine").fit(sample.select(array_to_vector("v").alias("features")))
     centres = np.array(model.clusterCenters())
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, target: float, asked: int = 500, k: int = 10) -> int:
+    """How many lists a query reads so that ``target`` of its k nearest rows of the sample lie in them.
 
-
-def build_vector_index(vectors: DataFrame, lists: int | None = None, probes: int | None = None, sample_rows: int = SAMPLE_ROWS, vec_id: str = "vec_id", vector: str = "embedding", path: str | None = None) -> VectorIndex:
+    The first ``asked`` rows ask; each neighbour counts by the place of its list among the lists nearest to the row.
+    """
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    own = np.argmax(unit @ centres.T, axis=1)
+    ask = unit[:asked]
+    near = ask @ unit.T
+    near[np.arange(len(ask)), np.arange(len(ask))] = -2.0
+    best = np.argsort(-near, axis=1)[:, : min(k, len(unit) - 1)]
+    place = np.argsort(np.argsort(-(ask @ centres.T), axis=1, kind="stable"), axis=1)
+    depth = np.sort(np.take_along_axis(place, own[best], axis=1).ravel())
+    return int(depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]) + 1 if len(depth) else 1
+
+
+def build_vector_index(vectors: DataFrame, lists: int | None = None, probes: int | None = None, sample_rows: int = SAMPLE_ROWS, target: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", path: str | None = None) -> VectorIndex:
     """Fits lists on a sample and writes every row to the list of its nearest centroid.
 
-    ``lists`` is the square root of the row count unless given; ``probes``, the lists that a query reads, a third of
-    them. Null vectors and those without length or of another length than the first are not indexed, as no query
+    ``lists`` is the square root of the row count unless given; ``probes``, the lists that a query reads, are as many
+    as hold ``target`` of the nearest neighbours within the sample. Null vectors and those without length or of another length than the first are not indexed, as no query
     matches them; an empty table has one list. A list of any size is dealt to files of ``FILE_ROWS``.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v")).where("v is not null and size(v) > 0")
     rows = slim.count()
     lists = lists or max(1, math.isqrt(rows))
-    centres = fit_lists(slim, lists, sample_rows) if rows > lists > 1 else np.ones((1, 1))
+    sample = _sample(slim, sample_rows) if rows > lists > 1 else None
+    centres = fit_lists(sample, lists) if sample else np.ones((1, 1))
+    if sample and not probes:
+        probes = probes_for(np.array([r["v"] for r in sample.collect()]), centres, target)  # ``sample_rows`` at most
     given = spark.sparkContext.broadcast(centres)  # as many as there are lists
     alone = len(centres) == 1
 
@@ -84,7 +104,7 @@ def build_vector_index(vectors: DataFrame, lists: int | None = None, probes: int
     at = path or f"{shared_folder(spark).rstrip('/')}/vectors/{uuid.uuid4().hex}"
     deal = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows // FILE_ROWS // max(1, lists) + 1)))
     placed.repartition("list", deal).write.partitionBy("list").option("maxRecordsPerFile", FILE_ROWS).parquet(at)
-    return VectorIndex(spark, at, schema, centres, probes or max(1, -(-len(centres) // 3)))
+    return VectorIndex(spark, at, schema, centres, probes or 1)
 
 
 def search_vectors(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, least: float | None = None) -> DataFrame:

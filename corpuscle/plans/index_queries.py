@@ -115,7 +115,7 @@ def _corpus(spark: SparkSession, d: str) -> str:
     return name
 
 
-@query(_fixed_sql(400, 320, 320))
+@query(f"SELECT doc_id, chunk_index, total_chunks, token_count, chunk_sha FROM ({_fixed_sql(400, 320, 320)})")
 def sql_chunk_text(spark: SparkSession, d: str) -> DataFrame:
     name = _corpus(spark, d)
     table_functions.register(spark, name)
