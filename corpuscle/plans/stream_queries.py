@@ -74,7 +74,6 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "events", F.round("total", 3).alias("total"))
 
 
-_XML = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _PLAIN = "trim(regexp_replace({0}, '[^a-zA-Z0-9&<>.]+', ' '{1}))"
 
 
@@ -86,16 +85,18 @@ def atom_papers(spark: SparkSession, d: str) -> DataFrame:
     """Every document as an entry of Atom files, read back."""
     docs = table(spark, d, "documents")
     n = F.col("doc_id")
-    name = lambda c: F.concat(F.lit("<author><name>"), c, F.lit("</name></author>"))
-    body = F.expr(_XML.format(_PLAIN.format("text", "")))
-    entry = F.concat(
-        F.lit("<entry xmlns='http://www.w3.org/2005/Atom'><id>http://arxiv.org/abs/"), n.cast("string"), F.lit("</id>"),
-        F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("<title>Paper\n"), n.cast("string"), F.lit("</title>"))), name(F.col("source")), F.when(n % 2 == 0, name(F.col("lang"))).otherwise(F.lit("<author/>")),
-        F.lit("<summary>"), body, F.lit("</summary><published>"), F.when(n % 7 > 0, F.concat(F.lit("2021-03-0"), (1 + n % 9).cast("string"), F.lit("T00:00:00Z"))).otherwise("soon"), F.lit("</published>"),
-        F.lit("<category term='cs."), F.upper("lang"), F.lit("'/><link title='doi' href='x'/>"), F.when(n % 3 == 0, F.concat(F.lit("<link title='pdf' href='http://arxiv.org/pdf/"), n.cast("string"), F.lit("'/>"))).otherwise(""), F.lit("</entry>"),
+    none = F.lit(None).cast("string")
+    entry = docs.select(
+        F.concat(F.lit("http://arxiv.org/abs/"), n.cast("string")).alias("id"),
+        F.when(n % 5 > 0, F.concat(F.lit("Paper\n"), n.cast("string"))).alias("title"),
+        F.array(F.struct(F.col("source").alias("name")), F.struct(F.when(n % 2 == 0, F.col("lang")).alias("name"))).alias("author"),
+        F.expr(_PLAIN.format("text", "")).alias("summary"),
+        F.when(n % 7 > 0, F.concat(F.lit("2021-03-0"), (1 + n % 9).cast("string"), F.lit("T00:00:00Z"))).otherwise("soon").alias("published"),
+        F.array(F.struct(F.concat(F.lit("cs."), F.upper("lang")).alias("_term"), none.alias("_VALUE"))).alias("category"),
+        F.array(F.struct(F.lit("doi").alias("_title"), F.lit("x").alias("_href"), none.alias("_VALUE")), F.struct(F.when(n % 3 == 0, "pdf").otherwise("html").alias("_title"), F.concat(F.lit("http://arxiv.org/pdf/"), n.cast("string")).alias("_href"), none.alias("_VALUE"))).alias("link"),
     )
     base = _folder(spark)
-    docs.select(entry.alias("value")).write.text(f"{base}/atom")
+    entry.write.format("xml").options(rootTag="feed xmlns='http://www.w3.org/2005/Atom'", rowTag="entry").save(f"{base}/atom")
     found = papers.read_atom(spark, f"{base}/atom")
     return found.withColumns({"authors": F.array_join("authors", ","), "categories": F.array_join("categories", ","), "published_date": F.col("published_date").cast("string")})
 
