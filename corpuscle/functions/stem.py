@@ -56,16 +56,23 @@ def _steps() -> list[str]:
     return [_rules(_PLURALS, None), past, mended, final_y, _rules(_DOUBLE, _SOME), _rules(_ENDINGS, _SOME), last, final_e, final_l]
 
 
-def stem(word: str = "term") -> Column:
-    """The stem of the words in column ``word``.
+def stem_sql(word: str) -> str:
+    """The stem of a column or lambda variable, as Spark SQL.
 
-    Words of three or more letters a to z have stems; others (shorter, with digits, accents or capitals) and nulls stay.
     Each step is a function of one element, so the expression's size is the sum of its steps' wherever it is moved.
     """
     made = word
     for step in _steps():
         made = f"element_at(transform(array({made}), w -> {step.format(match='regexp')}), 1)"
-    return F.expr(f"CASE WHEN {word} RLIKE '^[a-z]{{3,}}$' THEN {made} ELSE {word} END")
+    return f"CASE WHEN {word} RLIKE '^[a-z]{{3,}}$' THEN {made} ELSE {word} END"
+
+
+def stem(word: str = "term") -> Column:
+    """The stem of the words in column ``word``.
+
+    Words of three or more letters a to z have stems; others (shorter, with digits, accents or capitals) and nulls stay.
+    """
+    return F.expr(stem_sql(word))
 
 
 def stems_sql(table: str, word: str = "term") -> str:

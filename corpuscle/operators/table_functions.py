@@ -11,7 +11,9 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from pyspark.sql import types as T
 
 from ..functions.text import BLANKS, CHARS_PER_TOKEN
+from ..functions.stem import stem_sql
 from .chunking import OVERLAP, SIZE, STRATEGIES, _packed, checked_step, windows
+from .inverted_index import B, K1, InvertedIndex
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SECTION = re.compile(r"(?m)(?=^#{1,6}\s+\S)")
@@ -66,14 +68,15 @@ class ChunkText:
             yield (*row, header) if strategy == "markdown" else row
 
 
-def register(spark: SparkSession, corpus: str = "corpus", index: str | None = None) -> None:
-    """Enters ``chunk_text``, ``search_documents`` and, over the tables of a stored word index, ``keyword_search``.
+def register(spark: SparkSession, corpus: str = "corpus", index: InvertedIndex | None = None) -> None:
+    """Enters ``chunk_text``, ``search_documents`` and, over a stored word index, ``keyword_search``.
 
     ``corpus`` is a table or view with doc_id, source_tier, domain, doc_type, text and embedding; its vectors are
     compared one by one. ``search_documents(query_vector, match_threshold, match_count, filter_domain, filter_tier, filter_doc_type)`` gives doc_id, source_tier,
     domain, doc_type, text, similarity; ``keyword_search(search_query, match_count, filter_tier)`` gives doc_id,
     source_tier and score. Null filters let all pass; ties go to the smaller id. The search functions may be called with constants or, by LATERAL, with
-    the columns of a stated query table.
+    the columns of a stated query table. ``keyword_search`` scores by BM25 over stems, like ``search_index``, and reads
+    the folders of the asked words; its index must keep source_tier.
     """
     spark.udtf.register("chunk_text", F.udtf(ChunkText))
     tier = spark.table(corpus).schema
@@ -94,3 +97,21 @@ def register(spark: SparkSession, corpus: str = "corpus", index: str | None = No
             WHERE similarity >= search_documents.match_threshold)
         WHERE place <= search_documents.match_count"""
     )
+    if index is not None:
+        kind = index.id_type
+        asked = f"explode(array_distinct(transform(regexp_extract_all(lower(keyword_search.search_query), '[\\\\p{{L}}\\\\p{{N}}]+', 0), term -> {stem_sql('term')})))"
+        spark.sql(
+            f"""CREATE OR REPLACE TEMPORARY FUNCTION keyword_search(search_query STRING, match_count INT DEFAULT 5, filter_tier STRING DEFAULT NULL)
+            RETURNS TABLE (doc_id {kind}, source_tier STRING, score DOUBLE)
+            RETURN SELECT doc_id, source_tier, score FROM (
+                SELECT doc_id, source_tier, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (
+                    SELECT p.doc_id, m.source_tier, round(sum(ln(1 + (n.docs - f.df + 0.5D) / (f.df + 0.5D)) * p.tf * {K1 + 1}D / (p.tf + {K1}D * ({1 - B}D + {B}D * p.dl / n.mean_dl))), 6) AS score
+                    FROM (SELECT term, CAST(pmod(xxhash64(term), {index.folders}) AS INT) AS folder FROM (SELECT {asked} AS term)) q
+                    JOIN (SELECT term, folder, sum(df) AS df FROM {index.name}_words GROUP BY term, folder) f ON q.term = f.term AND q.folder = f.folder
+                    JOIN {index.name}_postings p ON q.term = p.term AND q.folder = p.folder
+                    JOIN {index.name}_members m ON m.doc_id = p.doc_id
+                    CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(dl) AS mean_dl FROM {index.name}_members WHERE dl > 0) n
+                    WHERE keyword_search.filter_tier IS NULL OR m.source_tier = keyword_search.filter_tier
+                    GROUP BY p.doc_id, m.source_tier))
+            WHERE place <= keyword_search.match_count"""
+        )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.stem import stems_sql
-from ..operators import graph_paths, inverted_index, replay, table_functions, trigrams, vector_index
+from ..operators import cycles, graph_paths, inverted_index, replay, table_functions, trigrams, vector_index
 from ..operators.search import vector_topk
 from ..sources.tables import durable, table
 from .knowledge_queries import _EDGES_SQL, graph_edges
@@ -207,3 +207,34 @@ def page_replay_log(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_replay_pages(spark: SparkSession, d: str) -> DataFrame:
     return _replayed(spark, d)[0].select("page_id", "state", "version", "content")
+
+
+@query(f"SELECT query_id, doc_id, keyword_score AS score FROM ({_bm25_sql('benchmark', 4)})")
+def sql_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    name = _corpus(spark, d)
+    index = inverted_index.create_index(spark, f"words_{uuid.uuid4().hex}", spark.table(name), ["source_tier"])
+    inverted_index.add_documents(index, spark.table(name), 0)
+    table_functions.register(spark, name, index)
+    _asked(spark, d).createOrReplaceTempView(f"words_{name}")
+    return spark.sql(f"SELECT query_id, s.doc_id, s.score FROM words_{name} q, LATERAL keyword_search(q.query, 4) s")
+
+
+_CYCLES_SQL = """
+WITH k0 AS (SELECT question_id, url, 0 AS cycle FROM (SELECT doc_id % 40 AS question_id, 'u' || (doc_id * 7 % 300) AS url FROM documents WHERE doc_id % 5 = 0) GROUP BY ALL),
+g AS (SELECT question_id, cycle, gap_no, 'gap ' || ((question_id * 7 + cycle * 3 + gap_no) % 45) AS gap FROM (SELECT DISTINCT doc_id % 40 AS question_id FROM documents), (SELECT unnest([1, 2]) AS cycle), (SELECT unnest([0, 1, 2]) AS gap_no) WHERE (question_id + cycle) % 6 > 0),
+o AS (SELECT gap, url FROM (SELECT 'gap ' || (doc_id % 60) AS gap, 'u' || (doc_id * 11 % 400) AS url, row_number() OVER (PARTITION BY doc_id % 60, doc_id % 3 ORDER BY doc_id) AS n FROM documents) WHERE n <= 2),
+k1 AS (SELECT DISTINCT question_id, url, 1 AS cycle FROM g JOIN o USING (gap) JOIN (SELECT DISTINCT question_id FROM k0) USING (question_id) WHERE cycle = 1 AND NOT EXISTS (SELECT 1 FROM k0 WHERE k0.question_id = g.question_id AND k0.url = o.url)),
+k2 AS (SELECT DISTINCT question_id, url, 2 AS cycle FROM g JOIN o USING (gap) JOIN (SELECT DISTINCT question_id FROM k1) USING (question_id) WHERE cycle = 2 AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1) k WHERE k.question_id = g.question_id AND k.url = o.url))
+SELECT question_id, url, cycle::BIGINT AS cycle FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2)
+"""
+
+
+@query(_CYCLES_SQL)
+def research_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Forty questions, what documents say first, and recorded answers to what is missing."""
+    docs = table(spark, d, "documents")
+    first = docs.where("doc_id % 5 = 0").selectExpr("doc_id % 40 AS question_id", "concat('u', doc_id * 7 % 300) AS url", "source", "doc_id AS pos")
+    asks = docs.selectExpr("doc_id % 40 AS question_id").distinct().selectExpr("question_id", "explode(array(1L, 2L)) AS cycle").selectExpr("question_id", "cycle", "explode(array(0L, 1L, 2L)) AS gap_no").where("(question_id + cycle) % 6 > 0")
+    gaps = asks.withColumn("gap", F.expr("concat('gap ', (question_id * 7 + cycle * 3 + gap_no) % 45)"))
+    answers = docs.selectExpr("concat('gap ', doc_id % 60) AS gap", "doc_id % 3 AS source", "doc_id AS pos", "concat('u', doc_id * 11 % 400) AS url")
+    return cycles.research_cycles(first.withColumn("source", F.lit(0).cast("long")), gaps, answers).select("question_id", "url", "cycle")

@@ -242,3 +242,54 @@ def test_shared_authors_change_what_is_established(spark):
     told = claims.verify_claims(given, sources).first()
     plain = claims.verify_claims(given, sources.drop("authors")).first()
     assert (told["independent"], told["status"]) == (1, "TENTATIVE") and (plain["independent"], plain["status"]) == (2, "ESTABLISHED")
+
+
+def test_keyword_search_in_sql_equals_the_index(spark, library):
+    docs, queries, _ = library
+    table = spark.createDataFrame([(d, t, "P1" if d % 2 else "P2", "x", "y", [1.0]) for d, t in docs], "doc_id long, text string, source_tier string, domain string, doc_type string, embedding array<float>")
+    table.createOrReplaceTempView("corpus_k")
+    index = inverted_index.create_index(spark, f"t{uuid.uuid4().hex}", table, ["source_tier"], buckets=4)
+    inverted_index.add_documents(index, table, 0)
+    table_functions.register(spark, "corpus_k", index)
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    asked.createOrReplaceTempView("asked_k")
+    got = spark.sql("SELECT query_id, s.doc_id, s.score FROM asked_k, LATERAL keyword_search(query, 4) s")
+    want = inverted_index.search_index(index, asked, 4).select("query_id", "doc_id", "keyword_score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    one = spark.sql("SELECT doc_id FROM keyword_search('zebra', filter_tier => 'P1')").collect()
+    assert [r[0] for r in one] == [503]
+
+
+def test_research_cycles(spark):
+    from corpuscle.operators import cycles
+
+    rng = random.Random(12)
+    first = [(q, f"u{rng.randrange(30)}", rng.choice("st"), i) for q in range(8) for i in range(rng.randint(1, 4))] + [(0, None, "s", 9)]
+    gaps = [(q, c, g, f"gap {rng.randrange(12)}") for q in range(8) for c in (1, 2, 3) for g in range(4) if rng.random() < 0.8]
+    answers = [(f"gap {g}", s, p, f"u{rng.randrange(60)}") for g in range(10) for s in "st" for p in range(4)] + [("gap 1", "s", 0, None)]
+    found = cycles.research_cycles(
+        spark.createDataFrame(first, "question_id long, url string, source string, pos long"),
+        spark.createDataFrame(gaps, "question_id long, cycle long, gap_no long, gap string"),
+        spark.createDataFrame(answers, "gap string, source string, pos long, url string"),
+    )
+    want = {}
+    for q in range(8):
+        urls = {}
+        for _, u, s, p in sorted((r for r in first if r[0] == q and r[1]), key=lambda r: (r[2], r[3])):
+            urls.setdefault(u, 0)
+        for cycle in (1, 2):
+            new = set()
+            for _, _, _, gap in sorted(g for g in gaps if g[0] == q and g[1] == cycle)[:3]:
+                for source in "st":
+                    hits = sorted((p, u) for g, s, p, u in answers if g == gap and s == source and u)[:2]
+                    new |= {u for _, u in hits} - set(urls)
+            if not new:
+                break
+            urls |= dict.fromkeys(new, cycle)
+        want[q] = urls
+    got = {}
+    for r in found.collect():
+        assert r["url"] not in got.setdefault(r["question_id"], {})
+        got[r["question_id"]][r["url"]] = r["cycle"]
+    assert got == want
+    assert {r["question_id"]: (r["cycles"], r["sources"]) for r in cycles.cycle_counts(found).collect()} == {q: (max(u.values()) + 1, len(u)) for q, u in want.items()}
