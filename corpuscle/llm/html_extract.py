@@ -4,8 +4,10 @@ The pages of a host are merged into one tree whose nodes are element paths
 (tags with their class names). A node on which the host's pages agree, in the
 children around it and in its texts, is template; a node on which they differ
 is content. Nodes that are clearly less important than the host's text at large
-are left out of every page, and a branch goes with the last of its nodes. The
-roles of elements (menus, forms, notices) and articles are checked after that.
+are left out of every page, and a branch goes with the last of its nodes. On
+hosts of few pages, where entropies say little, the roles of elements (menus,
+forms, notices) and articles are checked after that; on others the tree alone
+decides.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .urls import host_of
 GAMMA = 0.5
 #: A node whose importance is less than this share of its host's mean is template.
 LEAST_SHARE = 0.8
+#: From so many pages of a host on its style tree alone decides.
+TREE_PAGES = 16
 #: Hosts with more than one in so many of all pages meet their template by broadcast.
 HOT_HOSTS = 2000
 
@@ -339,7 +343,7 @@ def template_nodes(pages: DataFrame, least: float = LEAST_SHARE, gamma: float =
 
 
 def extract_main_text(
-    pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST_SHARE, gamma: float = GAMMA, roles: bool = True
+    pages: DataFrame, html: str = "html", url: str = "url", least: float = LEAST_SHARE, gamma: float = GAMMA, roles: bool = True, tree_pages: int = TREE_PAGES
 ) -> DataFrame:
     """``pages`` with ``text``, the main text of each page, in place of the html.
 
@@ -352,8 +356,9 @@ def extract_main_text(
     element of bare text, ends there. A page of one host (or of none, when its URL is
     null) is judged with the pages of that host, from two pages on; null html
     gives an empty text; repeated rows are kept and get equal texts; an empty
-    table gives no rows. Columns named ``text`` are replaced. Without ``roles``
-    the style tree alone decides, and no tag or class name has a meaning.
+    table gives no rows. Columns named ``text`` are replaced. On hosts of
+    ``tree_pages`` pages or more that have a template, and everywhere without
+    ``roles``, the style tree alone decides, and no tag or class name has a meaning.
 
     Templates are joined by host. Those of hosts with more than one in HOT_HOSTS
     of all pages, so at most HOT_HOSTS rows, are broadcast; every other host has
@@ -364,12 +369,14 @@ def extract_main_text(
     found = materialize(template_nodes(slim, least, gamma))
     kept = pages.select(*names, F.col(html).alias("__html")).withColumn("__at", host_of(F.col(url)))
     total = found.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    met = hot_join(kept, found.select(F.col("host").alias("__at"), F.col("pages").alias("__n"), "template"), "__at", "__n", total, HOT_HOSTS).select(*names, "__html", "template")
+    met = hot_join(kept, found.select(F.col("host").alias("__at"), F.col("pages").alias("__n"), "template", (F.col("pages") >= tree_pages).alias("judged")), "__at", "__n", total, HOT_HOSTS)
+    met = met.select(*names, "__html", "template", "judged")
     schema = T.StructType([pages.schema[c] for c in names] + [T.StructField("text", T.StringType())])
 
     def run(batch):
         k = len(names)
-        texts = [extract(page.as_py(), set(low.as_py() or ()), roles) for page, low in zip(batch.column(k), batch.column(k + 1))]
+        rows = zip(batch.column(k), batch.column(k + 1), batch.column(k + 2))
+        texts = [extract(page.as_py(), set(low.as_py() or ()), roles and not judged.as_py()) for page, low, judged in rows]
         yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string())], names=[f.name for f in schema])
 
     return map_arrow(met, run, schema)

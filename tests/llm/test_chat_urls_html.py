@@ -263,3 +263,20 @@ def test_hot_join(spark, hot):
     table = spark.createDataFrame([(1, 180, "a", 0), (2, 60, None, 5), (3, 7, "c", 1)], "k long, n long, x string, y long")
     got = sorted(map(tuple, hot_join(rows, table, "k", "n", 400, hot).collect()), key=str)
     assert got == sorted([(k, i, *{1: ("a", 0), 2: (None, 5)}.get(k, (None, None))) for i in range(60) for k in (1, 1, 1, 2, None, 9)], key=str)
+
+
+def test_the_tree_alone_decides_on_hosts_of_many_pages(spark):
+    """Names say the opposite of what the pages do: the "article" repeats, the "sidebar" is what each page says."""
+
+    def page(i):
+        body = " ".join(f"word{i}x{j}" for j in range(40))
+        return f"<html><body><div class='x1'>Home Products About</div><article>Buy our goods today</article><div class='sidebar'><p>{body}</p><p>second {body}</p></div></body></html>"
+
+    def texts(n, **options):
+        pages = spark.createDataFrame([(i, f"http://many.example/{i}", page(i)) for i in range(n)], "page_id long, url string, html string")
+        return {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages, **options).collect()}
+
+    want = {i: "\n".join(p for p in (" ".join(f"word{i}x{j}" for j in range(40)), "second " + " ".join(f"word{i}x{j}" for j in range(40)))) for i in range(20)}
+    assert texts(20) == want
+    assert texts(20, tree_pages=21) != want
+    assert texts(4) == texts(4, tree_pages=5) != {i: want[i] for i in range(4)}
