@@ -32,13 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new place for a table in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/corpuscle/{uuid.uuid4().hex}"
+
+
+def append(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Add ``df`` to the Parquet table at ``path`` (in folders by column ``by``)."""
+    df.write.mode("append").parquet(path, partitionBy=by)
+
+
 def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder (in folders by column ``by``) and read it back.
 
     Cuts the lineage durably: a lost executor costs a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corpuscle/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,9 @@ second token is one of the frequent ones, which every worker knows, and else in
 the slice of that token, beside the token's own entry. So whatever a position
 of a text asks for lies in one slice: a filter too large for one broadcast is
 used slice group by slice group, and each probe is dealt to its group once.
+
+No pair occurs more often than either of its tokens, so its level is cut down to
+theirs; a false hit then never gives a probability over one.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, map_arrow, materialize
+from .common import append, arrow_chunks, fresh_path, map_arrow, materialize
 
 #: Bytes of text that are worked on at once in a task.
 CHUNK_CHARS = 500_000
@@ -243,7 +246,7 @@ class Smoothing:
 
     def __post_init__(self) -> None:
         self.floor = self.n + 0.1 * (self.v + 1)
-        chance = (_COUNT + 0.1) / self.floor
+        chance = np.minimum((_COUNT + 0.1) / self.floor, 1.0)  # a level may stand for more than its n-gram has
         #: log10 of the numerator by level of the pair and of its second token, and of the denominator by level of the first.
         self.above = np.log10(_COUNT[:, None] + self.strength * chance[None, :])
         self.below = np.log10(_COUNT + self.strength)
@@ -282,7 +285,10 @@ def score_documents(
     ``hot_tokens``, the filter of pairs and other tokens by ``pass_bytes``. If it
     fits, texts are scored in one scan. If not, one scan turns the texts into
     probes, each dealt to the slice group it asks; a pass then reads its own
-    probes only, so time and disk don't grow with the number of passes.
+    probes only. Pairs that are found and begin with a token that isn't frequent
+    are dealt once more, to where that token's level lies. All passes append to
+    one table, which is summed by document once: neither the bytes read nor the
+    last plan grow with the number of passes.
 
     A null text is empty and has one token, the end; a null id counts as the empty
     string; repeated rows get equal scores; with no training documents all
@@ -314,16 +320,11 @@ def score_documents(
         scored = materialize(_scored_at_once(scored, given, hot, model))
     else:
         given = spark.sparkContext.broadcast((uuid.uuid4().hex, everywhere, None, None, bits))
-        dealt = _dealt(_with_probes(scored, given, hot, model, [g[1] for g in groups], bits), len(groups), int(n))
-        parts = []
-        for number, (least, most) in enumerate(groups):
-            within = F.col("s").between(least, most)
-            given = spark.sparkContext.broadcast((uuid.uuid4().hex, None, _packed_filters(rare.where(within)), _packed_filters(pairs.where(within)), bits))
-            parts.append(materialize(_answered(dealt.where(F.col("pass") == number), given, model)))
-            given.unpersist()
-        scored = dealt.where(F.col("pass") == -1).select("doc_id", "held_out", "row", *_MADE)
-        for part in parts:
-            scored = scored.join(part.withColumnRenamed("part", "__part"), "row", "left").withColumn("score", F.col("score") + F.coalesce("__part", F.lit(0.0))).drop("__part")
+        ends = [last for _, last in groups]
+        dealt = _dealt(_with_probes(scored, given, hot, model, ends, bits), len(groups), int(n))
+        parts = _answered_by_passes(dealt, groups, rare, pairs, bits, model)
+        known = dealt.where(F.col("pass") == -1).select("doc_id", "held_out", "row", *_MADE)
+        scored = known.join(parts, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0))).drop("part")
     return _with_base(scored, tokens.where(~frequent), model).select(
         F.col("doc_id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
@@ -383,12 +384,12 @@ class _Chunk:
         }
         return _Chunk(tokens, starts, pairs_of(tokens, starts), known, level), made
 
-    def contexts(self, level: np.ndarray, model: Smoothing, end: int) -> np.ndarray:
-        """log10 of each position's denominator, from the levels of all tokens; texts start after ``end``."""
-        before = np.empty(len(level), np.int64)
-        before[1:] = level[:-1]
-        before[self.starts[:-1]] = end
-        return model.below[before]
+    def before(self, values: np.ndarray, end) -> np.ndarray:
+        """Of each position, the value of the token before it; texts start after ``end``."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts[:-1]] = end
+        return out
 
 
 def _end_level(words: Filters) -> int:
@@ -408,7 +409,8 @@ def _scored_at_once(docs: DataFrame, given, hot, model: Smoothing) -> DataFrame:
             level, rare = chunk.level.astype(np.int64), ~chunk.known
             level[rare] = held["tokens"].level(chunk.tokens[rare])
             pair = held["pairs"].level(chunk.pairs, np.where(rare, chunk.tokens, chunk.pairs))
-            p = model.above[pair, level] - chunk.contexts(level, model, end)
+            before = chunk.before(level, end)
+            p = model.above[np.minimum(pair, np.minimum(level, before)), level] - model.below[before]
             base["score"] = pa.array(np.add.reduceat(p, chunk.starts[:-1]))
             for c, x in base.items():
                 made[c].append(x)
@@ -423,16 +425,26 @@ def _schema(docs: DataFrame) -> str:
     return ", ".join(keep + [f"{c} {t}" for c, t in _MADE.items()])
 
 
+def _groups_of(hashes: np.ndarray, ends: list[int], bits: int) -> np.ndarray:
+    """The slice group, of those that end at ``ends``, that each hash belongs to."""
+    return np.minimum(np.searchsorted(np.array(ends), _slices_of(hashes, bits)), len(ends) - 1)
+
+
+def _one_list(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+
+
 def _with_probes(docs: DataFrame, given, hot, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
     """Rows of pass -1 are documents, with what is known without pairs; others hold a chunk's probes of one pass.
 
-    A probe is a pair's hash (``h``), its second token (``w``, or 0 if frequent)
-    and that token's level (``q``), for the text that is number ``t`` of ``ids``.
+    A probe is a pair's hash (``h``), its second token (``w``, or 0 if frequent) and
+    that token's level (``q``, -1 if not known yet), its first token and that one's
+    level likewise (``v``, ``u``), for the text that is number ``t`` of ``ids``.
     """
     names = docs.columns
     made_schema = _schema(docs)
-    lists = {"ids": pa.list_(pa.int64()), "t": pa.list_(pa.int32()), "h": pa.list_(pa.int64()), "w": pa.list_(pa.int64()), "q": pa.list_(pa.int8())}
-    last = np.array(ends)
+    lists = {"ids": pa.int64(), "t": pa.int32(), "h": pa.int64(), "w": pa.int64(), "q": pa.int8(), "v": pa.int64(), "u": pa.int8()}
+    lists = {c: pa.list_(t) for c, t in lists.items()}
 
     def run(batch):
         held = _unpacked(given)
@@ -441,16 +453,16 @@ def _with_probes(docs: DataFrame, given, hot, model: Smoothing, ends: list[int],
         for a, b, texts in arrow_chunks(batch.column(names.index("text")), CHUNK_CHARS):
             chunk, base = _Chunk.of(texts, hot.value, held["words"], model)
             # A rare token's own count is asked by its probe, for it as the second of a pair and as the first of the next.
-            share = np.zeros(len(chunk.tokens))
-            after_known = np.concatenate(([True], chunk.known[:-1]))
-            after_known[chunk.starts[:-1]] = True
-            share[after_known] = -chunk.contexts(chunk.level, model, end)[after_known]
+            after_known = chunk.before(chunk.known, True)
+            before = chunk.before(chunk.level.astype(np.int64), end)
+            first = np.where(after_known, np.uint64(0), chunk.before(chunk.tokens, np.uint64(0)))
+            share = np.where(after_known, -model.below[before], 0.0)
             base["score"] = pa.array(np.add.reduceat(share, chunk.starts[:-1]))
             size = b - a
             docs_part = [c.slice(a, size) for c in keep] + list(base.values())
             nothing = [pa.nulls(size, t) for t in lists.values()]
             yield pa.RecordBatch.from_arrays([*docs_part, pa.array(np.full(size, -1, np.int32)), *nothing], names=fields)
-            goes = np.minimum(np.searchsorted(last, _slices_of(np.where(chunk.known, chunk.pairs, chunk.tokens), bits)), len(last) - 1)
+            goes = _groups_of(np.where(chunk.known, chunk.pairs, chunk.tokens), ends, bits)
             text_of = np.repeat(np.arange(size, dtype=np.int32), np.diff(chunk.starts))
             order = np.argsort(goes, kind="stable")
             cuts = np.flatnonzero(np.diff(goes[order])) + 1
@@ -458,13 +470,15 @@ def _with_probes(docs: DataFrame, given, hot, model: Smoothing, ends: list[int],
             for part in np.split(order, cuts):
                 rare = ~chunk.known[part]
                 t, used = np.unique(text_of[part], return_inverse=True)
-                values = [ids[t], used.astype(np.int32), chunk.pairs[part].view(np.int64), np.where(rare, chunk.tokens[part], 0).view(np.int64), np.where(rare, -1, chunk.level[part]).astype(np.int8)]
-                packed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in values]
+                second, level = np.where(rare, chunk.tokens[part], np.uint64(0)), np.where(rare, -1, chunk.level[part])
+                values = [ids[t], used.astype(np.int32), chunk.pairs[part].view(np.int64), second.view(np.int64), level.astype(np.int8)]
+                values += [first[part].view(np.int64), np.where(after_known[part], before[part], -1).astype(np.int8)]
+                packed = [_one_list(x) for x in values]
                 empty = [pa.nulls(1, c.type) for c in docs_part]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array([goes[part[0]]], pa.int32()), *packed], names=fields)
 
     fields = ["doc_id", "held_out", "row", *_MADE, "pass", *lists]
-    schema = made_schema + ", pass int, ids array<long>, t array<int>, h array<long>, w array<long>, q array<byte>"
+    schema = made_schema + ", pass int, ids array<long>, t array<int>, h array<long>, w array<long>, q array<byte>, v array<long>, u array<byte>"
     return map_arrow(docs, lambda batch: run(batch) if batch.num_rows else (), schema)
 
 
@@ -476,23 +490,76 @@ def _dealt(probes: DataFrame, passes: int, tokens: int) -> DataFrame:
     return materialize(probes.repartition(count, "pass", salt), by="pass")
 
 
-def _answered(probes: DataFrame, given, model: Smoothing) -> DataFrame:
-    """(row, part): what the probes of one pass add to each text's score."""
-    chosen = probes.select("ids", "t", "h", "w", "q")
+def _answered_by_passes(dealt: DataFrame, groups: list[tuple[int, int]], rare: DataFrame, pairs: DataFrame, bits: int, model: Smoothing) -> DataFrame:
+    """(row, part): what all probes add to each text's score, by two rounds over the slice groups."""
+    spark = dealt.sparkSession
+    ends = [last for _, last in groups]
+    first, second = fresh_path(spark), fresh_path(spark)
+    for number, (least, most) in enumerate(groups):
+        within = F.col("s").between(least, most)
+        given = spark.sparkContext.broadcast((uuid.uuid4().hex, None, _packed_filters(rare.where(within)), _packed_filters(pairs.where(within)), bits))
+        append(_answered(dealt.where(F.col("pass") == number), given, model, ends, bits), first, by="pass")
+        given.unpersist()
+    answers = spark.read.schema(_ANSWER).parquet(first)
+    for number, (least, most) in enumerate(groups):
+        asked = answers.where(F.col("pass") == number)
+        given = spark.sparkContext.broadcast((uuid.uuid4().hex, None, _packed_filters(rare.where(F.col("s").between(least, most))), None, bits))
+        append(_settled(asked, given, model), second)
+        given.unpersist()
+    sums = answers.where(F.col("pass") == -1).select("row", "part").union(spark.read.schema("row long, part double").parquet(second))
+    return sums.groupBy("row").agg(F.sum("part").alias("part"))
+
+
+#: Rows of pass -1 are parts of scores; others hold pairs (level ``p``) whose first token ``v`` another group knows.
+_ANSWER = "row long, part double, ids array<long>, t array<int>, v array<long>, p array<byte>, q array<byte>, pass int"
+
+
+def _answered(probes: DataFrame, given, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
+    """_ANSWER of the probes of one pass."""
+    chosen = probes.select("ids", "t", "h", "w", "q", "v", "u")
+    lists = {"ids": pa.int64(), "t": pa.int32(), "v": pa.int64(), "p": pa.int8(), "q": pa.int8()}
+    fields = ["row", "part", *lists, "pass"]
 
     def run(batch):
         held = _unpacked(given)
         for k in range(batch.num_rows):
-            ids, t, h, w, q = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(5))
-            h, w, rare = h.view(np.uint64), w.view(np.uint64), q < 0
+            ids, t, h, w, q, v, u = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(7))
+            h, w, v, rare = h.view(np.uint64), w.view(np.uint64), v.view(np.uint64), q < 0
             level = q.astype(np.int64)
             level[rare] = held["tokens"].level(w[rare])
-            pair = held["pairs"].level(h, np.where(rare, w, h))
-            share = model.above[pair, level]
+            pair = np.minimum(held["pairs"].level(h, np.where(rare, w, h)), level)
+            open_ = (u < 0) & (pair > 0)
+            pair = np.where(u < 0, pair, np.minimum(pair, u))
+            share = np.where(open_, 0.0, model.above[pair, level])
             share[rare] -= model.below[level[rare]]
+            nothing = [pa.nulls(len(ids), pa.list_(x)) for x in lists.values()]
+            part = pa.array(np.bincount(t, share, len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), part, *nothing, pa.array(np.full(len(ids), -1, np.int32))], names=fields)
+            asks = np.flatnonzero(open_)
+            goes = _groups_of(v[asks], ends, bits)
+            for group in np.unique(goes):
+                some = asks[goes == group]
+                texts, used = np.unique(t[some], return_inverse=True)
+                values = [ids[texts], used.astype(np.int32), v[some].view(np.int64), pair[some].astype(np.int8), level[some].astype(np.int8)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), *[_one_list(x) for x in values], pa.array([group], pa.int32())], names=fields
+                )
+
+    return map_arrow(chosen, run, _ANSWER)
+
+
+def _settled(asked: DataFrame, given, model: Smoothing) -> DataFrame:
+    """(row, part): what pairs add whose first token's level is read here."""
+
+    def run(batch):
+        held = _unpacked(given)
+        for k in range(batch.num_rows):
+            ids, t, v, p, q = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(5))
+            pair = np.minimum(p, held["tokens"].level(v.view(np.uint64)))
+            share = model.above[pair.astype(np.int64), q.astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(t, share, len(ids)))], names=["row", "part"])
 
-    return map_arrow(chosen, run, "row long, part double").groupBy("row").agg(F.sum("part").alias("part"))
+    return map_arrow(asked.select("ids", "t", "v", "p", "q"), run, "row long, part double")
 
 
 def _with_base(scored: DataFrame, rare: DataFrame, model: Smoothing) -> DataFrame:

@@ -219,6 +219,16 @@ def test_lm_score_is_the_exact_model(spark, pass_bytes, hot):
     assert sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in got) == want
 
 
+def test_lm_score_has_no_probability_over_one(spark):
+    """With a filter of many false hits, in one pass and in several, scores are equal, and no text is likelier than certain."""
+    rows = [(i, prose(i, 20) + f" rare{i}") for i in range(60)] + [(1000 + i, f"new{i} old{i * 7} new{i + 1}") for i in range(200)]
+    once, many = (
+        {r["doc_id"]: r["score"] for r in lm_score.score_documents(table(spark, rows), pass_bytes=size, hot_tokens=20, per_entry=2).collect()} for size in (1 << 27, 2000)
+    )
+    assert len(once) == len(rows) and max(once.values()) <= 0
+    assert all(math.isclose(once[d], many[d], abs_tol=1e-6) for d in once)
+
+
 def slow_private(text):
     t = text or ""
     spans = []
