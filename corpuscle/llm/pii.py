@@ -53,6 +53,8 @@ LABELERS = ("by_pattern", "by_gazetteer", "by_context", "by_shape")
 TRAITS = {"length_class": 6, "digit_class": 5, "set_off": 2, "after_mark": 2}
 _MARK, _OTHER = "", ""
 _CONTEXT = 40
+#: Pieces of a text that are folded at once; even, so that each run starts outside a match.
+_RUN = 128
 
 
 def _luhn(digits: Column) -> Column:
@@ -98,7 +100,8 @@ def _spans(text: Column, kind: str, pattern: str, candidate) -> Column:
     """The matches of ``pattern`` that are base spans or ``candidate``, with positions in code points.
 
     Every match is set off by a mark that the text doesn't hold, the text is split
-    at the marks, and the pieces' lengths give the positions.
+    at the marks, and the pieces' lengths give the positions. Pieces are folded in
+    runs of ``_RUN``: no growing array is copied once per match.
     """
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
     none = F.array().cast(f"array<{_SPAN}>")
@@ -117,10 +120,23 @@ def _spans(text: Column, kind: str, pattern: str, candidate) -> Column:
             F.when(use, F.concat(a["spans"], F.array(span.cast(_SPAN)))).otherwise(a["spans"]).alias("spans"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), none.alias("spans"))
-    return F.get(
-        F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 1, none).otherwise(F.aggregate(p, start, step, lambda a: a["spans"]))), F.lit(0)
-    )
+    def run(p: Column, k: Column) -> Column:
+        return F.slice(p, k * _RUN + 1, F.lit(_RUN))
+
+    def folded(p: Column, k: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), none.alias("spans"))
+        return F.aggregate(run(p, k), start, step, lambda a: a["spans"])
+
+    def found(p: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _RUN).cast("int"))
+        sizes = F.transform(runs, lambda k: F.aggregate(run(p, k), F.lit(0), lambda n, piece: n + F.length(piece)))
+        began = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(
+            sizes, began, lambda a, n: F.struct((a["total"] + n).alias("total"), F.array_append(a["starts"], a["total"]).alias("starts")), lambda a: a["starts"]
+        )
+        return F.flatten(F.zip_with(runs, starts, lambda k, at: folded(p, k, at)))
+
+    return F.get(F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 1, none).otherwise(found(p))), F.lit(0))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -209,7 +225,7 @@ def _features() -> list[tuple[str, Column]]:
     return out + [(f"f_{t}_{v}", (F.col(t) == v).cast("double")) for t, n in TRAITS.items() for v in range(1, n)]
 
 
-def train_classifier(spark: SparkSession, patterns: list, model: VoteModel) -> Column:
+def train_classifier(spark: SparkSession, patterns: list, models: dict[int, VoteModel]) -> Column:
     """Probability that a span is private: logistic regression on votes, kind, span and context, taught by the posteriors.
 
     ``patterns`` are the distinct (kind, votes, traits) and their rows. The table has two
@@ -220,11 +236,11 @@ def train_classifier(spark: SparkSession, patterns: list, model: VoteModel) -> C
     rows = [
         (*(int(v) for v in p), label, n * (q if label else 1 - q))
         for p, n in patterns
-        for q in (model.posterior(tuple(p[1 : 1 + voters])),)
+        for q in (models[p[0]].posterior(tuple(p[1 : 1 + voters])),)
         for label in (0.0, 1.0)
     ]
     if not rows or len({r[-2] for r in rows if r[-1] > 1e-3}) < 2:
-        return model.posterior_column()
+        return reduce(lambda a, k: F.when(F.col("kind") == k, models[k].posterior_column()).otherwise(a), models, F.lit(0.0))
     names = ["kind", *LABELERS, *TRAITS, "label", "weight"]
     schema = ", ".join(f"{n} int" for n in names[:-2]) + ", label double, weight double"
     table = spark.createDataFrame(rows, schema).coalesce(1).select(*names, *[c.alias(n) for n, c in _features()])
@@ -256,7 +272,8 @@ def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     a phone without country code) is added if the classifier gives it ``threshold`` or
     more and it doesn't touch a base span; of added spans that overlap the first stays,
     of those with one start the first kind. Labelers vote over all candidates of all documents; EM turns their
-    agreement into reliabilities, and those teach the classifier. Null and empty
+    agreement into reliabilities, for each kind its own (started from those of all
+    kinds, which hold where a kind has few candidates); those teach the classifier. Null and empty
     texts have no spans; repeated rows get equal spans; an empty table gives no
     rows; other columns are left out.
     """
@@ -269,8 +286,16 @@ def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     for p, n in patterns:
         cast = p[1 : 1 + len(LABELERS)]
         by_votes[cast] = by_votes.get(cast, 0) + n
-    model = fit_votes(sorted(by_votes.items()), list(LABELERS))
-    chance = train_classifier(spark, patterns, model)
+    pooled = fit_votes(sorted(by_votes.items()), list(LABELERS))
+    models = {}
+    for kind in sorted({p[0] for p, _ in patterns}):
+        own: dict[tuple, int] = {}
+        for p, n in patterns:
+            if p[0] == kind:
+                cast = p[1 : 1 + len(LABELERS)]
+                own[cast] = own.get(cast, 0) + n
+        models[kind] = fit_votes(sorted(own.items()), list(LABELERS), prior=pooled)
+    chance = train_classifier(spark, patterns, models)
     span = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"))
     more = votes.where(~F.col("span.base") & (chance >= threshold)).groupBy("row").agg(F.collect_set(span).alias("more"))
     trim = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))

@@ -53,17 +53,20 @@ def vote_patterns(votes: DataFrame, names: list[str]) -> list[tuple[tuple[int, .
     return sorted((tuple(int(r[n]) for n in names), int(r["__n"])) for r in found)
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100, smooth: float = 1.0) -> VoteModel:
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100, smooth: float = 1.0, prior: VoteModel | None = None, prior_rows: float = 20.0) -> VoteModel:
     """EM from a start in which any vote for bad makes a pattern probably bad.
 
     Every probability is smoothed by ``smooth`` pseudo-rows, so no vote is ever
-    certain and an empty table gives a model that knows nothing.
+    certain and an empty table gives a model that knows nothing. With a ``prior``
+    model, EM starts from it, and it counts as ``prior_rows`` rows of each class.
     """
-    good = {p: (0.1 if min(p, default=0) < 0 else 0.95) for p, _ in patterns}
+    good = {p: prior.posterior(p) if prior else (0.1 if min(p, default=0) < 0 else 0.95) for p, _ in patterns}
     model = VoteModel(names, 0.5, [{c: dict.fromkeys(VOTES, 1 / 3) for c in (0, 1)} for _ in names])
     for _ in range(rounds):
         weight = {1: smooth, 0: smooth}
         seen = [{c: {v: smooth * (2.0 if (v > 0) == (c == 1) and v else 1.0) for v in VOTES} for c in (0, 1)} for _ in names]
+        if prior:
+            seen = [{c: {v: prior_rows * x for v, x in own[c].items()} for c in (0, 1)} for own in prior.chance]
         for p, n in patterns:
             for c, share in ((1, good[p]), (0, 1 - good[p])):
                 weight[c] += n * share

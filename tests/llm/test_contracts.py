@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from corpuscle.llm import decontaminate, lm_score, pii, quality_rules, simhash
+from corpuscle.llm import decontaminate, lm_score, pii, quality_rules, simhash, weak
 
 from .samples import documents, prose, table
 
@@ -271,6 +271,25 @@ def test_private_base(spark):
     assert pii.private_report(pii.find_private(table(spark, []))).count() == 0
 
 
+def test_reliabilities_of_a_kind_lean_on_those_of_all():
+    """Without rows of its own a kind has the pooled reliabilities; with many, a voter that errs there loses its weight there."""
+    names = ["a", "b", "c"]
+    pooled = weak.fit_votes([((1, 1, 1), 400), ((-1, -1, -1), 400), ((1, 1, -1), 20), ((-1, -1, 1), 20)], names)
+    none = weak.fit_votes([], names, prior=pooled)
+    assert all(math.isclose(none.chance[j][c][v], pooled.chance[j][c][v], abs_tol=0.02) for j in range(3) for c in (0, 1) for v in weak.VOTES)
+    own = weak.fit_votes([((1, 1, v), 500) for v in (-1, 1)] + [((-1, -1, v), 500) for v in (-1, 1)], names, prior=pooled)
+    assert own.accuracy()["c"] < 0.6 < pooled.accuracy()["c"] and own.accuracy()["a"] > 0.9
+    assert own.posterior((1, 1, -1)) > 0.9 > 0.1 > own.posterior((-1, -1, 1))
+
+
+def test_private_many_spans(spark):
+    """Positions hold over more matches than are folded at once."""
+    text = " ".join(f"ü u{i}@x{i % 9}.org +1 555 123 {i:04}" for i in range(700))
+    (r,) = pii.private_report(pii.find_private(table(spark, [(1, text)]))).collect()
+    counts, base = slow_private(text)
+    assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == counts and r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
 def test_private_accounts_and_security_numbers(spark):
     """Valid numbers with a cue are found, unused and mistyped ones are left, and added spans don't overlap."""
     good = ["Pay to IBAN DE89 3704 0044 0532 0130 00 by friday.", "iban: GB82WEST12345698765432", "my SSN is 536-22-8467, thanks", "social security no 219-09-9999."] * 5
