@@ -102,7 +102,7 @@ def independent_counts(supporting: DataFrame, keys: list[str]) -> DataFrame:
         columns = list(zip(*done)) or [()] * (count + 1)
         return pa.RecordBatch.from_arrays([*map(pa.array, columns[:count], types), pa.array(columns[count], pa.int64())], names=[*keys, "independent"])
 
-    ordered = slim.repartition(*keys).sortWithinPartitions(*keys, "source_no", "base_domain")
+    ordered = slim.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "source_no", "base_domain")
     return ordered.mapInArrow(fold, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", independent long")
 
 

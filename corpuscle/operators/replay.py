@@ -60,7 +60,9 @@ def replay_updates(pages: DataFrame, updates: DataFrame) -> tuple[DataFrame, Dat
             made = [pa.array(accepted, pa.bool_()), pa.array(bases, pa.int64()), pa.array(results, pa.int64()), pa.array(states, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["page_id", "update_id", "accepted", "base_version", "result_version", "state"])
 
-    ordered = slim.repartition("page_id").sortWithinPartitions("page_id", "update_id")
+    # By a hash: a shuffle by the bare page_id would be merged with the join's, which may be read where it was written
+    # once the join turns out to be a broadcast. Then a page's updates would lie in several tasks.
+    ordered = slim.repartition(F.xxhash64("page_id")).sortWithinPartitions("page_id", "update_id")
     log = ordered.mapInArrow(fold, f"page_id {kinds['page_id']}, update_id {kinds['update_id']}, accepted boolean, base_version long, result_version long, state string")
     last = log.where("accepted").groupBy("page_id").agg(F.max(F.struct("result_version", "update_id", "state")).alias("last"))
     changed = ["content", "confidence", "p1", "p2", "p3"]

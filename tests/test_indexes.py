@@ -214,6 +214,24 @@ def test_replay_applies_updates_in_order(spark):
     assert sum(t for t, _ in want.values()) > 50
 
 
+def test_replay_keeps_a_page_in_one_task(spark, tmp_path):
+    """Updates of one page from several files, joined with pages so few that the plan is changed while it runs."""
+    at = str(tmp_path / "updates")
+    spark.range(0, 4000, 1, 8).selectExpr("id AS update_id", "id % 5 AS page_id", "CAST(NULL AS BIGINT) AS base_version", "'c' AS content", "0.9D AS confidence", "1L AS p1", "0L AS p2", "0L AS p3").write.parquet(at)
+    pages = spark.read.parquet(at).select("page_id").distinct().selectExpr("page_id", "'draft' AS state", "0L AS version", "'old' AS content", "0D AS confidence", "0L AS p1", "0L AS p2", "0L AS p3")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "2k", "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in changed}
+    try:
+        for c, value in changed.items():
+            spark.conf.set(c, value)
+        after, log = replay.replay_updates(pages, spark.read.parquet(at))
+        assert [r["version"] for r in after.collect()] == [800] * 5
+        assert log.groupBy("page_id").agg(F.count_distinct("result_version").alias("n")).where("n = 800").count() == 5
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
 def test_sources_that_share_an_author_or_domain_count_once(spark):
     from corpuscle.operators import claims
 
