@@ -191,6 +191,24 @@ def test_paths(spark):
             assert found[i]["meeting"] in nodes
 
 
+def test_pairs_share_the_search_of_an_end(spark, monkeypatch):
+    """200 pairs with one goal that 300 nodes lead to: no step writes a row for each pair and node."""
+    written = []
+    plain = graph_paths.durable
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph_paths, "durable", counted)
+    edges = [(f"in{i}", "goal", "to") for i in range(300)] + [(f"s{i}", "mid", "a") for i in range(200)] + [("mid", "far", "b"), ("far", "in7", "c")]
+    pairs = [(i, f"s{i}", "goal") for i in range(200)]
+    got = graph_paths.connections(spark.createDataFrame(edges, "src string, dst string, relation string"), spark.createDataFrame(pairs, "pair_id long, start string, goal string"))
+    assert {(r["pair_id"], tuple(r["nodes"])) for r in got.collect()} == {(i, (f"s{i}", "mid", "far", "in7", "goal")) for i in range(200)}
+    assert max(written) <= 300
+
+
 def test_replay_applies_updates_in_order(spark):
     rng = random.Random(6)
     pages = [(i, ["draft", "active", "stale", "contradicted", "archived"][i % 5], 1, "old", 0.0, 0, 0, 0) for i in range(10)]
