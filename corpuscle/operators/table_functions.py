@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from pyspark.sql import types as T
@@ -14,6 +14,7 @@ from ..functions.text import BLANKS, CHARS_PER_TOKEN
 from ..functions.stem import stem_sql
 from .chunking import OVERLAP, SIZE, STRATEGIES, _packed, checked_step, windows
 from .inverted_index import B, K1, InvertedIndex
+from .search import vector_topk
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SECTION = re.compile(r"(?m)(?=^#{1,6}\s+\S)")
@@ -68,6 +69,21 @@ class ChunkText:
             yield (*row, header) if strategy == "markdown" else row
 
 
+def search_asked(
+    spark: SparkSession, corpus: str, asked: DataFrame, match_threshold: float = 0.72, match_count: int = 5, filter_domain: str | None = None, filter_tier: str | None = None, filter_doc_type: str | None = None
+) -> DataFrame:
+    """What ``search_documents`` gives for each row of ``asked`` (query_id, embedding), with its query_id.
+
+    LATERAL compares pair by pair and ranks whole rows; this compares blocks of queries and vectors by matrix products
+    and ranks each batch's best. The attributes are joined for what is found only.
+    """
+    docs = spark.table(corpus).select("doc_id", "source_tier", "domain", "doc_type", "text", "embedding")
+    for column, value in (("domain", filter_domain), ("source_tier", filter_tier), ("doc_type", filter_doc_type)):
+        docs = docs if value is None else docs.where(F.col(column) == value)
+    near = vector_topk(docs, asked.select("query_id", "embedding"), match_count, match_threshold, "doc_id").withColumnRenamed("vec_id", "doc_id")
+    return near.join(docs.drop("embedding"), "doc_id").select("query_id", "doc_id", "source_tier", "domain", "doc_type", "text", "similarity")
+
+
 def register(spark: SparkSession, corpus: str = "corpus", index: InvertedIndex | None = None) -> None:
     """Enters ``chunk_text``, ``search_documents`` and, over a stored word index, ``keyword_search``.
 
@@ -75,7 +91,7 @@ def register(spark: SparkSession, corpus: str = "corpus", index: InvertedIndex |
     compared one by one. ``search_documents(query_vector, match_threshold, match_count, filter_domain, filter_tier, filter_doc_type)`` gives doc_id, source_tier,
     domain, doc_type, text, similarity; ``keyword_search(search_query, match_count, filter_tier)`` gives doc_id,
     source_tier and score. Null filters let all pass; ties go to the smaller id. The search functions may be called with constants or, by LATERAL, with
-    the columns of a stated query table. ``keyword_search`` scores by BM25 over stems, like ``search_index``, and reads
+    the columns of a small query table; ``search_asked`` and ``keyword_asked`` give the same for a table of any size. ``keyword_search`` scores by BM25 over stems, like ``search_index``, and reads
     the folders of the asked words; its index must keep source_tier.
     """
     spark.udtf.register("chunk_text", F.udtf(ChunkText))

@@ -158,6 +158,35 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT doc_id FROM search_documents(array(CAST(1 AS FLOAT), CAST(0 AS FLOAT)), 0.5D, 9, filter_tier => 'P2') ORDER BY 1").collect() == [(2,), (4,)]
 
 
+def test_queries_of_a_table_are_searched_in_blocks(spark, monkeypatch):
+    """A table of queries gives what LATERAL gives row by row, without a join of all pairs."""
+    rng = random.Random(4)
+    rows = [(i, f"P{i % 3}", "x", "paper", "t", [rng.choice([0.0, 1.0, -1.0]) for _ in range(4)]) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, source_tier string, domain string, doc_type string, text string, embedding array<float>").createOrReplaceTempView("corpus_b")
+    table_functions.register(spark, "corpus_b")
+    asked = spark.table("corpus_b").where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    asked.createOrReplaceTempView("asked_b")
+    monkeypatch.setattr(search, "QUERY_BLOCK", 20)
+    got = table_functions.search_asked(spark, "corpus_b", asked, 0.2, 3, filter_tier="P1")
+    want = spark.sql("SELECT query_id, s.* FROM asked_b, LATERAL search_documents(embedding, 0.2D, 3, NULL, 'P1', NULL) s")
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    rounded = [sorted((*r[:6], round(r[6], 9)) for r in x.collect()) for x in (got, want)]
+    assert rounded[0] == rounded[1] and len(rounded[0]) > 20
+
+
+def test_similarity_hands_on_pairs_only_that_are_alike(spark, monkeypatch):
+    """No step holds a row for each common gram of a query and a text; blocks of queries give the same."""
+    docs = [(i, f"http www example com item{i % 17} page{i % 5}") for i in range(100)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = table.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    index = trigrams.build_trigram_index(table, padded=True)
+    want = {(q, d) for (q, a), (d, b) in itertools.product(docs[::20], docs) if 10 * len(slow_grams(a) & slow_grams(b)) >= 9 * len(slow_grams(a) | slow_grams(b))}
+    for block in (trigrams.BLOCK, 40):
+        monkeypatch.setattr(trigrams, "BLOCK", block)
+        got = trigrams.search_similar(index, asked, 0.9)
+        assert sorted((r[0], r[1]) for r in got.collect()) == sorted(want)
+
+
 def slow_path(edges, a, b, depth):
     def distances(step, seed):
         seen, frontier = {seed: 0}, [seed]
