@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import tempfile
 
+import pandas as pd
 
 from corpuscle.streaming import stores, windows
 
@@ -64,6 +65,51 @@ def test_cache_hits_and_expiry_equal_table_also_after_restart(spark):
     assert progress
 
 
+def test_entities_are_summed_outside_python(spark):
+    stream = stores.entity_updates(spark.readStream.schema(MENTION).parquet(folder()))
+    assert "Python" not in stream._jdf.queryExecution().analyzed().toString() and "InPandas" not in stream._jdf.queryExecution().analyzed().toString()
+
+
+def test_cache_takes_a_batch_with_one_timer():
+    """However many puts a batch has, the last alone gets a timer; pieces of a batch may come in any order."""
+    timers, kept = [], []
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(kept)
+
+        def get(self):
+            return kept[-1]
+
+        def update(self, value):
+            kept.append(value)
+
+        def registerTimer(self, ms):
+            timers.append(ms)
+
+    cache = stores.AnswerCache(60)
+    cache.init(Handle())
+    rows = pd.DataFrame([(i, "put" if i % 3 == 0 else "get", pd.Timestamp(at(0)) + pd.Timedelta(seconds=i), f"a{i}" if i % 3 == 0 else None) for i in range(3000)], columns=["event_id", "kind", "at", "answer"])
+    out = pd.concat(cache.handleInputRows(("k",), iter([rows[1500:], rows[:1500]]), None))
+    assert len(out) == 2000 and out["hit"].all() and len(timers) == 1
+    assert all(a == f"a{e - e % 3}" and h == e % 3 for e, a, h in zip(out["event_id"], out["answer"], out["hits"]))
+    more = pd.DataFrame([(4000, "get", pd.Timestamp(at(0)) + pd.Timedelta(seconds=3001), None), (4001, "get", pd.Timestamp(at(9000)), None)], columns=["event_id", "kind", "at", "answer"])
+    out = pd.concat(cache.handleInputRows(("k",), iter([more]), None))
+    assert [tuple(r) for r in out[["event_id", "hit", "answer", "hits"]].astype(object).itertuples(index=False)] == [(4000, True, "a2997", 3), (4001, False, None, 0)]
+
+
+def test_batches_have_several_files(spark):
+    from corpuscle.plans import stream_queries
+
+    base = folder()
+    stream_queries._streamed(spark, spark.range(1000), 2, base)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{base}/in").selectExpr("input_file_name() AS f").distinct().count() == 2 * tasks > 2
+
+
 SEEN = "user_id long, ts timestamp, value double"
 
 
