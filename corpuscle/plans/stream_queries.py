@@ -17,10 +17,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, files: int, base: str) -> DataFrame:
-    """``rows`` written to so many files, as a stream that takes one file a batch."""
-    rows.repartition(files).write.parquet(f"{base}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+def _streamed(spark: SparkSession, rows: DataFrame, batches: int, base: str) -> DataFrame:
+    """``rows`` written to files that a stream takes in so many batches; a batch has several files, so that no task reads it alone."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(batches * tasks).write.parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", tasks).parquet(f"{base}/in")
 
 
 @query(
@@ -69,7 +70,8 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that the watermark has closed when the stream has taken all events."""
     base = _folder(spark)
     rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    stores.run_available(windows.session_totals(_streamed(spark, rows, 1, base), "6 hours", "1 hour"), f"{base}/out", f"{base}/state")
+    with stores.keyed_state(spark):  # open sessions lie on disk
+        stores.run_available(windows.session_totals(_streamed(spark, rows, 1, base), "6 hours", "1 hour"), f"{base}/out", f"{base}/state")
     found = spark.read.parquet(f"{base}/out")
     return found.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "events", F.round("total", 3).alias("total"))
 
