@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import BLANKS, CHARS_PER_TOKEN
 from ..functions.stem import stem_sql
 from .chunking import OVERLAP, SIZE, STRATEGIES, _packed, checked_step, windows
-from .inverted_index import B, K1, InvertedIndex
+from .inverted_index import B, K1, InvertedIndex, search_index
 from .search import vector_topk
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -84,6 +84,17 @@ def search_asked(
     return near.join(docs.drop("embedding"), "doc_id").select("query_id", "doc_id", "source_tier", "domain", "doc_type", "text", "similarity")
 
 
+def keyword_asked(index: InvertedIndex, asked: DataFrame, match_count: int = 5, filter_tier: str | None = None) -> DataFrame:
+    """What ``keyword_search`` gives for each row of ``asked`` (query_id, query), with its query_id.
+
+    LATERAL carries the query's text through every sum and ranks all documents of a query in one task; here sums stay
+    in the document's bucket, and each bucket hands on its best.
+    """
+    found = search_index(index, asked.select("query_id", "query"), match_count, where=None if filter_tier is None else F.col("source_tier") == filter_tier)
+    tiers = index.table("members").select("doc_id", "source_tier")
+    return found.join(tiers, "doc_id").select("query_id", "doc_id", "source_tier", F.col("keyword_score").alias("score"))
+
+
 def register(spark: SparkSession, corpus: str = "corpus", index: InvertedIndex | None = None) -> None:
     """Enters ``chunk_text``, ``search_documents`` and, over a stored word index, ``keyword_search``.
 

@@ -158,6 +158,31 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT doc_id FROM search_documents(array(CAST(1 AS FLOAT), CAST(0 AS FLOAT)), 0.5D, 9, filter_tier => 'P2') ORDER BY 1").collect() == [(2,), (4,)]
 
 
+def test_short_patterns_equal_few_or_many(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "Ab ab"), (2, "b"), (3, None), (4, "xaB")], "doc_id long, text string")
+    index = trigrams.build_trigram_index(table)
+    asked = spark.createDataFrame([(1, "AB"), (2, "b"), (3, None), (4, "zz")], "query_id long, pattern string")
+    want = [(1, 1), (1, 4), (2, 1), (2, 2), (2, 4)]
+    for few in (trigrams.FEW, 0):
+        monkeypatch.setattr(trigrams, "FEW", few)
+        assert sorted(map(tuple, trigrams.search_substrings(index, table, asked).collect())) == want
+
+
+def test_buckets_grow_with_the_text(spark, library, monkeypatch):
+    docs, queries, _ = library
+    table = spark.createDataFrame([(d, t, "P1" if d % 2 else "P2") for d, t in docs], "doc_id long, text string, source_tier string")
+    assert inverted_index.buckets_for(table) == inverted_index.DOC_BUCKETS
+    monkeypatch.setattr(inverted_index, "BUCKET_CHARS", 400)
+    wanted = inverted_index.buckets_for(table)
+    assert wanted == -(-sum(len(t or "") for _, t in docs) // 400) > inverted_index.DOC_BUCKETS
+    index = inverted_index.create_index(spark, f"t{uuid.uuid4().hex}", table, ["source_tier"], buckets=wanted)
+    inverted_index.add_documents(index, table, 0)
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    got = table_functions.keyword_asked(index, asked, 4).select("query_id", "doc_id", "score")
+    want = inverted_index.search_index(index, asked, 4).select("query_id", "doc_id", "keyword_score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_queries_of_a_table_are_searched_in_blocks(spark, monkeypatch):
     """A table of queries gives what LATERAL gives row by row, without a join of all pairs."""
     rng = random.Random(4)
