@@ -100,3 +100,17 @@ def test_small_expressions(spark):
     assert tuple(row) == ("a hyphenated\nword\n\nend-\n.", "P2", "UNV", "&lt;a b=&quot;c&quot;&gt;&apos;&amp;", "1 minute ago", "2 days ago")
     bodies = spark.createDataFrame([("a", "{}"), ("b", "broken"), ("c", None), ("d", '{"message":{"assertion":[{"name":"retracted"}]}}')], "doi string, body string")
     assert {r["doi"]: (r["is_retracted"], r["notice"]) for r in connectors.retractions(bodies).collect()} == {"a": (False, ""), "b": (False, ""), "c": (False, ""), "d": (True, "")}
+
+
+def test_words_of_a_source_are_split_once(spark):
+    """The words of texts are split below the join with claims; long texts have none to compare."""
+    from corpuscle.operators import claims
+
+    start = " ".join("abcdefghijklmnopqrstuvwxy")
+    rows = [(1, "P2", " ".join(reversed(start.split()))), (1, "P2", " ".join(f"w{i}" for i in range(200))), (1, "P1", None)]
+    sources = spark.createDataFrame(rows, "q long, tier string, snippet string")
+    made = spark.createDataFrame([(1, 1, start)], "q long, claim_no long, claim string")
+    found = claims.count_support(made, sources, "q")
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 1, "SPECULATIVE", 0.4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not any("split(" in line for line in plan.splitlines() if "Aggregate" in line)
