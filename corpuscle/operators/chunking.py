@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import BLANKS, CHARS_PER_TOKEN, estimate_tokens, sentences, strip
 
 SIZE, OVERLAP = 512, 0.2
+#: Texts that a task holds as Python strings at once.
+TEXTS = 64
 
 
 def checked_step(size: int, overlap: float) -> int:
@@ -49,14 +51,16 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: float = OVERLAP, doc_id: s
     # One pass over each text: a window costs its own length, wherever it stands.
     def run(batches):
         for batch in batches:
-            found = [list(windows(t, size, overlap)) if t else [] for t in batch.column(1).to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = [c for f in found for c in f]
-            columns = [pa.array([i for f in found for i in range(len(f))], pa.int64()), pa.array([len(found[i]) for i in at.tolist()], pa.int64())]
-            columns += [pa.array([c[j] for c in flat], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), *columns], names=["doc_id", "chunk_index", "total_chunks", "start_char", "end_char", "chunk"]
-            )
+            for first in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(first, TEXTS)
+                found = [list(windows(t, size, overlap)) if t else [] for t in part.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                flat = [c for f in found for c in f]
+                columns = [pa.array([i for f in found for i in range(len(f))], pa.int64()), pa.array([len(found[i]) for i in at.tolist()], pa.int64())]
+                columns += [pa.array([c[j] for c in flat], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(at)), *columns], names=["doc_id", "chunk_index", "total_chunks", "start_char", "end_char", "chunk"]
+                )
 
     flat = made.mapInArrow(run, f"doc_id {id_field}, chunk_index long, total_chunks long, start_char long, end_char long, chunk string")
     return flat.withColumn("token_count", estimate_tokens(F.col("chunk")))
@@ -67,21 +71,24 @@ def semantic(docs: DataFrame, size: int = SIZE, overlap: float = OVERLAP, doc_id
     limit = size * CHARS_PER_TOKEN
     made = docs.select(F.col(doc_id).alias("doc_id"), sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
 
+    # A few texts at a time: an Arrow batch of long ones is many times its size as Python strings.
     def run(batches):
         for batch in batches:
-            rows = [(i, c) for i, found in enumerate(batch.column(1).to_pylist()) for c in enumerate(_packed(found, limit, overlap))]
-            totals: dict[int, int] = {}
-            for i, _ in rows:
-                totals[i] = totals.get(i, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())),
-                    pa.array([c[0] for _, c in rows], pa.int64()),
-                    pa.array([totals[i] for i, _ in rows], pa.int64()),
-                    pa.array([c[1] for _, c in rows], pa.string()),
-                ],
-                names=["doc_id", "chunk_index", "total_chunks", "chunk"],
-            )
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                rows = [(i, c) for i, found in enumerate(part.column(1).to_pylist()) for c in enumerate(_packed(found, limit, overlap))]
+                totals: dict[int, int] = {}
+                for i, _ in rows:
+                    totals[i] = totals.get(i, 0) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array([i for i, _ in rows], pa.int64())),
+                        pa.array([c[0] for _, c in rows], pa.int64()),
+                        pa.array([totals[i] for i, _ in rows], pa.int64()),
+                        pa.array([c[1] for _, c in rows], pa.string()),
+                    ],
+                    names=["doc_id", "chunk_index", "total_chunks", "chunk"],
+                )
 
     kind = made.schema["doc_id"].dataType.simpleString()
     return made.mapInArrow(run, f"doc_id {kind}, chunk_index long, total_chunks long, chunk string").withColumn("token_count", estimate_tokens(F.col("chunk")))

@@ -131,3 +131,14 @@ def test_connectors_take_broken_answers(spark):
     rows = [("brave", "q", None), ("brave", "q", ""), ("brave", "q", "[1]"), ("brave", "q", '{"web":{"results":[null,{"title":"t","url":"u"}]}}'), ("brave", "q", '{"web":{}}'), ("other", "q", "{}")]
     got = connectors.search_results(spark.createDataFrame(rows, "source_name string, query string, body string")).collect()
     assert [(r["title"], r["url"], r["snippet"], r["position"], r["authors"]) for r in got] == [("t", "u", "", 1, [])]
+
+
+def test_chunks_are_made_of_a_few_texts_at_a_time(spark, monkeypatch):
+    from corpuscle.operators import chunking
+
+    docs = spark.createDataFrame([(i, f"One {i}. Two two! Three. " * (i % 7)) for i in range(40)] + [(90, None)], "doc_id long, text string")
+    for strategy in ("semantic", "fixed"):
+        whole = sorted(map(tuple, chunking.chunk_text(docs, strategy, size=10).collect()))
+        monkeypatch.setattr(chunking, "TEXTS", 3)
+        assert sorted(map(tuple, chunking.chunk_text(docs, strategy, size=10).collect())) == whole
+        monkeypatch.undo()
