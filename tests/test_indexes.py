@@ -172,9 +172,9 @@ def test_buckets_grow_with_the_text(spark, library, monkeypatch):
     docs, queries, _ = library
     table = spark.createDataFrame([(d, t, "P1" if d % 2 else "P2") for d, t in docs], "doc_id long, text string, source_tier string")
     assert inverted_index.buckets_for(table) == inverted_index.DOC_BUCKETS
-    monkeypatch.setattr(inverted_index, "BUCKET_CHARS", 400)
+    monkeypatch.setattr(inverted_index, "BUCKET_CHARS", 900)
     wanted = inverted_index.buckets_for(table)
-    assert wanted == -(-sum(len(t or "") for _, t in docs) // 400) > inverted_index.DOC_BUCKETS
+    assert wanted == -(-sum(len(t or "") for _, t in docs) // 900) > inverted_index.DOC_BUCKETS
     index = inverted_index.create_index(spark, f"t{uuid.uuid4().hex}", table, ["source_tier"], buckets=wanted)
     inverted_index.add_documents(index, table, 0)
     asked = spark.createDataFrame(queries, "query_id long, query string")
