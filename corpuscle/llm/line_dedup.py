@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hot_join, linked_rows, map_arrow, materialize, sorted_groups, text_chunks, without
+from .common import arrow_chunks, hot_join, linked_rows, map_arrow, materialize, sorted_groups, text_chunks, without
 from .graph import connected_components
 from .simhash import deal_tiles
 
@@ -20,9 +20,12 @@ SHINGLES = ((3, 3, 51), (5, 44, 95), (8, 80, 1 << 40))
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
 TILE = 512
-#: Groups of so many lines or more are verified by arrays instead of sets.
-MANY = 8
-_CHUNK = 200_000
+#: Groups of more lines are verified one by one, smaller ones of one least line together (a power of two).
+MANY = 64
+#: Characters whose shingles a task holds at once; pairs of longer lines are compared one at a time.
+_CHUNK, _MOST = 200_000, 400_000
+#: Bytes of texts whose lines a task judges at once.
+_TEXTS = 1 << 26
 _P = np.uint32(0x01000193)
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -82,104 +85,207 @@ def band_keys(lines: list[str], k: int) -> np.ndarray:
         h *= np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
         starts = np.concatenate(([0], np.cumsum([len(x) - k + 1 for x in part])[:-1]))
+        hashed = np.empty_like(h)
         for band in range(BANDS):
             key = np.full(len(part), 16 * k + band + 1, np.uint64)
             for j in range(band * ROWS, (band + 1) * ROWS):
-                least = np.minimum.reduceat(h * _A[j] + _B[j], starts)
-                key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                np.multiply(h, _A[j], out=hashed)
+                hashed += _B[j]
+                key ^= np.minimum.reduceat(hashed, starts)
+                key *= np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             out[a:b, band] = key.view(np.int64)
     return out
 
 
+#: White space but for the space and the line feed.
+_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNEVEN = ("  ", " \n", "\n ", *_ODD)
+
+
+def normal_lines(text: str) -> list[str]:
+    """``normal_form`` of each line. Most texts have no white space to mend, which is seen sooner than mended."""
+    text = text.lower()
+    lines = text.split("\n")
+    if text.startswith(" ") or text.endswith(" ") or any(x in text for x in _UNEVEN):
+        return [" ".join(x.split()) for x in lines]
+    return lines
+
+
 def _lines_of(text: str | None) -> list[str]:
-    return [x for x in map(normal_form, (text or "").split("\n")) if x]
+    return [x for x in normal_lines(text or "") if x]
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, hashes, bands) of (doc_id, mark, text): per document, its lines and their band keys.
+    """(doc_id, mark, hashes, owners, keys) of (doc_id, mark, text): per document, its lines and their band keys.
 
-    The band keys of a line, with the number of its row of SHINGLES in the last
-    two bits, stand in the first document of a batch that has the line.
+    ``keys`` are BANDS numbers of eight bytes for each of ``owners``, a line's
+    hash; the last two bits of a key are its row of SHINGLES. They stand in the
+    first document of a batch that has the line.
     """
 
     def run(batch):
-        hashes, fresh_of = [], []
         seen: set[int] = set()
-        for text in batch.column(2).to_pylist():
+        for a, b, texts in arrow_chunks(batch.column(2), _TEXTS):
+            yield judged(batch.slice(a, b - a), texts, seen)
+
+    def judged(batch, texts, seen):
+        hashes, owners, fresh, of_doc = [], [], [], []
+        for number, text in enumerate(texts):
             lines = _lines_of(text)
             marks = [line_hash(x) for x in lines]
-            fresh: dict[int, str] = {}
             for m, x in zip(marks, lines):
                 if m not in seen:
                     seen.add(m)
-                    fresh[m] = x
+                    owners.append(m)
+                    fresh.append(x)
+                    of_doc.append(number)
             hashes.append(marks)
-            fresh_of.append(fresh)
-        owner = np.array([m for f in fresh_of for m in f], np.int64)
-        lines = [x for f in fresh_of for x in f.values()]
-        sizes = np.array([len(x) for x in lines], np.int64)
-        count = np.zeros(len(lines), np.int64)
-        made = []
+        sizes = np.array([len(x) for x in fresh], np.int64)
+        at, made = [], []
         for number, (k, low, high) in enumerate(SHINGLES):
             of = np.flatnonzero((sizes >= low) & (sizes <= high))
-            keys = band_keys([lines[i] for i in of.tolist()], k) & ~np.int64(3) | number
-            made.append((of, keys))
-            count[of] += BANDS
-        starts = np.concatenate(([0], np.cumsum(count)))
-        flat = np.empty(int(starts[-1]), np.int64)
-        filled = starts[:-1].copy()
-        for of, keys in made:
-            flat[(filled[of][:, None] + np.arange(BANDS)).reshape(-1)] = keys.reshape(-1)
-            filled[of] += BANDS
-        rows = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
-        bands = pa.StructArray.from_arrays([pa.array(owner), rows], names=["h", "keys"])
-        offsets = np.concatenate(([0], np.cumsum([len(f) for f in fresh_of]))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), bands)],
-            names=["doc_id", "mark", "hashes", "bands"],
+            at.append(of)
+            made.append(band_keys([fresh[i] for i in of.tolist()], k) & ~np.int64(3) | number)
+        at = np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        counts = np.bincount(np.array(of_doc, np.int64)[at], minlength=batch.num_rows)
+        columns = [_bytes_by(counts, np.array(owners, np.int64)[at], 8), _bytes_by(counts, np.concatenate(made)[order], 8 * BANDS)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), *columns], names=["doc_id", "mark", "hashes", "owners", "keys"]
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, mark long, hashes array<long>, bands array<struct<h:long,keys:array<long>>>")
+    return map_arrow(docs, run, f"doc_id {kind}, mark long, hashes array<long>, owners binary, keys binary")
+
+
+def _bytes_by(counts: np.ndarray, values: np.ndarray, width: int) -> pa.Array:
+    """``values`` as bytes, ``counts`` times ``width`` of them in a row."""
+    ends = np.concatenate(([0], np.cumsum(counts))) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def candidate_groups(lines: DataFrame, tile: int = TILE) -> DataFrame:
     """(p, g, h, over): lines that share a band. Equal groups from several bands come once; ``over`` marks too large ones.
 
-    ``p`` is a group's least line; groups of one p are verified in one task, which
-    builds each of their lines' shingles once. The last two bits of ``g`` are the
-    row of SHINGLES. A line has 2 * BANDS groups at most.
+    ``p`` is a group's least line; groups of one p are verified in one task. The
+    last two bits of ``g`` are the row of SHINGLES. A line has 2 * BANDS groups
+    at most. Keys are dealt by parts of their range, those of a batch for one part
+    in one row: nearly all stand alone, and arrays tell so.
     """
-    bands = lines.select(F.explode("bands").alias("b")).select("b.h", F.explode("b.keys").alias("bucket"))
-    dealt = bands.repartition("bucket").sortWithinPartitions("bucket", "h")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * tasks
+
+    def deal(batch):
+        owners, keys = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int64) for i in (0, 1))
+        for a in range(0, len(owners), _DEALT):
+            yield dealt_keys(owners[a : a + _DEALT], keys[a * BANDS : (a + _DEALT) * BANDS])
+
+    def dealt_keys(owners, keys):
+        part = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        pairs = np.stack([keys[order], np.repeat(owners, BANDS)[order]], axis=1)
+        counts = np.bincount(part, minlength=parts)
+        named = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(named.astype(np.int32)), _bytes_by(counts[named], pairs, 16)], names=["part", "pairs"])
 
     def run(batches):
-        held: list[tuple[int, int, np.ndarray, bool]] = []
-        rows = 0
-        for group, over in sorted_groups(batches, ["bucket"], "h", tile, 2):
-            h, bucket = group["h"], int(group["bucket"][0])
-            g = bucket if over else (xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)) & ~3 | (bucket & 3)
-            held.append((g if over else int(h[0]), g, h, over))
-            rows += len(h)
-            if rows >= _ROWS:
-                yield _group_batch(held)
-                held, rows = [], 0
-        if held:
-            yield _group_batch(held)
-
+        part, shared = None, _Shared(tile)
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+            for a, b in zip(starts, [*starts[1:], len(of)]):
+                if of[a] != part:
+                    yield from shared.close()
+                    part, shared = of[a], _Shared(tile)
+                for x in batch.column(1).slice(a, b - a):
+                    yield from shared.add(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
+        yield from shared.close()
+
+    dealt = map_arrow(lines.select("owners", "keys"), deal, "part int, pairs binary").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "p long, g long, h long, over boolean").distinct()
 
 
-#: Rows that a task gathers before it hands them on.
-_ROWS = 20_000
+class _Shared:
+    """Groups of the lines that have a key in common, of (key, line) pairs that come in any order.
 
+    Of a key with more than ``tile`` lines none is held for long: they are handed
+    on when ``most`` pairs have come, and later ones as well.
+    """
 
-def _group_batch(held: list[tuple[int, int, np.ndarray, bool]]) -> pa.RecordBatch:
-    sizes = [len(x[2]) for x in held]
-    columns = [np.repeat(np.array([x[i] for x in held], np.int64), sizes) for i in (0, 1)]
-    columns += [np.concatenate([x[2] for x in held]), np.repeat(np.array([x[3] for x in held]), sizes)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["p", "g", "h", "over"])
+    def __init__(self, tile: int, most: int = 1 << 21) -> None:
+        self.tile, self.most = tile, most
+        self.held: list[np.ndarray] = []
+        self.rows = 0
+        self.large = np.zeros(0, np.int64)
+
+    def add(self, pairs: np.ndarray):
+        self.held.append(pairs)
+        self.rows += len(pairs)
+        if self.rows > self.most:
+            key, line = np.concatenate(self.held).T
+            order = np.lexsort((line, key))
+            key, line, size = self._once(key[order], line[order])
+            over = size > self.tile
+            if over.any():
+                self.large = np.union1d(self.large, key[over])
+            over |= np.isin(key, self.large)
+            yield from self._batches(key[over], key[over], line[over], True)
+            self.held = [np.stack([key[~over], line[~over]], axis=1)]
+            self.rows = len(self.held[0])
+            self.most = max(self.most, 2 * self.rows)
+
+    def close(self):
+        if not self.held:
+            return
+        key, line = np.concatenate(self.held).T
+        self.held = []
+        order = np.argsort(key)
+        key = key[order]
+        twin = np.zeros(len(key) + 1, bool)
+        twin[1:-1] = key[1:] == key[:-1]
+        alone = ~(twin[1:] | twin[:-1])
+        if len(self.large):
+            alone &= ~np.isin(key, self.large)
+        key, line = key[~alone], line[order[~alone]]
+        order = np.lexsort((line, key))
+        key, line, size = self._once(key[order], line[order])
+        over = size > self.tile
+        if len(self.large):
+            over |= np.isin(key, self.large)
+        yield from self._batches(key[over], key[over], line[over], True)
+        several = ~over & (size > 1)
+        key, line, size = key[several], line[several], size[several]
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        mixed = line.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        name = np.add.reduceat(mixed, starts).view(np.int64) & ~np.int64(3) | key[starts] & 3
+        yield from self._batches(np.repeat(line[starts], size[starts]), np.repeat(name, size[starts]), line, False)
+
+    @staticmethod
+    def _once(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pairs without repeats, and of how many its key has."""
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line = key[new], line[new]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(key)))
+        return key, line, np.repeat(sizes, sizes)
+
+    @staticmethod
+    def _batches(p: np.ndarray, g: np.ndarray, h: np.ndarray, over: bool):
+        for a in range(0, len(h), _ROWS):
+            columns = [pa.array(x[a : a + _ROWS]) for x in (p, g, h)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), over))], names=["p", "g", "h", "over"])
+
+
+#: Rows that a task gathers before it hands them on, and lines whose keys it deals at once.
+_ROWS, _DEALT = 20_000, 200_000
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -187,67 +293,193 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
+_PAIRS = [[(i, j) for i in range(n) for j in range(i + 1, n)] for n in range(MANY + 1)]
+
+
 class _Verifier:
-    """Edges between similar lines, group by group; remembers shingles and links until it is cleared."""
+    """Edges that join the similar lines of groups (p, g, lines); groups of one p must come in a row.
+
+    Lines of a p's smaller groups are compared together, so that a pair in several
+    groups is looked at once, and the shingles of many p's are hashed together.
+    Larger groups follow one by one; there, links are remembered until p changes.
+    """
 
     def __init__(self, least: float) -> None:
         self.least = least
-        self.clear()
-
-    def clear(self) -> None:
-        self.sets: dict[tuple[int, int], set[str]] = {}
+        self.last: int | None = None
         self.parent: dict[int, int] = {}
+        self.waiting: dict[int, list[tuple[list[int], list[str], list[tuple[int, int]]]]] = {}
+        self.groups: dict[int, list[tuple[list[int], list[str]]]] = {}
+        self.lines = self.size = self.chars = 0
+
+    def add(self, p: int, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Takes a group and gives the edges that are ready."""
+        if p != self.last:
+            self._turn()
+            self.last, self.parent = p, {}
+        found: list[tuple[int, int]] = []
+        if len(h) > MANY:
+            return self._large(h, texts, k)
+        size = sum(map(len, texts))
+        if size > _MOST:
+            for i in range(len(h)):
+                for j in range(i):
+                    if _root(self.parent, h[i]) != _root(self.parent, h[j]):
+                        near = _similar_pairs([[texts[i], texts[j]]], [[(0, 1)]], k, self.least)[0]
+                        found += _fresh(self.parent, near, [h[i], h[j]])
+            return found
+        if self.lines + len(h) > 4 * MANY or self.size + size > _MOST:
+            self._turn()
+        self.groups.setdefault(k, []).append((h, texts.tolist()))
+        self.lines += len(h)
+        self.size += size
+        return self.close() if self.chars > _MOST // 2 else []
+
+    def _turn(self) -> None:
+        """Puts the groups of one p to the rest."""
+        for k, groups in self.groups.items():
+            units = self.waiting.setdefault(k, [])
+            while groups:
+                names, texts = groups.pop()
+                pairs = _PAIRS[len(names)]
+                if groups:
+                    of = dict(zip(names, texts))
+                    linked = {(names[i], names[j]) for i, j in pairs}
+                    while groups and len(of) + len(groups[-1][0]) <= MANY:
+                        names, texts = groups.pop()
+                        of.update(zip(names, texts))
+                        linked.update((names[i], names[j]) for i, j in _PAIRS[len(names)])
+                    names, texts = list(of), list(of.values())
+                    at = {x: i for i, x in enumerate(names)}
+                    pairs = [(at[x], at[y]) for x, y in linked]
+                units.append((names, texts, pairs))
+                self.chars += sum(map(len, texts))
+        self.groups, self.lines, self.size = {}, 0, 0
+
+    def close(self) -> list[tuple[int, int]]:
+        """All edges of the smaller groups that were taken."""
+        self._turn()
+        found: list[tuple[int, int]] = []
+        for k, units in self.waiting.items():
+            names, texts, pairs = zip(*units)
+            for own, edges in zip(names, _similar_pairs(texts, pairs, k, self.least)):
+                if edges:
+                    found += _stars(edges, own)
+        self.waiting, self.chars = {}, 0
+        return found
 
-    def root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(up, up)  # halves the way for the next call
-            x = up
-        return x
+    def _large(self, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Edges of one group. Many large groups are copies of one line with a change in one place, which their ends show."""
+        own = _root(self.parent, h[0])
+        if all(_root(self.parent, y) == own for y in h[1:]):
+            return []
+        if all(_surely_similar(texts[0], t, k, self.least) for t in texts[1:]):
+            return _fresh(self.parent, [(0, i) for i in range(1, len(h))], h)
+        return _fresh(self.parent, _similar_rows(list(texts), k, self.least), h)
 
-    def edges(self, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """Edges that join all lines of a group that are linked by a Jaccard similarity of ``least`` or more.
 
-        None is given between lines that are joined already. Many large groups are
-        copies of one line with a change in one place, which their ends show.
-        """
-        own = self.root(h[0])
-        if all(self.root(y) == own for y in h[1:]):
-            return []
-        if len(h) < MANY:
-            found = self._pairwise(h, texts, k)
-        elif all(_surely_similar(texts[0], t, k, self.least) for t in texts[1:]):
-            found = [(h[0], y) for y in h[1:]]
-        else:
-            found = [(h[i], h[j]) for i, j in _similar_rows(list(texts), k, self.least)]
-        fresh = []
-        for x, y in found:
-            a, b = self.root(x), self.root(y)
-            if a != b:
-                self.parent[b] = a
-                fresh.append((x, y))
-        return fresh
-
-    def _pairwise(self, h: list[int], texts: np.ndarray, k: int) -> list[tuple[int, int]]:
-        for x, t in zip(h, texts):
-            if (x, k) not in self.sets:
-                self.sets[x, k] = shingles(t, k)
-        found: list[tuple[int, int]] = []
-        left = list(h)
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and left:
-                a, x, rest = self.sets[queue[-1], k], queue.pop(), []
-                for y in left:
-                    b = self.sets[y, k]
-                    small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-                    both = len(a & b) if small >= self.least * large else 0
-                    if both and both >= self.least * (len(a) + len(b) - both):
-                        found.append((x, y))
-                        queue.append(y)
-                    else:
-                        rest.append(y)
-                left = rest
-        return found
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)  # halves the way for the next call
+        x = up
+    return x
+
+
+def _stars(edges: list[tuple[int, int]], names: list[int]) -> list[tuple[int, int]]:
+    """Edges from each line to the first one of its component, by their names."""
+    parent: dict[int, int] = {}
+    for i, j in edges:
+        a, b = _root(parent, i), _root(parent, j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(names[i], names[_root(parent, i)]) for i in list(parent) if _root(parent, i) != i]
+
+
+def _fresh(parent: dict[int, int], edges: list[tuple[int, int]], names: list[int]) -> list[tuple[int, int]]:
+    """Those of ``edges`` whose ends ``parent`` doesn't join already, by their names; it joins them."""
+    found = []
+    for i, j in edges:
+        a, b = _root(parent, names[i]), _root(parent, names[j])
+        if a != b:
+            parent[b] = a
+            found.append((names[i], names[j]))
+    return found
+
+
+def _shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of ``k`` characters, text by text, and where each text's end (from 0 on)."""
+    codes, inside = _shingle_codes(texts, k)
+    n = len(inside)
+    mixed = codes * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    h = mixed[:n].copy()
+    for j in range(1, k):
+        h *= np.uint64(0xA0761D6478BD642F)
+        h += mixed[j : j + n]
+    return h[inside], np.concatenate(([0], np.cumsum([len(t) - k + 1 for t in texts])))
+
+
+def _similar_pairs(units: list[list[str]], pairs: list[list[tuple[int, int]]], k: int, least: float) -> list[list[tuple[int, int]]]:
+    """Of each unit's ``pairs`` of lines those with a Jaccard similarity of ``least`` or more. A unit has two to MANY lines.
+
+    The last bits of a shingle's hash give way to the number of its line, so that
+    one sort of a unit brings equal shingles of all its lines together.
+    """
+    lines = np.array([len(u) for u in units])
+    first = np.concatenate(([0], np.cumsum(lines)))
+    hashes, ends = _shingle_hashes([t for u in units for t in u], k)
+    own = (np.arange(first[-1]) - np.repeat(first[:-1], lines)).astype(np.uint64)
+    hashes &= ~np.uint64(MANY - 1)
+    hashes |= np.repeat(own, np.diff(ends))
+    cuts = ends[first]
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        hashes[a:b].sort()
+    step = hashes[1:] ^ hashes[:-1]
+    new, same = np.ones(len(hashes), bool), np.zeros(len(hashes), bool)  # a line's shingle comes first; the one before has it, too
+    np.not_equal(step, 0, out=new[1:])
+    np.less(step, MANY, out=same[1:])
+    new[cuts[:-1]], same[cuts[:-1]] = True, False
+    line = (np.repeat(first[:-1], np.diff(cuts)) + (hashes & np.uint64(MANY - 1)).view(np.int64))[new]
+    same = same[new]
+    sizes = np.bincount(line, minlength=int(first[-1]))
+    several = same.copy()
+    several[:-1] |= same[1:]
+    line, same = line[several], same[several]
+    unit = np.repeat(np.arange(len(units)), lines)[line]
+    number = np.cumsum(~same)
+    common = np.bincount(unit[same], minlength=len(units))
+    total = sizes[first[:-1]] + sizes[first[:-1] + 1]
+    near = (common > 0) & (common >= least * (total - common))
+    at = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+    found = []
+    for u, n in enumerate(lines.tolist()):
+        a, b, start = at[u], at[u + 1], int(first[u])
+        if n == 2 or a == b:
+            found.append(pairs[u] if n == 2 and near[u] else [])
+            continue
+        x, y = np.array(pairs[u]).T
+        shared = _shared_bits(line[a:b] - start, number[a:b] - number[a], n, x, y)
+        both = sizes[start + x] + sizes[start + y] - shared
+        found.append([pairs[u][i] for i in np.flatnonzero((shared > 0) & (shared >= least * both)).tolist()])
+    return found
+
+
+def _shared_bits(line: np.ndarray, number: np.ndarray, n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles lines ``x`` and ``y`` share, of (line, number of the shingle) by number."""
+    shared = np.zeros(len(x), np.int64)
+    for a in range(0, int(number[-1]) + 1, _WIDE):
+        i, j = np.searchsorted(number, (a, a + _WIDE))
+        has = np.zeros((n, int(number[j - 1]) + 1 - a), bool)
+        has[line[i:j], number[i:j] - a] = True
+        bits = np.packbits(has, axis=1)
+        shared += np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+    return shared
+
+
+#: Shingles that stand in one table of bits.
+_WIDE = 1 << 15
 
 
 def _surely_similar(a: str, b: str, k: int, least: float) -> bool:
@@ -295,7 +527,7 @@ def _similar_rows(texts: list[str], k: int, least: float) -> list[tuple[int, int
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between the hashes of lines, verified by exact Jaccard over whole lines."""
+    """Edges (a, b) between the hashes of lines that join what exact Jaccard over whole lines links."""
     groups = materialize(candidate_groups(lines, tile))
 
     def texts(batch):
@@ -307,17 +539,15 @@ def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY,
 
     def verify(keys):
         def run(batches):
-            verifier, last = _Verifier(least), None
+            verifier = _Verifier(least)
             found: list[tuple[int, int]] = []
             for group, _ in sorted_groups(batches, keys, "h", None, 2):
-                if group[keys[0]][0] != last or len(verifier.sets) > 4 * tile:
-                    verifier.clear()
-                    last = group[keys[0]][0]
                 k = SHINGLES[int(group["g"][0]) & 3][0]
-                found += verifier.edges(group["h"].tolist(), group["line"], k)
+                found += verifier.add(int(group[keys[0]][0]), group["h"].tolist(), group["line"], k)
                 if len(found) >= _ROWS:
                     yield _edge_batch(found)
                     found = []
+            found += verifier.close()
             if found:
                 yield _edge_batch(found)
 
@@ -341,17 +571,16 @@ def _rules(docs: DataFrame, lines: DataFrame, least: float, tile: int) -> DataFr
     """(mark, hits) of (doc_id, mark, text) rows: for each of a row's lines that is repeated, its component and whether the row keeps it."""
     roots = connected_components(similar_lines(docs, lines, least, tile)).select(F.col("node").alias("h"), "root")
     occurs = lines.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark").alias("place"), F.explode("hashes").alias("h"))
-    counted = materialize(occurs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).join(roots, "h", "left"))
-    lonely = counted.where("root is null and n > 1").select("h", "n", F.col("h").alias("root"), "first")
-    linked = counted.where("root is not null")
-    by_root = linked.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("first").alias("of_root"))
-    total = linked.count()
-    # A component may hold many lines and a line may stand in many documents: both joins deal frequent keys apart.
-    whole = hot_join(linked.select("h", "n", "root"), by_root, "root", "members", total).select("h", "n", "root", F.col("of_root").alias("first"))
-    rules = materialize(lonely.union(whole))
-    hits = hot_join(occurs, rules, "h", "n", rules.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).where("root is not null")
+    counted = occurs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(roots, "h", "left").where("root is not null or n > 1")
+    rules = materialize(counted.select("h", "n", F.coalesce("root", "h").alias("root")))
+    total = rules.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # A line may stand in many documents and a component may hold many lines: both joins deal frequent keys apart.
+    hits = materialize(hot_join(occurs, rules, "h", "n", total).where("root is not null"))
+    # Written, or the join would keep the dealing by root alone that the groups come in.
+    by_root = materialize(hits.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("place").alias("first")))
+    told = hot_join(hits, by_root, "root", "members", total)
     keeps = F.col("place.mark") == F.col("first.mark")
-    return hits.select("place.mark", F.struct("h", "root", keeps.alias("keeps")).alias("hit")).groupBy("mark").agg(F.collect_set("hit").alias("hits"))
+    return told.select("place.mark", F.struct("h", "root", keeps.alias("keeps")).alias("hit")).groupBy("mark").agg(F.collect_set("hit").alias("hits"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -384,15 +613,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
 
     def run(batch):
         texts, totals, removed = [], [], []
-        for t, hits in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+        told = batch.column(len(names))
+        places = told.offsets.to_pylist()
+        h, roots, keep = (told.values.field(i).to_pylist() for i in range(3))
+        for t, a, b in zip(batch.column(at).to_pylist(), places, places[1:]):
             n = t.count("\n") + 1 if t is not None else 0
             gone = 0
-            if hits:
-                rule = {x["h"]: (x["root"], x["keeps"]) for x in hits}
+            if b > a:
+                rule = dict(zip(h[a:b], zip(roots[a:b], keep[a:b])))
                 used: set[int] = set()
                 kept = []
-                for line in t.split("\n"):
-                    normal = normal_form(line)
+                for line, normal in zip(t.split("\n"), normal_lines(t)):
                     root, keeps = rule.get(line_hash(normal), (None, True)) if normal else (None, True)
                     if root is None or (keeps and root not in used):
                         kept.append(line)

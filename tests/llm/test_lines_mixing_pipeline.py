@@ -98,6 +98,78 @@ def test_common_ends_prove_similarity_only_where_it_holds():
     assert sure > 500
 
 
+def test_lines_of_any_white_space_are_mended():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("aBcΣİ  \n\t\r\x0b\x1c\x85\xa0\u2003\u2028\u3000") for _ in range(rng.randint(0, 12)))
+        assert line_dedup.normal_lines(text) == [line_dedup.normal_form(x) for x in text.split("\n")]
+
+
+def test_many_groups_are_verified_at_once(monkeypatch):
+    # groups of some least lines, as candidate_groups gives them; lines of a few sizes, some of them over the limits of a block
+    import random
+
+    rng, calls = random.Random(9), []
+    hashed = line_dedup._shingle_hashes
+    monkeypatch.setattr(line_dedup, "_shingle_hashes", lambda texts, k: calls.append(len(texts)) or hashed(texts, k))
+    for most, many in ((400_000, 64), (300, 64), (400_000, 4)):
+        monkeypatch.setattr(line_dedup, "_MOST", most)
+        calls.clear()
+        verifier, got, want, parent, groups = line_dedup._Verifier(0.8), [], [], {}, 0
+        for p in range(300):
+            k = 8
+            base = prose(p, 40)
+            lines = {p * 1000 + i: edited(base, rng.randint(0, 6), i) if rng.random() < 0.8 else prose(i, 30) for i in range(rng.randint(2, 12))}
+            for _ in range(rng.randint(1, 4)):
+                h = sorted(rng.sample(list(lines), rng.randint(2, len(lines))) + ([p * 1000 + 999] if many == 4 else []))
+                lines[p * 1000 + 999] = base
+                texts = np.array([lines[x] for x in h], object)
+                if many == 4:  # some groups too large to be compared with others
+                    monkeypatch.setattr(line_dedup, "MANY", 64 if rng.random() < 0.5 else len(h) - 1)
+                got += verifier.add(p, h, texts, k)
+                monkeypatch.setattr(line_dedup, "MANY", 64)
+                groups += 1
+                sets = [line_dedup.shingles(t, k) for t in texts]
+                want += [(h[i], h[j]) for i in range(len(h)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        got += verifier.close()
+        if (most, many) == (400_000, 64):
+            assert len(calls) * 50 < groups
+        for a, b in want:
+            parent[line_dedup._root(parent, a)] = line_dedup._root(parent, b)
+        other: dict = {}
+        for a, b in got:
+            other[line_dedup._root(other, a)] = line_dedup._root(other, b)
+            assert line_dedup._root(parent, a) == line_dedup._root(parent, b)
+        assert all(line_dedup._root(other, a) == line_dedup._root(other, b) for a, b in want)
+
+
+@pytest.mark.parametrize("most", [50, 1 << 21])
+def test_shared_keys_of_any_order_and_number(most):
+    import random
+
+    rng = random.Random(most)
+    pairs = [(key * 4 + 2, rng.randint(0, 60)) for key in range(200) for _ in range(rng.choice([1, 1, 2, 3, 60]))]
+    rng.shuffle(pairs)
+    shared = line_dedup._Shared(20, most)
+    batches = []
+    for i in range(0, len(pairs), 7):
+        batches += shared.add(np.array(pairs[i : i + 7], np.int64))
+    batches += shared.close()
+    rows = {tuple(r.values()) for b in batches for r in b.to_pylist()}
+    lines: dict = {}
+    for key, line in pairs:
+        lines.setdefault(key, set()).add(line)
+    assert {(p, g, h) for p, g, h, over in rows if over} == {(k, k, x) for k, of in lines.items() if len(of) > 20 for x in of}
+    found: dict = {}
+    for p, g, h, over in rows:
+        if not over:
+            found.setdefault((p, g), set()).add(h)
+            assert g & 3 == 2
+    assert {(min(of), *sorted(of)) for of in lines.values() if 1 < len(of) <= 20} == {(p, *sorted(of)) for (p, _), of in found.items()}
+
+
 def test_line_dedup_edges(spark):
     df = table(spark, lined())
     out = line_dedup.dedup_lines(df)
