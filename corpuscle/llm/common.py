@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,22 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpuscle/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go with its end, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
     """Add ``df`` to the Parquet table at ``path`` (in folders by column ``by``)."""
-    df.write.mode("append").parquet(path, partitionBy=by)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.mode("append").parquet(path, partitionBy=by)
 
 
 def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -49,10 +63,34 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark)
-    df.write.parquet(path, partitionBy=by)
+    append(df, path, by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that only the steps of one operator read; they are deleted once no step needs them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def materialize(self, *parts: DataFrame) -> DataFrame:
+        """``parts``, which have the same columns, written one after the other into one table."""
+        path = fresh_path(self.spark)
+        for part in parts:
+            append(part, path)
+        self.held.append((self.spark.read.schema(parts[0].schema).parquet(path), path))
+        return self.held[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables, or all."""
+        gone = [h for h in self.held if not tables or any(h[0] is t for t in tables)]
+        self.held = [h for h in self.held if all(h is not g for g in gone)]
+        for _, path in gone:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, _UPPER, _UPPER.lower())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_chunks, hot_join, linked_rows, map_arrow, materialize, sorted_groups, text_chunks, without
+from .common import Scratch, arrow_chunks, hot_join, linked_rows, map_arrow, materialize, sorted_groups, text_chunks, without
 from .graph import connected_components
 from .simhash import deal_tiles
 
@@ -526,16 +526,17 @@ def _similar_rows(texts: list[str], k: int, least: float) -> list[tuple[int, int
     return linked_rows(owner, number, len(texts), int(step[-1]) + 1, least)
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between the hashes of lines that join what exact Jaccard over whole lines links."""
-    groups = materialize(candidate_groups(lines, tile))
+def similar_lines(docs: DataFrame, lines: DataFrame, least: float = SIMILARITY, tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
+    """Edges (a, b) between the hashes of lines that join what exact Jaccard over whole lines links; they read tables that ``scratch`` holds."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    groups = scratch.materialize(candidate_groups(lines, tile))
 
     def texts(batch):
         seen = {line_hash(x): x for t in batch.column(0).to_pylist() for x in _lines_of(t)}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.string())], names=["h", "line"])
 
     wanted = groups.select("h").distinct()
-    found = materialize(map_arrow(docs.select("text"), texts, "h long, line string").join(wanted, "h").distinct())
+    found = scratch.materialize(map_arrow(docs.select("text"), texts, "h long, line string").join(wanted, "h").distinct())
 
     def verify(keys):
         def run(batches):
@@ -567,15 +568,21 @@ def _marked(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text, *more).alias("mark"), F.col(text).alias("text"))
 
 
-def _rules(docs: DataFrame, lines: DataFrame, least: float, tile: int) -> DataFrame:
-    """(mark, hits) of (doc_id, mark, text) rows: for each of a row's lines that is repeated, its component and whether the row keeps it."""
-    roots = connected_components(similar_lines(docs, lines, least, tile)).select(F.col("node").alias("h"), "root")
+def _rules(docs: DataFrame, lines: DataFrame, least: float, tile: int, scratch: Scratch) -> DataFrame:
+    """(mark, hits) of (doc_id, mark, text) rows: for each of a row's lines that is repeated, its component and whether the row keeps it.
+
+    ``lines`` and all that ``scratch`` holds are deleted then.
+    """
+    links = Scratch(docs.sparkSession)
+    roots = connected_components(similar_lines(docs, lines, least, tile, links), scratch).select(F.col("node").alias("h"), "root")
+    links.drop()
     occurs = lines.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark").alias("place"), F.explode("hashes").alias("h"))
     counted = occurs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(roots, "h", "left").where("root is not null or n > 1")
-    rules = materialize(counted.select("h", "n", F.coalesce("root", "h").alias("root")))
+    rules = scratch.materialize(counted.select("h", "n", F.coalesce("root", "h").alias("root")))
     total = rules.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # A line may stand in many documents and a component may hold many lines: both joins deal frequent keys apart.
     hits = materialize(hot_join(occurs, rules, "h", "n", total).where("root is not null"))
+    scratch.drop()
     # Written, or the join would keep the dealing by root alone that the groups come in.
     by_root = materialize(hits.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("place").alias("first")))
     told = hot_join(hits, by_root, "root", "members", total)
@@ -598,14 +605,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     docs = without(docs, "n_lines", "n_removed", "__mark", "__hits", "__row")
     names = docs.columns
     rows = _marked(docs, doc_id, text)
-    lines = materialize(with_lines(rows))
+    scratch = Scratch(docs.sparkSession)
+    lines = scratch.materialize(with_lines(rows))
     mark = F.xxhash64(doc_id, text)
     if not lines.where("size(hashes) > 0").groupBy("mark").count().where("count > 1").isEmpty():
         docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))  # equal rows: a number names each
         rows = _marked(docs, doc_id, text, "__row")
-        lines = materialize(with_lines(rows))
+        scratch.drop()
+        lines = scratch.materialize(with_lines(rows))
         mark = F.xxhash64(doc_id, text, "__row")
-    rules = _rules(rows, lines, similarity, tile).select(F.col("mark").alias("__mark"), "hits", F.lit(0).alias("__at"))
+    rules = _rules(rows, lines, similarity, tile, scratch).select(F.col("mark").alias("__mark"), "hits", F.lit(0).alias("__at"))
     blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     dealt = docs.withColumn("__own", mark).withColumn("__deal", F.when(blank, F.floor(F.rand(3) * 10_000).cast("int")).otherwise(0))
     joined = dealt.join(rules, (F.col("__own") == F.col("__mark")) & (F.col("__deal") == F.col("__at")), "left").select(*names, "hits")

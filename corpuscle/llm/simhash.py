@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, linked_rows, map_arrow, materialize, sorted_groups, without
+from .common import Scratch, hot_join, linked_rows, map_arrow, materialize, sorted_groups, without
 from .graph import connected_components
 
 #: (shift, width) of the blocks of a fingerprint.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Members of one bucket that are compared in one piece; larger buckets are tiled.
 TILE = 4096
+#: Blocks of a wide fingerprint that are dealt at once. The more rows, the more blocks; what a pass deals stays.
+PASS_BLOCKS = 16
 
 
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
@@ -215,33 +217,49 @@ class BlockPlan:
         agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
         return BlockPlan(width, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
-    def keys(self, bits: np.ndarray) -> np.ndarray:
-        value = bits[: self.width * self.blocks].reshape(self.blocks, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
-        return (value << 12) + np.arange(self.blocks)
+    def keys(self, packed: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Of rows of packed bits, the keys of blocks ``first`` to ``last`` - 1."""
+        start, end = first * self.width, last * self.width
+        bits = np.unpackbits(packed[:, start // 8 : -(-end // 8)], axis=1, bitorder="little")[:, start % 8 :]
+        value = np.zeros((len(packed), last - first), np.int64)
+        for i in range(self.width):
+            value |= bits[:, i : end - start : self.width].astype(np.int64) << i
+        return (value << 12) + np.arange(first, last)
 
 
 def _with_blocks(docs: DataFrame, plan: BlockPlan, words: int) -> DataFrame:
-    """(doc_id, mark, node, fp, keys) of (doc_id, mark, node, text)."""
+    """(doc_id, mark, node, fp, bits) of (doc_id, mark, node, text); ``bits`` are those of all blocks, in bytes."""
     count = -(-plan.width * plan.blocks // 64)
 
     def run(batch):
-        prints, keys = [], []
-        for t in batch.column(3).to_pylist():
-            bits = majority_bits(shingle_hashes(t, words), count, even=True)
-            prints.append(np.packbits(bits[:64], bitorder="little").view(np.int64)[0])
-            keys.append(plan.keys(bits))
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        offsets = np.arange(0, len(flat) + 1, plan.blocks, dtype=np.int32)
-        columns = [*batch.columns[:3], pa.array(np.array(prints, np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "fp", "keys"])
+        bits = [np.packbits(majority_bits(shingle_hashes(t, words), count, even=True), bitorder="little") for t in batch.column(3).to_pylist()]
+        prints = np.array([x[:8].view(np.int64)[0] for x in bits], np.int64)
+        columns = [*batch.columns[:3], pa.array(prints), pa.array([x.tobytes() for x in bits], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "node", "fp", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, mark long, node long, fp long, keys array<long>")
+    return map_arrow(docs, run, f"doc_id {kind}, mark long, node long, fp long, bits binary")
 
 
-def _close_nodes(nodes: DataFrame, distance: int, tile: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes of (node, fp, keys) that share a block and differ in ``distance`` bits or fewer of fp."""
-    members = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
+def _block_members(nodes: DataFrame, plan: BlockPlan, first: int, last: int) -> DataFrame:
+    """(node, fp, bucket) of (node, fp, bits): every node in each of blocks ``first`` to ``last`` - 1."""
+
+    def run(batch):
+        for a in range(0, batch.num_rows, 2000):
+            node, fp, bits = batch.slice(a, 2000).columns
+            keys = plan.keys(np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(bits), -1), first, last)
+            columns = [np.repeat(x.to_numpy(), last - first) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys.ravel())], names=["node", "fp", "bucket"])
+
+    return map_arrow(nodes.select("node", "fp", "bits"), run, "node long, fp long, bucket long")
+
+
+def _close_nodes(nodes: DataFrame, plan: BlockPlan, distance: int, tile: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that connect the nodes of (node, fp, bits) that share a block and differ in ``distance`` bits or fewer of fp.
+
+    Blocks are dealt PASS_BLOCKS at a time and only edges are kept, so the disk
+    that is used at once doesn't grow with their number.
+    """
 
     def run(keys):
         def over(batches):
@@ -273,7 +291,12 @@ def _close_nodes(nodes: DataFrame, distance: int, tile: int) -> DataFrame:
         return over
 
     schema = "a long, b long, fp long, bucket long"
-    found = materialize(members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run(["bucket"]), schema))
+
+    def linked(first: int) -> DataFrame:
+        members = _block_members(nodes, plan, first, min(first + PASS_BLOCKS, plan.blocks))
+        return members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run(["bucket"]), schema)
+
+    found = scratch.materialize(*map(linked, range(0, plan.blocks, PASS_BLOCKS)))
     crowded = found.where("bucket is not null").select("bucket", F.col("a").alias("node"), "fp").distinct()
     tiles = deal_tiles(crowded, "bucket", "node", tile).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return found.where("bucket is null").select("a", "b").union(tiles.mapInArrow(run(["bucket", "i", "j"]), schema).select("a", "b")).distinct()
@@ -323,9 +346,9 @@ def keep_one(
     similarity.
 
     Equal texts are one in the search; null and blank texts are all equal. Null
-    ids come last, and of rows with the same id and text any one is kept. Only
-    ids, hashes and fingerprints are written between; texts are read again.
-    Columns are those of ``docs``; an empty table gives no rows.
+    ids come last, and of rows with the same id and text any one is kept.
+    Ids, hashes, fingerprints and the texts of groups are written between, and
+    deleted when they have been used. Columns are those of ``docs``; an empty table gives no rows.
     """
     names = docs.columns
     plan = BlockPlan.of(docs.count(), similarity, recall)
@@ -338,17 +361,21 @@ def keep_one(
     def slim(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(doc_id).alias("doc_id"), F.col("__mark").alias("mark"), F.col("__node").alias("node"), F.col(text).alias("text"))
 
+    scratch = Scratch(docs.sparkSession)
     rows = marked(docs)
-    at = materialize(_with_blocks(slim(rows), plan, words))
+    at = scratch.materialize(_with_blocks(slim(rows), plan, words))
     if not at.groupBy("mark").count().where("count > 1").isEmpty():  # rows equal throughout: a number names each
+        scratch.drop(at)
         rows = marked(materialize(docs.withColumn("__row", F.monotonically_increasing_id())))
-        at = materialize(_with_blocks(slim(rows), plan, words))
+        at = scratch.materialize(_with_blocks(slim(rows), plan, words))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    nodes = materialize(at.groupBy("node").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    loose = connected_components(_close_nodes(nodes, distance, 4096))
+    nodes = scratch.materialize(at.groupBy("node").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("bits").alias("bits")))
+    scratch.drop(at)
+    loose = connected_components(_close_nodes(nodes, plan, distance, 4096, scratch), scratch)
     chosen = nodes.join(loose, "node").select("root", "node", F.col("first.mark").alias("__first"))
     texts = rows.join(chosen, F.col("__mark") == F.col("__first")).select("root", "node", F.col(text).alias("text"))
-    linked = connected_components(_similar_nodes(materialize(texts), similarity, words, tile))
+    linked = connected_components(_similar_nodes(scratch.materialize(texts), similarity, words, tile), scratch)
     kept = nodes.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     kept = materialize(kept.select(F.col("first.mark").alias("__kept")))
+    scratch.drop()
     return rows.join(kept, F.col("__mark") == F.col("__kept"), "left_semi").select(*names)
