@@ -74,12 +74,16 @@ class Scratch:
         self.spark = spark
         self.held: list[tuple[DataFrame, str]] = []
 
-    def materialize(self, *parts: DataFrame) -> DataFrame:
-        """``parts``, which have the same columns, written one after the other into one table."""
+    def materialize(self, *parts: DataFrame, by: str | None = None) -> DataFrame:
+        """``parts``, which have the same columns, written one after the other into one table (in folders by column ``by``)."""
         path = fresh_path(self.spark)
         for part in parts:
-            append(part, path)
-        self.held.append((self.spark.read.schema(parts[0].schema).parquet(path), path))
+            append(part, path, by)
+        return self.hold(path, parts[0].schema)
+
+    def hold(self, path: str, schema) -> DataFrame:
+        """The table that was written to ``path``."""
+        self.held.append((self.spark.read.schema(schema).parquet(path), path))
         return self.held[-1][0]
 
     def drop(self, *tables: DataFrame) -> None:

@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append, arrow_chunks, fresh_path, map_arrow, materialize
+from .common import Scratch, append, arrow_chunks, fresh_path, map_arrow, materialize
 
 #: Bytes of text that are worked on at once in a task.
 CHUNK_CHARS = 500_000
@@ -38,8 +39,6 @@ PROBES = 3
 PASS_BYTES = 128 << 20
 #: Tokens that every worker knows with their counts; the others' exact counts are joined.
 HOT_TOKENS = 1 << 20
-#: Bytes of dealt probes that are worked on in one task.
-PROBE_BYTES = 64 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -252,16 +251,27 @@ class Smoothing:
         self.below = np.log10(_COUNT + self.strength)
 
 
-_HELD: dict = {}
+@dataclass(frozen=True)
+class _Given:
+    """Packed filters for all workers: of frequent tokens, other tokens and pairs, each or None."""
+
+    key: str
+    packed: Broadcast
+
+    @staticmethod
+    def of(spark: SparkSession, words, tokens, pairs, bits: int) -> _Given:
+        return _Given(uuid.uuid4().hex, spark.sparkContext.broadcast((words, tokens, pairs, bits)))
+
+    def filters(self) -> dict:
+        """Built once per Python worker; those of another pass go first, so that a worker never holds two passes."""
+        if _HELD.get("key") != self.key:
+            _HELD.clear()
+            words, tokens, pairs, bits = self.packed.value
+            _HELD.update(words=words and Filters(words, LEAST_SLICE_BITS), tokens=tokens and Filters(tokens, bits), pairs=pairs and Filters(pairs, bits), key=self.key)
+        return _HELD
 
 
-def _unpacked(broadcast) -> dict:
-    """The broadcast's filters, built once per Python worker."""
-    key, words, tokens, pairs, bits = broadcast.value
-    if _HELD.get("key") != key:
-        _HELD.clear()
-        _HELD.update(key=key, words=words and Filters(words, LEAST_SLICE_BITS), tokens=tokens and Filters(tokens, bits), pairs=pairs and Filters(pairs, bits))
-    return _HELD
+_HELD: dict = {}
 
 
 def score_documents(
@@ -284,8 +294,8 @@ def score_documents(
     Everything broadcast is bounded: the frequent tokens' counts and filter by
     ``hot_tokens``, the filter of pairs and other tokens by ``pass_bytes``. If it
     fits, texts are scored in one scan. If not, one scan turns the texts into
-    probes, each dealt to the slice group it asks; a pass then reads its own
-    probes only. Pairs that are found and begin with a token that isn't frequent
+    probes of about ten bytes, written to the slice group they ask and never
+    shuffled; a pass then reads its own probes only. Pairs that are found and begin with a token that isn't frequent
     are dealt once more, to where that token's level lies. All passes append to
     one table, which is summed by document once: neither the bytes read nor the
     last plan grow with the number of passes.
@@ -316,14 +326,15 @@ def score_documents(
     everywhere = _packed_filters(words)
     scored = slim.withColumn("row", F.monotonically_increasing_id())
     if len(groups) < 2:
-        given = spark.sparkContext.broadcast((uuid.uuid4().hex, everywhere, _packed_filters(rare), _packed_filters(pairs), bits))
+        given = _Given.of(spark, everywhere, _packed_filters(rare), _packed_filters(pairs), bits)
         scored = materialize(_scored_at_once(scored, given, hot, model))
     else:
-        given = spark.sparkContext.broadcast((uuid.uuid4().hex, everywhere, None, None, bits))
-        ends = [last for _, last in groups]
-        dealt = _dealt(_with_probes(scored, given, hot, model, ends, bits), len(groups), int(n))
-        parts = _answered_by_passes(dealt, groups, rare, pairs, bits, model)
-        known = dealt.where(F.col("pass") == -1).select("doc_id", "held_out", "row", *_MADE)
+        scratch = Scratch(spark)
+        given = _Given.of(spark, everywhere, None, None, bits)
+        dealt = scratch.materialize(_with_probes(scored, given, hot, model, [last for _, last in groups], bits), by="pass")
+        parts = materialize(_answered_by_passes(dealt, groups, rare, pairs, bits, model, scratch))
+        known = materialize(dealt.where(F.col("pass") == -1).select("doc_id", "held_out", "row", *_MADE))
+        scratch.drop()
         scored = known.join(parts, "row", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0))).drop("part")
     return _with_base(scored, tokens.where(~frequent), model).select(
         F.col("doc_id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
@@ -401,7 +412,7 @@ def _scored_at_once(docs: DataFrame, given, hot, model: Smoothing) -> DataFrame:
     names = docs.columns
 
     def run(batch):
-        held = _unpacked(given)
+        held = given.filters()
         end = _end_level(held["words"])
         made: dict[str, list] = {c: [] for c in _MADE}
         for _, _, texts in arrow_chunks(batch.column(names.index("text")), CHUNK_CHARS):
@@ -430,24 +441,46 @@ def _groups_of(hashes: np.ndarray, ends: list[int], bits: int) -> np.ndarray:
     return np.minimum(np.searchsorted(np.array(ends), _slices_of(hashes, bits)), len(ends) - 1)
 
 
-def _one_list(x: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+#: What a row of probes holds, as bytes of numbers.
+_PROBES = {"ids": np.int64, "n": np.int32, "h": np.uint64, "q": np.int8, "w": np.uint64, "u": np.int8, "v": np.uint64}
+_ASKS = {"ids": np.int64, "n": np.int32, "v": np.uint64, "p": np.int8, "q": np.int8}
+
+
+#: Probes in a row. A page of a file holds a hundred rows at least, so rows must be small.
+_PIECE = 4096
+
+
+def _packed_row(kinds: dict, *values: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(x, kind).tobytes() for kind, x in zip(kinds.values(), values, strict=True)]
 
 
-def _with_probes(docs: DataFrame, given, hot, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
+def _packed_columns(rows: list[list[bytes]]) -> list[pa.Array]:
+    return [pa.array(x, pa.binary()) for x in zip(*rows)]
+
+
+def _rows(batch: pa.RecordBatch, kinds: dict):
+    """The numbers of each row of a batch whose columns are those of ``kinds``."""
+    for k in range(batch.num_rows):
+        yield [np.frombuffer(batch.column(i)[k].as_buffer(), kind) for i, kind in enumerate(kinds.values())]
+
+
+def _by_text(text_of: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, n): the texts of probes that are in the order of texts, and how many each has."""
+    t, n = np.unique(text_of, return_counts=True)
+    return ids[t], n
+
+
+def _with_probes(docs: DataFrame, given: _Given, hot, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
     """Rows of pass -1 are documents, with what is known without pairs; others hold a chunk's probes of one pass.
 
-    A probe is a pair's hash (``h``), its second token (``w``, or 0 if frequent) and
-    that token's level (``q``, -1 if not known yet), its first token and that one's
-    level likewise (``v``, ``u``), for the text that is number ``t`` of ``ids``.
+    A probe is a pair's hash (``h``), the levels of its second and first token
+    (``q``, ``u``; -1 if not known yet) and, of those that aren't known, the hashes
+    (``w``, ``v``). Probes stand text by text, ``n`` for each of ``ids``.
     """
     names = docs.columns
-    made_schema = _schema(docs)
-    lists = {"ids": pa.int64(), "t": pa.int32(), "h": pa.int64(), "w": pa.int64(), "q": pa.int8(), "v": pa.int64(), "u": pa.int8()}
-    lists = {c: pa.list_(t) for c, t in lists.items()}
 
     def run(batch):
-        held = _unpacked(given)
+        held = given.filters()
         end = _end_level(held["words"])
         keep = [batch.column(names.index(c)) for c in ("doc_id", "held_out", "row")]
         for a, b, texts in arrow_chunks(batch.column(names.index("text")), CHUNK_CHARS):
@@ -455,111 +488,108 @@ def _with_probes(docs: DataFrame, given, hot, model: Smoothing, ends: list[int],
             # A rare token's own count is asked by its probe, for it as the second of a pair and as the first of the next.
             after_known = chunk.before(chunk.known, True)
             before = chunk.before(chunk.level.astype(np.int64), end)
-            first = np.where(after_known, np.uint64(0), chunk.before(chunk.tokens, np.uint64(0)))
+            first = chunk.before(chunk.tokens, np.uint64(0))
             share = np.where(after_known, -model.below[before], 0.0)
             base["score"] = pa.array(np.add.reduceat(share, chunk.starts[:-1]))
             size = b - a
             docs_part = [c.slice(a, size) for c in keep] + list(base.values())
-            nothing = [pa.nulls(size, t) for t in lists.values()]
+            nothing = [pa.nulls(size, pa.binary()) for _ in _PROBES]
             yield pa.RecordBatch.from_arrays([*docs_part, pa.array(np.full(size, -1, np.int32)), *nothing], names=fields)
             goes = _groups_of(np.where(chunk.known, chunk.pairs, chunk.tokens), ends, bits)
             text_of = np.repeat(np.arange(size, dtype=np.int32), np.diff(chunk.starts))
             order = np.argsort(goes, kind="stable")
             cuts = np.flatnonzero(np.diff(goes[order])) + 1
             ids = keep[2].slice(a, size).to_numpy()
-            for part in np.split(order, cuts):
-                rare = ~chunk.known[part]
-                t, used = np.unique(text_of[part], return_inverse=True)
-                second, level = np.where(rare, chunk.tokens[part], np.uint64(0)), np.where(rare, -1, chunk.level[part])
-                values = [ids[t], used.astype(np.int32), chunk.pairs[part].view(np.int64), second.view(np.int64), level.astype(np.int8)]
-                values += [first[part].view(np.int64), np.where(after_known[part], before[part], -1).astype(np.int8)]
-                packed = [_one_list(x) for x in values]
-                empty = [pa.nulls(1, c.type) for c in docs_part]
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([goes[part[0]]], pa.int32()), *packed], names=fields)
-
-    fields = ["doc_id", "held_out", "row", *_MADE, "pass", *lists]
-    schema = made_schema + ", pass int, ids array<long>, t array<int>, h array<long>, w array<long>, q array<byte>, v array<long>, u array<byte>"
+            pieces = [part[i : i + _PIECE] for part in np.split(order, cuts) for i in range(0, len(part), _PIECE)]
+            packed = []
+            for part in pieces:
+                rare, open_ = ~chunk.known[part], ~after_known[part]
+                values = [*_by_text(text_of[part], ids), chunk.pairs[part], np.where(rare, -1, chunk.level[part]), chunk.tokens[part][rare]]
+                packed.append(_packed_row(_PROBES, *values, np.where(open_, -1, before[part]), first[part][open_]))
+            empty = [pa.nulls(len(pieces), c.type) for c in docs_part]
+            asked = pa.array([goes[part[0]] for part in pieces], pa.int32())
+            yield pa.RecordBatch.from_arrays([*empty, asked, *_packed_columns(packed)], names=fields)
+
+    fields = ["doc_id", "held_out", "row", *_MADE, "pass", *_PROBES]
+    schema = _schema(docs) + ", pass int, " + ", ".join(f"{c} binary" for c in _PROBES)
     return map_arrow(docs, lambda batch: run(batch) if batch.num_rows else (), schema)
 
 
-def _dealt(probes: DataFrame, passes: int, tokens: int) -> DataFrame:
-    """``probes`` written in folders by pass, each in pieces of about PROBE_BYTES."""
-    pieces = max(1, tokens * 16 // passes // PROBE_BYTES)
-    salt = F.pmod(F.xxhash64("row", F.get("ids", F.lit(0))), F.lit(pieces))
-    count = max(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(passes * pieces, 100_000))
-    return materialize(probes.repartition(count, "pass", salt), by="pass")
-
-
-def _answered_by_passes(dealt: DataFrame, groups: list[tuple[int, int]], rare: DataFrame, pairs: DataFrame, bits: int, model: Smoothing) -> DataFrame:
+def _answered_by_passes(
+    dealt: DataFrame, groups: list[tuple[int, int]], rare: DataFrame, pairs: DataFrame, bits: int, model: Smoothing, scratch: Scratch
+) -> DataFrame:
     """(row, part): what all probes add to each text's score, by two rounds over the slice groups."""
     spark = dealt.sparkSession
     ends = [last for _, last in groups]
     first, second = fresh_path(spark), fresh_path(spark)
     for number, (least, most) in enumerate(groups):
         within = F.col("s").between(least, most)
-        given = spark.sparkContext.broadcast((uuid.uuid4().hex, None, _packed_filters(rare.where(within)), _packed_filters(pairs.where(within)), bits))
+        given = _Given.of(spark, None, _packed_filters(rare.where(within)), _packed_filters(pairs.where(within)), bits)
         append(_answered(dealt.where(F.col("pass") == number), given, model, ends, bits), first, by="pass")
-        given.unpersist()
-    answers = spark.read.schema(_ANSWER).parquet(first)
+        given.packed.destroy()
+    answers = scratch.hold(first, _ANSWER)
     for number, (least, most) in enumerate(groups):
         asked = answers.where(F.col("pass") == number)
-        given = spark.sparkContext.broadcast((uuid.uuid4().hex, None, _packed_filters(rare.where(F.col("s").between(least, most))), None, bits))
+        given = _Given.of(spark, None, _packed_filters(rare.where(F.col("s").between(least, most))), None, bits)
         append(_settled(asked, given, model), second)
-        given.unpersist()
-    sums = answers.where(F.col("pass") == -1).select("row", "part").union(spark.read.schema("row long, part double").parquet(second))
+        given.packed.destroy()
+    sums = answers.where(F.col("pass") == -1).select("row", "part").union(scratch.hold(second, "row long, part double"))
     return sums.groupBy("row").agg(F.sum("part").alias("part"))
 
 
 #: Rows of pass -1 are parts of scores; others hold pairs (level ``p``) whose first token ``v`` another group knows.
-_ANSWER = "row long, part double, ids array<long>, t array<int>, v array<long>, p array<byte>, q array<byte>, pass int"
+_ANSWER = "row long, part double, ids binary, n binary, v binary, p binary, q binary, pass int"
 
 
-def _answered(probes: DataFrame, given, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
+def _answered(probes: DataFrame, given: _Given, model: Smoothing, ends: list[int], bits: int) -> DataFrame:
     """_ANSWER of the probes of one pass."""
-    chosen = probes.select("ids", "t", "h", "w", "q", "v", "u")
-    lists = {"ids": pa.int64(), "t": pa.int32(), "v": pa.int64(), "p": pa.int8(), "q": pa.int8()}
-    fields = ["row", "part", *lists, "pass"]
+    fields = ["row", "part", *_ASKS, "pass"]
 
     def run(batch):
-        held = _unpacked(given)
-        for k in range(batch.num_rows):
-            ids, t, h, w, q, v, u = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(7))
-            h, w, v, rare = h.view(np.uint64), w.view(np.uint64), v.view(np.uint64), q < 0
-            level = q.astype(np.int64)
-            level[rare] = held["tokens"].level(w[rare])
-            pair = np.minimum(held["pairs"].level(h, np.where(rare, w, h)), level)
-            open_ = (u < 0) & (pair > 0)
-            pair = np.where(u < 0, pair, np.minimum(pair, u))
+        held = given.filters()
+        rows, parts, packed, asked = [], [], [], []
+        for ids, n, h, q, w, u, v in _rows(batch, _PROBES):
+            t, rare, unknown = np.repeat(np.arange(len(ids)), n), q < 0, u < 0
+            level, by = q.astype(np.int64), h.copy()
+            level[rare], by[rare] = held["tokens"].level(w), w
+            pair = np.minimum(held["pairs"].level(h, by), level)
+            open_ = unknown & (pair > 0)
+            pair = np.where(unknown, pair, np.minimum(pair, u))
             share = np.where(open_, 0.0, model.above[pair, level])
             share[rare] -= model.below[level[rare]]
-            nothing = [pa.nulls(len(ids), pa.list_(x)) for x in lists.values()]
-            part = pa.array(np.bincount(t, share, len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), part, *nothing, pa.array(np.full(len(ids), -1, np.int32))], names=fields)
-            asks = np.flatnonzero(open_)
-            goes = _groups_of(v[asks], ends, bits)
+            rows.append(ids)
+            parts.append(np.bincount(t, share, len(ids)))
+            asks, first = np.flatnonzero(open_), v[open_[unknown]]
+            goes = _groups_of(first, ends, bits)
             for group in np.unique(goes):
-                some = asks[goes == group]
-                texts, used = np.unique(t[some], return_inverse=True)
-                values = [ids[texts], used.astype(np.int32), v[some].view(np.int64), pair[some].astype(np.int8), level[some].astype(np.int8)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), *[_one_list(x) for x in values], pa.array([group], pa.int32())], names=fields
-                )
+                of = goes == group
+                some = asks[of]
+                packed.append(_packed_row(_ASKS, *_by_text(t[some], ids), first[of], pair[some], level[some]))
+                asked.append(group)
+        rows = pa.array(np.concatenate(rows))
+        nothing = [pa.nulls(len(rows), pa.binary()) for _ in _ASKS]
+        yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate(parts)), *nothing, pa.array(np.full(len(rows), -1, np.int32))], names=fields)
+        if asked:
+            empty = [pa.nulls(len(asked), x) for x in (pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*empty, *_packed_columns(packed), pa.array(asked, pa.int32())], names=fields)
 
-    return map_arrow(chosen, run, _ANSWER)
+    return map_arrow(probes.select(*_PROBES), lambda batch: run(batch) if batch.num_rows else (), _ANSWER)
 
 
-def _settled(asked: DataFrame, given, model: Smoothing) -> DataFrame:
+def _settled(asked: DataFrame, given: _Given, model: Smoothing) -> DataFrame:
     """(row, part): what pairs add whose first token's level is read here."""
 
     def run(batch):
-        held = _unpacked(given)
-        for k in range(batch.num_rows):
-            ids, t, v, p, q = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in range(5))
-            pair = np.minimum(p, held["tokens"].level(v.view(np.uint64)))
-            share = model.above[pair.astype(np.int64), q.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(t, share, len(ids)))], names=["row", "part"])
-
-    return map_arrow(asked.select("ids", "t", "v", "p", "q"), run, "row long, part double")
+        held = given.filters()
+        rows, parts = [], []
+        for ids, n, v, p, q in _rows(batch, _ASKS):
+            pair = np.minimum(p, held["tokens"].level(v)).astype(np.int64)
+            share = model.above[pair, q.astype(np.int64)]
+            rows.append(ids)
+            parts.append(np.bincount(np.repeat(np.arange(len(ids)), n), share, len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, parts)], names=["row", "part"])
+
+    return map_arrow(asked.select(*_ASKS), lambda batch: run(batch) if batch.num_rows else (), "row long, part double")
 
 
 def _with_base(scored: DataFrame, rare: DataFrame, model: Smoothing) -> DataFrame:

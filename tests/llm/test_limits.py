@@ -5,7 +5,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from corpuscle.llm import line_dedup, simhash
+from corpuscle.llm import line_dedup, lm_score, simhash
 from corpuscle.llm.common import materialize, shared_dir
 
 from .samples import prose, table
@@ -56,3 +56,34 @@ def test_blocks_are_dealt_in_passes(spark, monkeypatch):
     bits = np.random.default_rng(1).integers(0, 2, (7, -(-plan.width * plan.blocks // 64) * 64)).astype(np.uint8)
     slow = [[(sum(int(x[k * plan.width + i]) << i for i in range(plan.width)) << 12) + k for k in range(3, 9)] for x in bits]
     assert plan.keys(np.packbits(bits, axis=1, bitorder="little"), 3, 9).tolist() == slow
+
+
+def test_probes_of_a_long_text_come_in_small_rows(spark, monkeypatch):
+    """A page of a file holds a hundred rows, so a row of a whole chunk's probes made pages of a hundred megabytes."""
+    rows = [(0, "first"), (1, " ".join(f"w{i * i % 7001}" for i in range(30_000))), (2, "w1 w4 w9")]
+    sizes, passes = [], lm_score._answered_by_passes
+
+    def seen(dealt, *more):
+        sizes.extend(r[0] for r in dealt.where("pass >= 0").selectExpr("length(h)").collect())
+        return passes(dealt, *more)
+
+    monkeypatch.setattr(lm_score, "_answered_by_passes", seen)
+    once, many = (
+        {r["doc_id"]: round(r["score"], 5) for r in lm_score.score_documents(table(spark, rows), pass_bytes=size, hot_tokens=20).collect()} for size in (1 << 27, 16_000)
+    )
+    assert once == many and sum(sizes) == 8 * (30_001 + 2 + 4) and max(sizes) <= 8 * 4096
+
+
+def test_a_worker_holds_the_filters_of_one_pass():
+    class Later:
+        """Tells what is held when its value is fetched."""
+
+        @property
+        def value(self):
+            held.append(dict(lm_score._HELD))
+            return None, None, None, 12
+
+    held = []
+    first, second = (lm_score._Given(key, Later()) for key in "ab")
+    assert first.filters() is first.filters() and second.filters()["key"] == "b"
+    assert held == [{}, {}]
